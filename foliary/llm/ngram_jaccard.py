@@ -24,8 +24,10 @@ from foliary.llm import textops
 from foliary.llm.common import components, remove, table, written
 
 #: Shingles gathered before a task hands them on, bytes of text for each range of shingles, sets of a verified block.
-FLUSH, RANGE_BYTES, BLOCK = 3_000_000, 1 << 25, 256
+FLUSH, RANGE_BYTES, BLOCK = 1_500_000, 1 << 25, 256
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 SCATTER = "part int, rid long, size int, node binary, here int, rids binary, counts binary, grams binary"
+SCHEMA = pa.schema([("part", pa.int32()), ("rid", pa.int64()), ("size", pa.int32()), ("node", pa.binary()), ("here", pa.int32()), ("rids", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
 
 
 def _scatter(shingle: int, parts: int):
@@ -64,10 +66,8 @@ def _scatter(shingle: int, parts: int):
             low = np.ascontiguousarray(all_grams[a:b]).view(np.uint8).reshape(-1, 8)[:, :6]
             ids = np.where(who < 0, -1, rid[who])
             rows.append((int(p), None, None, None, None, ids.astype("<i8").tobytes(), count.astype("<u4").tobytes(), low.tobytes()))
-        names = ("part", "rid", "size", "node", "here", "rids", "counts", "grams")
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         for a in range(0, len(rows), 2000):
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 2000], strict=True), kinds, strict=True)], names=names)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 2000], strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -85,36 +85,56 @@ def _scatter(shingle: int, parts: int):
 
 
 def hash_part(rid: int, parts: int) -> int:
-    return (rid * 0x9E3779B97F4A7C15 % (1 << 64) >> 32) * parts >> 32
-
-
-def _match(rows: pa.Table) -> pa.Table:
-    """Of one range: the documents' own rows, and per document how many of its shingles here another owner has too."""
-    kinds = rows.column("grams")
-    own = rows.filter(pc.is_null(kinds))
-    packed = rows.filter(pc.is_valid(kinds))
-    ids = np.frombuffer(b"".join(packed.column("rids").to_pylist()), "<i8")
-    counts = np.frombuffer(b"".join(packed.column("counts").to_pylist()), "<u4").astype(np.int64)
-    low = np.frombuffer(b"".join(packed.column("grams").to_pylist()), np.uint8).reshape(-1, 6)
-    grams = np.zeros((len(low), 8), np.uint8)
-    grams[:, :6] = low
-    grams = grams.reshape(-1).view("<u8")
-    order = np.argsort(grams, kind="stable")
-    ranked = grams[order]
-    start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
-    n = np.diff(np.append(start, len(ranked)))
-    seen = np.empty(len(grams), bool)
-    seen[order] = np.repeat(n > 1, n)
-    per = np.add.reduceat(seen.astype(np.int64), np.cumsum(counts) - counts) if len(counts) else np.zeros(0, np.int64)
-    some = (per > 0) & (ids >= 0)
-    return pa.table(
-        {
-            "rid": pa.array(np.concatenate([own.column("rid").to_numpy(), ids[some]]).astype(np.int64), pa.int64()),
-            "size": pa.array(own.column("size").to_pylist() + [None] * int(some.sum()), pa.int32()),
-            "node": pa.array(own.column("node").to_pylist() + [None] * int(some.sum()), pa.binary()),
-            "seen": pa.array(own.column("here").to_pylist() + per[some].tolist(), pa.int32()),
-        }
-    )
+    return ((rid % (1 << 64)) * 0x9E3779B97F4A7C15 % (1 << 64) >> 32) * parts >> 32
+
+
+def _match(parts: int):
+    """Of one range: per document, how many of its shingles here another owner has too, packed by the documents' own part."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        kinds = rows.column("grams")
+        packed = rows.filter(pc.is_valid(kinds))
+        ids = np.frombuffer(b"".join(packed.column("rids").to_pylist()), "<i8")
+        counts = np.frombuffer(b"".join(packed.column("counts").to_pylist()), "<u4").astype(np.int64)
+        low = np.frombuffer(b"".join(packed.column("grams").to_pylist()), np.uint8).reshape(-1, 6)
+        grams = np.zeros((len(low), 8), np.uint8)
+        grams[:, :6] = low
+        grams = grams.reshape(-1).view("<u8")
+        order = np.argsort(grams, kind="stable")
+        ranked = grams[order]
+        start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+        n = np.diff(np.append(start, len(ranked)))
+        seen = np.empty(len(grams), bool)
+        seen[order] = np.repeat(n > 1, n)
+        per = np.add.reduceat(seen.astype(np.int64), np.cumsum(counts) - counts) if len(counts) else np.zeros(0, np.int64)
+        some = (per > 0) & (ids >= 0)
+        ids, per = ids[some], per[some]
+        to = (ids.view(np.uint64) * SPREAD >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        order = np.argsort(to, kind="stable")
+        to, ids, per = to[order], ids[order], per[order]
+        out = rows.filter(pc.is_null(kinds)).to_pylist()
+        for part in np.unique(to):
+            a, b = np.searchsorted(to, [part, part + np.uint64(1)])
+            out.append({"part": int(part), "rids": ids[a:b].astype("<i8").tobytes(), "counts": per[a:b].astype("<u4").tobytes()})
+        return pa.Table.from_pylist(out, SCHEMA)
+
+    return run
+
+
+def _total(rows: pa.Table) -> pa.Table:
+    """Of one part of the documents: each document's row with the sum of what every range has found."""
+    packed = pc.is_valid(rows.column("rids"))
+    own, more = rows.filter(pc.invert(packed)), rows.filter(packed)
+    ids = np.frombuffer(b"".join(more.column("rids").to_pylist()), "<i8")
+    counts = np.frombuffer(b"".join(more.column("counts").to_pylist()), "<u4")
+    rid = own.column("rid").to_numpy()
+    known, inverse = np.unique(rid, return_inverse=True)
+    sums = np.zeros(len(known) + 1, np.int64)
+    if len(known):
+        np.add.at(sums, np.searchsorted(known, ids), counts)
+    here = pc.fill_null(own.column("here"), -1).to_numpy()
+    seen = np.where(here < 0, 0, here + sums[:-1][inverse] if len(known) else here)
+    return pa.table({"rid": own.column("rid"), "size": own.column("size"), "node": own.column("node"), "seen": pa.array(seen, pa.int64())})
 
 
 def _sets(shingle: int):
@@ -191,9 +211,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = max(1, -(-nbytes // RANGE_BYTES))
     keyed = source.withColumn("rid", F.xxhash64("id", F.length("text"), F.crc32("text")))
     tally = written(
-        keyed.select("rid", "text").mapInArrow(_scatter(shingle, parts), SCATTER).groupBy("part").applyInArrow(_match, "rid long, size int, node binary, seen int")
+        keyed.select("rid", "text").mapInArrow(_scatter(shingle, parts), SCATTER).groupBy("part").applyInArrow(_match(parts), SCATTER)
+        .groupBy("part").applyInArrow(_total, "rid long, size int, node binary, seen long")
     )
-    per = tally.groupBy("rid").agg(F.max("size").alias("size"), F.max("node").alias("node"), F.sum("seen").alias("seen"))
+    per = tally.groupBy("rid").agg(F.max("size").alias("size"), F.max("node").alias("node"), F.max("seen").alias("seen"))
     members = written(source.select("id", F.xxhash64("id", F.length("text"), F.crc32("text")).alias("rid")).join(per, "rid").select("id", "rid", "size", "node", "seen"))
     open_nodes = members.where("size > 0").groupBy("node", "size").agg(F.max("seen").alias("seen"), F.min("rid").alias("rid")).where(f"{den} * seen >= {num} * size")
     texts = keyed.join(open_nodes.select("rid", "node"), "rid").select("node", "text")

@@ -22,6 +22,8 @@ LOWER[65:91] += 32
 
 _rng = np.random.Generator(np.random.PCG64(20240601))
 _ORDER = _rng.integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ROOT = 0x9E3779B97F4A7C15
+_TABLE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _LONG = 256
 
@@ -47,6 +49,26 @@ def utf8(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.nd
     return LOWER[data] if lower else data, offsets - offsets[0]
 
 
+class Rolling:
+    """Hashes of any substring of at most ``most`` bytes from one pass of prefix sums modulo 2 ** 64."""
+
+    def __init__(self, most: int):
+        self.up, self.down = np.ones(most + 1, np.uint64), np.ones(most + 1, np.uint64)
+        self.up[1:], self.down[1:] = _ROOT, pow(_ROOT, -1, 1 << 64)
+        self.up, self.down = np.cumprod(self.up, dtype=np.uint64), np.cumprod(self.down, dtype=np.uint64)
+
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_TABLE[data] * self.up[: len(data)], out=out[1:])
+        return out
+
+    def grams(self, prefix: np.ndarray, size: int) -> np.ndarray:
+        return mix((prefix[size:] - prefix[:-size]) * self.down[: len(prefix) - size])
+
+    def spans(self, prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((prefix[b] - prefix[a]) * self.down[a])
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the n + 1 word offsets of the documents."""
     if not len(data):

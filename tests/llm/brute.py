@@ -41,3 +41,22 @@ def jaccard_components(rows, num=75, den=100):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def repeated_bytes(rows, length=400):
+    """[(id, text)] -> {id: (n_bytes, n_removed, n_spans, kept bytes)} by a dictionary of every window."""
+    seen = {}
+    raws = [(i, (t or "").encode()) for i, t in rows]
+    for _, raw in raws:
+        for p in range(len(raw) - length + 1):
+            w = hash(raw[p : p + length])
+            seen[w] = seen.get(w, 0) + 1
+    out = {}
+    for i, raw in raws:
+        cover = bytearray(len(raw))
+        for p in range(len(raw) - length + 1):
+            if seen[hash(raw[p : p + length])] > 1:
+                cover[p : p + length] = b"\1" * length
+        spans = sum(1 for k in range(len(raw)) if cover[k] and (k == 0 or not cover[k - 1]))
+        out[i] = (len(raw), sum(cover), spans, bytes(b for b, c in zip(raw, cover, strict=True) if not c))
+    return out
