@@ -182,6 +182,19 @@ def quality_scores(docs: DataFrame, model: GatedAttention, id_col: str = "doc_id
     return rows.mapInArrow(run, "id long, held_out boolean, score double, predicted int")
 
 
+def quality_filter(docs: DataFrame, model: GatedAttention, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows whose text scores at least ``threshold``, all columns as they are; no row moves."""
+    weights = {k: np.asarray(v, np.float32) for k, v in model.w.items()}
+    at = docs.columns.index(text_col)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = GatedAttention(weights)
+        for batch in textops.batches(source, text_col, 1 << 20):
+            yield batch.filter(pa.array(held.score(*passages(batch.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels"))

@@ -2,6 +2,9 @@
 
 from foliary.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from foliary.llm.ngram_jaccard import op9_ngram_jaccard_join
+from foliary.llm.packing import op2_best_fit_packing
+from foliary.llm.quality import op10_quality_classifier
+from foliary.llm.suffix_dedup import op4_suffix_array_dedup
 
-QUERIES = {f.__name__: f for f in (op8_exact_dedup, op9_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_suffix_array_dedup, op8_exact_dedup, op9_ngram_jaccard_join, op10_quality_classifier)}
 ORACLES = {"op8_exact_dedup": OP8_SQL}
