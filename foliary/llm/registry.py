@@ -1,10 +1,29 @@
 """Queries of this folder by name, and the SQL of those that SQL can express."""
 
 from foliary.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from foliary.llm.lm_score import op3_lm_scoring
 from foliary.llm.ngram_jaccard import op9_ngram_jaccard_join
 from foliary.llm.packing import op2_best_fit_packing
+from foliary.llm.pieces import op1_sentencepiece
 from foliary.llm.quality import op10_quality_classifier
+from foliary.llm.sharding import op5_sharding
 from foliary.llm.suffix_dedup import op4_suffix_array_dedup
+from foliary.llm.token_files import op7_token_files
+from foliary.llm.topk import OP6_SQL, op6_exact_top_k
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_suffix_array_dedup, op8_exact_dedup, op9_ngram_jaccard_join, op10_quality_classifier)}
-ORACLES = {"op8_exact_dedup": OP8_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece,
+        op2_best_fit_packing,
+        op3_lm_scoring,
+        op4_suffix_array_dedup,
+        op5_sharding,
+        op6_exact_top_k,
+        op7_token_files,
+        op8_exact_dedup,
+        op9_ngram_jaccard_join,
+        op10_quality_classifier,
+    )
+}
+ORACLES = {"op6_exact_top_k": OP6_SQL, "op8_exact_dedup": OP8_SQL}

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from foliary.llm import textops
 from foliary.llm.common import shared_folder, table, written
+from foliary.llm.wordcache import WordCache
 
 MAGIC = b"FOLIDS01"
 #: Ids of a chunk, bytes of text for each file, entries of a task's word cache.
@@ -144,14 +145,7 @@ class Encoder:
             white = c in (32, 0x85, 0xA0) or 9 <= c <= 13
             kinds.append(2 if c == 32 else 3 if white else 0 if name[0] == "L" else 1 if name[0] == "N" else 4)
         self.kinds = np.array(kinds + [5], np.uint8)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool: list[np.ndarray] = []
-        self.lengths = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
+        self.cache = WordCache(self.library, CACHE)
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -196,21 +190,7 @@ class Encoder:
         ends = np.append(starts[1:], len(data))[soft]
         starts, doc = starts[soft], doc[soft]
         ends = np.minimum(ends, at[doc + 1])
-        keys, one, inverse = np.unique(textops.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > CACHE:
-            self.clear()
-        keys = keys.tolist()
-        new = [k for k, key in enumerate(keys) if key not in self.known]
-        if new:
-            fresh = self.library([data[starts[one[k]] : ends[one[k]]].tobytes().decode() for k in new])
-            self.known.update(zip((keys[k] for k in new), range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
-            lengths = np.array([len(x) for x in fresh], np.int64)
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in fresh for i in x), np.uint32, int(lengths.sum()))])
-            self.starts = np.cumsum(self.lengths) - self.lengths
-        place = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
-        sizes = self.lengths[place]
-        ids = self.flat[np.repeat(self.starts[place] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        ids, sizes = self.cache.ids(data, starts, ends)
         counts = np.bincount(doc, sizes, n).astype(np.int64)
         if hard.any():
             own = np.flatnonzero(hard)
