@@ -18,7 +18,8 @@ from foliary.llm import textops
 from foliary.llm.common import az_lower, shared_folder, table, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: RocksDB keeps the state; without fallocate each of many small stores takes the disk that it fills, not megabytes ahead.
+STORE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def sha256(text: bytes) -> str:
@@ -47,12 +48,14 @@ def keyed_state(rows: DataFrame) -> DataFrame:
     source = {f.rpartition("/")[0] for f in rows.inputFiles()}
     stream = spark.readStream.schema(rows.schema).parquet(*source)
     state = stream.groupBy("digest").agg(F.max(F.struct("id", "row", "locator")).alias("keep"), F.count("*").alias("group_size"))
-    was = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    was = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         state.writeStream.outputMode("update").format("noop").option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if was is None else spark.conf.set(PROVIDER, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     kept = spark.read.format("statestore").load(folder)
     value = kept.schema["value"].dataType.names
     return kept.select(F.col("key.digest").alias("digest"), F.col("value")[value[0]].alias("keep"), F.col("value")[value[1]].alias("group_size"))
