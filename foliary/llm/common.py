@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Upper and lower case of the only letters that the contracts fold.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,11 +38,6 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def az_lower(column: str) -> F.Column:
-    """A-Z in lower case, every other character as it is, null as empty."""
-    return F.translate(F.coalesce(F.col(column), F.lit("")), UPPER, LOWER)
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node of each node's connected component, for nodes that an edge names.
 

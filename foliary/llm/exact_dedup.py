@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.llm import textops
-from foliary.llm.common import az_lower, shared_folder, table, written
+from foliary.llm.common import shared_folder, table, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: RocksDB keeps the state; without fallocate each of many small stores takes the disk that it fills, not megabytes ahead.
@@ -26,13 +26,14 @@ def sha256(text: bytes) -> str:
     return hashlib.sha256(text).hexdigest()
 
 
-def _digests(digest: Callable[[bytes], str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _digests(digest: Callable[[bytes], str], last: str = "locator") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textops.batches(source):
             data, at = textops.utf8(batch.column(1), lower=True)
             view = memoryview(data.tobytes())
             found = [digest(view[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(found, pa.string())], names=["id", "locator", "digest"])
+            kept = batch.column(2) if last == "locator" else pa.array([bytes(view[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+            yield pa.record_batch([batch.column(0), kept, pa.array(found, pa.string())], names=["id", last, "digest"])
 
     return run
 
@@ -76,19 +77,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     state = keyed_state(tagged)
     found = tagged.join(state, "digest").select("id", "row", "digest", "keep", "group_size")
     # Full bytes of every hit: all texts of a digest are one text just when their smallest and largest agree.
-    hits = found.where("group_size > 1").select("id", "digest").distinct()
-    texts = source.withColumn("text", az_lower("text")).join(hits, source["id"].eqNullSafe(hits["id"])).select("digest", source["id"], "text")
-    clash = written(texts.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high").select("digest"))
+    hits = found.where("group_size > 1").select(F.col("id").alias("hit")).distinct()
+    several = found.where("group_size > 1").select("digest").distinct()
+    suspects = source.join(hits, F.col("id").eqNullSafe(F.col("hit")), "left_semi").mapInArrow(_digests(digest, "raw"), "id long, raw binary, digest string")
+    texts = suspects.join(several, "digest", "left_semi")
+    clash = written(texts.groupBy("digest").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("digest"))
     same = found.join(clash, "digest", "left_anti") if not clash.isEmpty() else found
     result = same.select("id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "digest")
     if clash.isEmpty():
         return result
     # Exact way for a digest shared by different texts: the text itself is the key. Repeated ids there share a text.
-    own = texts.join(clash, "digest", "left_semi").groupBy("digest", "text").agg(F.collect_set("id").alias("ids"))
-    own = own.select("digest", F.monotonically_increasing_id().alias("part"), F.explode_outer("ids").alias("id"))
-    parts = found.join(clash, "digest", "left_semi").join(own.withColumnRenamed("digest", "d"), F.col("d").eqNullSafe(F.col("digest")) & found["id"].eqNullSafe(own["id"])).select(found["id"], "row", "digest", "part")
-    least = parts.groupBy("part").agg(F.max(F.struct("id", "row")).alias("keep"), F.count("*").alias("group_size"))
-    return result.unionByName(parts.join(least, "part").select("id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "digest"))
+    own = texts.join(clash, "digest", "left_semi").select(F.col("digest").alias("d"), F.col("id").alias("own_id"), "raw").distinct()
+    parts = found.join(clash, "digest", "left_semi").join(own, (F.col("d") == F.col("digest")) & F.col("id").eqNullSafe(F.col("own_id"))).select("id", "row", "digest", "raw")
+    least = parts.groupBy("digest", "raw").agg(F.max(F.struct("id", "row")).alias("keep"), F.count("*").alias("group_size"))
+    return result.unionByName(parts.join(least, ["digest", "raw"]).select("id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "digest"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
