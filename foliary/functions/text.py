@@ -85,12 +85,16 @@ def doc_type(c: Column) -> Column:
     return out
 
 
+def _named(kind: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), squeeze(v).alias("value")))
+
+
 def constraints(line: Column) -> Column:
     """array of struct(kind, value) of a line."""
     found = []
     for kind, (pattern, hint) in CONSTRAINTS.items():
         values = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-        some = F.transform(values, lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), squeeze(v).alias("value")))
+        some = _named(kind, values)
         found.append(F.when(line.rlike(hint), some).otherwise(F.array().cast("array<struct<kind:string,value:string>>")) if hint else some)
     return F.array_distinct(F.flatten(F.array(*found)))
 

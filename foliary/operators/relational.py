@@ -80,7 +80,7 @@ def roll_up(items: DataFrame, key: str, state: str = "state") -> DataFrame:
     return items.groupBy(key).agg(job.alias("job_state"), *[n(s).alias(f"n_{s}") for s in ("running", "success", "error", "idle")])
 
 
-def cumulative_start(df: DataFrame, key: str, order: str, size: str) -> DataFrame:
+def cumulative_start(df: DataFrame, key: str, order: list[str], size: str) -> DataFrame:
     """1 + the sum of earlier sizes: the page on which each part starts."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("starts_at", 1 + F.coalesce(F.sum(size).over(w), F.lit(0)))
