@@ -70,10 +70,16 @@ def _runs(length: int):
             data, offsets = textops.utf8(batch.column(1))
             for gram, span, first, last, a in anchors(data, offsets, length, rolling):
                 doc = np.searchsorted(offsets, first, "right") - 1
-                start = offsets[doc]
+                # Text with a period names one run again and again: one row with all their places.
+                order = np.lexsort((first, span, gram, doc))
+                doc, gram, span, first, last, a = (x[order] for x in (doc, gram, span, first, last, a))
+                new = np.ones(len(order), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1]) | (span[1:] != span[:-1])
+                one = np.flatnonzero(new)
+                places = pa.ListArray.from_arrays(pa.array(np.append(one, len(order)).astype(np.int32)), pa.array(first - offsets[doc]))
                 yield pa.record_batch(
-                    [pa.array(textops.signed(gram)), pa.array(textops.signed(span)), batch.column(0).take(pa.array(doc)), pa.array(first - start), pa.array((last - first).astype(np.int32)), pa.array((a - first).astype(np.int32))],
-                    names=["gram", "span", "rid", "first", "more", "lead"],
+                    [pa.array(textops.signed(gram[one])), pa.array(textops.signed(span[one])), batch.column(0).take(pa.array(doc[one])), places, pa.array((last - first)[one].astype(np.int32)), pa.array((a - first)[one].astype(np.int32))],
+                    names=["gram", "span", "rid", "firsts", "more", "lead"],
                 )
 
     return run
@@ -202,10 +208,10 @@ def _windows(length: int):
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, members: int = MEMBERS) -> DataFrame:
     """(rid, spans): of each row of (rid, text) with repeats, byte spans whose union is what repeats cover, unsorted."""
-    runs = written(rows.select("rid", "text").mapInArrow(_runs(length), "gram long, span long, rid long, first long, more int, lead int"))
-    kinds = runs.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first", "more", "lead")).alias("one"))
-    per = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest"), F.max("n").alias("most"))
-    whole = runs.join(kinds.where("n > 1").select("gram", "span"), ["gram", "span"]).select("rid", F.col("first").alias("a"), (F.col("first") + F.col("more") + length).alias("b"))
+    runs = written(rows.select("rid", "text").mapInArrow(_runs(length), "gram long, span long, rid long, firsts array<long>, more int, lead int"))
+    kinds = runs.groupBy("gram", "span").agg(F.sum(F.size("firsts")).alias("n"), F.min(F.struct("rid", F.element_at("firsts", 1).alias("first"), "more", "lead")).alias("one"))
+    per = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest"))
+    whole = runs.join(kinds.where("n > 1").select("gram", "span"), ["gram", "span"]).select("rid", F.transform("firsts", lambda x: F.struct(x.alias("a"), (x + F.col("more") + length).alias("b"))).alias("spans"))
     unsettled = kinds.join(per.where("kinds > 1 and fewest = 1").select("gram", "kinds"), "gram").select("gram", "n", "kinds", "one.*")
     per_row = unsettled.groupBy("rid").agg(F.collect_list(F.struct("gram", "n", "first", "more", "lead", F.lit(length).alias("length"))).alias("runs"))
     texts = rows.select("rid", "text").join(per_row, "rid").select("rid", "text", "runs")
@@ -218,7 +224,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, members: int = MEMBERS
     windows = entries.join(large, "gram", "left_semi").mapInArrow(_windows(length), "gram long, key long, single boolean, rid long, a long")
     often = windows.groupBy("gram", "key").agg(F.count("*").alias("n")).where("n > 1").select("gram", "key")
     counted = windows.where("single").join(often, ["gram", "key"]).select("rid", "a", (F.col("a") + length).alias("b"))
-    return whole.unionByName(scanned).unionByName(counted).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    single = scanned.unionByName(counted).select("rid", F.array(F.struct("a", "b")).alias("spans"))
+    return whole.unionByName(single).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def merged(spans: list[dict] | None) -> list[list[int]]:
