@@ -24,7 +24,7 @@ from foliary.llm import textops
 from foliary.llm.common import components, remove, table, written
 
 #: Shingles gathered before a task hands them on, bytes of text for each range of shingles, sets of a verified block.
-FLUSH, RANGE_BYTES, BLOCK = 1_500_000, 1 << 25, 256
+FLUSH, RANGE_BYTES, BLOCK = 1_000_000, 1 << 23, 256
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 SCATTER = "part int, rid long, size int, node binary, here int, rids binary, counts binary, grams binary"
 SCHEMA = pa.schema([("part", pa.int32()), ("rid", pa.int64()), ("size", pa.int32()), ("node", pa.binary()), ("here", pa.int32()), ("rids", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
