@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.llm import textops
-from foliary.llm.common import table, written
+from foliary.llm.common import remove, table, written
 
 #: Bytes of a repeat, windows of a slice, members of an anchor's interval tree in one task.
 LENGTH, SLICE, MEMBERS = 400, 1 << 18, 5000
@@ -208,17 +208,21 @@ def _windows(length: int):
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, members: int = MEMBERS) -> DataFrame:
     """(rid, spans): of each row of (rid, text) with repeats, byte spans whose union is what repeats cover, unsorted."""
-    runs = written(rows.select("rid", "text").mapInArrow(_runs(length), "gram long, span long, rid long, firsts array<long>, more int, lead int"))
+    every = written(rows.select("rid", "text").mapInArrow(_runs(length), "gram long, span long, rid long, firsts array<long>, more int, lead int"))
+    # Most grams occur once in all texts; the runs of all others go on.
+    again = every.groupBy("gram").agg(F.sum(F.size("firsts")).alias("n")).where("n > 1").select("gram")
+    runs = written(every.join(again, "gram", "left_semi"))
+    remove(every)
     kinds = runs.groupBy("gram", "span").agg(F.sum(F.size("firsts")).alias("n"), F.min(F.struct("rid", F.element_at("firsts", 1).alias("first"), "more", "lead")).alias("one"))
     per = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest"))
     whole = runs.join(kinds.where("n > 1").select("gram", "span"), ["gram", "span"]).select("rid", F.transform("firsts", lambda x: F.struct(x.alias("a"), (x + F.col("more") + length).alias("b"))).alias("spans"))
-    unsettled = kinds.join(per.where("kinds > 1 and fewest = 1").select("gram", "kinds"), "gram").select("gram", "n", "kinds", "one.*")
+    unsettled = written(kinds.join(per.where("kinds > 1 and fewest = 1").select("gram", "kinds"), "gram").select("gram", "n", "kinds", "one.*"))
     per_row = unsettled.groupBy("rid").agg(F.collect_list(F.struct("gram", "n", "first", "more", "lead", F.lit(length).alias("length"))).alias("runs"))
     texts = rows.select("rid", "text").join(per_row, "rid").select("rid", "text", "runs")
     entry = "gram long, single boolean, rid long, at long, left binary, right binary"
     # A repeated row (same id and text) brings its entries once more; as one entry they are as many as they were.
     entries = written(texts.mapInArrow(_entries, entry).dropDuplicates(["gram", "rid", "at"]))
-    large = per.where(f"kinds > {members} and fewest = 1").select("gram")
+    large = unsettled.where(f"kinds > {members}").select("gram").distinct()
     small = entries.join(large, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "right")
     scanned = small.mapInArrow(_scan(length), "rid long, a long, b long")
     windows = entries.join(large, "gram", "left_semi").mapInArrow(_windows(length), "gram long, key long, single boolean, rid long, a long")
