@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -52,3 +52,9 @@ def same_content(pairs: DataFrame, least: float = 0.9, pages: int = 2) -> DataFr
     known = rows.where("same is not null")
     asked = rows.where("same is null").withColumn("same", ratio(F.substring("a_text", 1, FINGERPRINT_CHARS), F.substring("b_text", 1, FINGERPRINT_CHARS)) >= least)
     return known.unionByName(asked).drop("a_n", "b_n", "equal")
+
+
+def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
+    """The first row of a name keeps it; the others get -1, -2 and so on."""
+    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    return rows.withColumn("n", n).withColumn("name", F.when(F.col("n") == 0, F.col(name)).otherwise(F.concat_ws("-", name, "n"))).drop("n")

@@ -54,6 +54,12 @@ def latest(df: DataFrame, keys: list[str], by: list[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("r")).select(*keys, "r.*")
 
 
+def deprecated(df: DataFrame, key: str, version: str) -> DataFrame:
+    """Each row with a status: active in the last version of its key, else deprecated."""
+    last = F.max(version).over(Window.partitionBy(key))
+    return df.withColumn("status", F.when(F.col(version) == last, "active").otherwise("deprecated"))
+
+
 def first_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c != key]
     return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(key, "r.*")

@@ -42,6 +42,12 @@ def broken_chains(events: DataFrame, key: str, order: list[str], frm: str, to: s
     return events.withColumn("before", F.lag(to).over(w)).where(F.col("before").isNotNull() & (F.col("before") != F.col(frm)))
 
 
+def without_repeats(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """Rows whose value differs from that of the row before; the first of each key stays."""
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
+    return events.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col(value))).drop("before")
+
+
 def resumed(items: DataFrame) -> DataFrame:
     """After a crash running items are idle again; what has succeeded stays."""
     return items.withColumn("state", F.when(F.col("state") == "running", "idle").otherwise(F.col("state")))

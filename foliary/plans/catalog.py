@@ -42,10 +42,10 @@ def a1_landed_digests(spark, d):
     return t(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256"))
 
 
-@query("SELECT source, string_agg(lang || ':' || doc_id, chr(10) ORDER BY doc_id) AS joined, count(*) AS n FROM documents WHERE n_chars < 1000 GROUP BY source")
+@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, role, text) AS joined, count(*) AS n FROM conversations GROUP BY conv_id")
 def a4_ordered_concat(spark, d):
-    rows = t(spark, d, "documents").where("n_chars < 1000").select("source", F.struct("doc_id", F.concat_ws(":", "lang", "doc_id").alias("x")).alias("s"))
-    return rows.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), "\n").alias("joined"), F.count("*").alias("n"))
+    rows = t(spark, d, "conversations").select("conv_id", F.struct("turn", "role", "text").alias("s"))
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["text"]), "\n\n").alias("joined"), F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, length(x) AS chars, sha256(x) AS digest FROM (SELECT doc_id, substr(regexp_replace(text, '[ \\t\\n\\r]+', '', 'g'), 1, 20000) AS x FROM documents)")
@@ -264,6 +264,78 @@ def k10_windowed_events(spark, d):
     return progress.windowed(t(spark, d, "events")).withColumn("total", F.round("total", 2))
 
 
+@query("SELECT p_partkey, contains(p_type, 'STEEL') OR contains(p_type, 'BRASS') OR contains(p_type, 'TIN') AS external FROM part")
+def b10_external_flag(spark, d):
+    words = F.array(F.lit("STEEL"), F.lit("BRASS"), F.lit("TIN"))
+    return t(spark, d, "part").select("p_partkey", F.exists(words, lambda w: F.contains("p_type", w)).alias("external"))
+
+
+@query("SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') AS pending, count(*) FILTER (o_orderstatus = 'F') AS selected, count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS missing FROM orders GROUP BY o_custkey")
+def d7_status_counts(spark, d):
+    s = F.col("o_orderstatus")
+    return t(spark, d, "orders").groupBy("o_custkey").agg(F.count_if(s == "O").alias("pending"), F.count_if(s == "F").alias("selected"), F.count_if(~s.isin("O", "F")).alias("missing"))
+
+
+@query("SELECT greatest((SELECT max(o_orderkey) FROM orders), (SELECT max(l_orderkey) FROM lineitem)) + 1 AS next_seq")
+def d20_next_seq(spark, d):
+    used = t(spark, d, "orders").select(F.col("o_orderkey").alias("seq")).unionByName(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("seq")))
+    return used.agg((F.max("seq") + 1).alias("next_seq"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, CAST(max(page_idx) + 1 AS BIGINT) AS page_count FROM blocks GROUP BY doc_id")
+def d22_page_count(spark, d):
+    return chapters.blocks(t(spark, d, "documents")).groupBy("doc_id").agg((F.max("page_idx") + 1).cast("long").alias("page_count"))
+
+
+@query("SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS found FROM orders GROUP BY o_custkey")
+def d24_found_categories(spark, d):
+    return t(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("found"))
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type")
+def e8_without_repeats(spark, d):
+    return workflow.without_repeats(t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "user_id", "event_type")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 20")
+def f1_page(spark, d):
+    return t(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(20).limit(20).select("o_orderkey", "o_totalprice")
+
+
+@query("WITH u AS (SELECT c_nationkey AS nation, 0 AS src, c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT s_nationkey, 1, s_suppkey, s_name FROM supplier) SELECT nation, arg_min(name, src * 1000000000000 + k) AS name FROM u GROUP BY nation")
+def g1_ordered_union(spark, d):
+    one = t(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.lit(0).alias("src"), F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    two = t(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.lit(1).alias("src"), F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    return relational.first_wins(one.unionByName(two), "nation", ["src", "k"]).select("nation", "name")
+
+
+@query("SELECT p_partkey, p_name || CASE WHEN n = 1 THEN '' ELSE '-' || (n - 1) END AS name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)")
+def h17_unique_names(spark, d):
+    return files.unique_names(t(spark, d, "part"), "p_name", "p_partkey").select("p_partkey", "name")
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || '_' || l_partkey AS key FROM lineitem")
+def h27_section_keys(spark, d):
+    return t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.concat_ws("_", F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), "l_partkey").alias("key"))
+
+
+@query("SELECT doc_id, CAST(0 AS DOUBLE) AS rank FROM documents WHERE contains(lower(text), 'or')")
+def i3_short_search(spark, d):
+    return search.bm25(t(spark, d, "documents"), "doc_id", "text", "or").withColumnRenamed("id", "doc_id")
+
+
+@query("WITH u AS (SELECT c_custkey AS k, c_name AS name, 0 AS v FROM customer UNION ALL SELECT s_suppkey, s_name, 1 FROM supplier) SELECT k, arg_max(name, v) AS name, max(v) AS v FROM u GROUP BY k")
+def j4_upsert(spark, d):
+    old = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.lit(0).alias("v"))
+    new = t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.lit(1).alias("v"))
+    return relational.latest(old.unionByName(new), ["k"], [F.col("v")])
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN l_linenumber = max(l_linenumber) OVER (PARTITION BY l_orderkey) THEN 'active' ELSE 'deprecated' END AS status FROM lineitem")
+def j5_deprecated_versions(spark, d):
+    return relational.deprecated(t(spark, d, "lineitem"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_partkey", "l_suppkey", "status")
+
+
 @query("SELECT o_orderkey, CASE WHEN o_totalprice > 150000 AND o_orderstatus = 'O' THEN TIMESTAMP '2000-01-01' END AS deleted_at FROM orders")
 def j1_soft_delete(spark, d):
     rows = t(spark, d, "orders").withColumn("deleted_at", F.lit(None).cast("timestamp"))
