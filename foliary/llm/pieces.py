@@ -115,7 +115,10 @@ class Pieces:
         return first
 
     def transfer(self, text: str, end: int) -> np.ndarray:
-        """[i, j]: best score from ``i`` characters past the chunk's start to ``j`` past its end."""
+        """[i, j]: best score from ``i`` characters past the chunk's start to ``j`` past its end.
+
+        If all paths pass a first and a last cut, what lies between adds the same to all entries and is left out.
+        """
         n = self.longest
         out = np.full((n, n), NONE)
         cut = self.first_cut(text, end)
@@ -130,9 +133,8 @@ class Pieces:
         last = self.last_cut(text, cut, end)
         tail, _ = self.lattice(text[last:], {0: 0.0}, end - last)
         tail = np.array(tail[end - last :] + [NONE] * n)[:n]
-        middle = self.lattice(text[cut:last], {0: 0.0}, last - cut)[0][-1] if last > cut else 0.0
         for i in range(n):
-            out[i] = self.lattice(text[:cut], {i: 0.0}, cut)[0][cut] + middle + tail
+            out[i] = self.lattice(text[:cut], {i: 0.0}, cut)[0][cut] + tail
         return out
 
     def entered(self, text: str, end: int, entry: np.ndarray) -> list[int]:
@@ -156,7 +158,15 @@ class Pieces:
         """Ids of the pieces that start in the chunk, entered at i and left at end + j."""
         if i >= end + j:
             return []
-        return self.trace(text, self.lattice(text[: end + j], {i: 0.0}, end)[1], end + j)
+        cut = self.first_cut(text, end)
+        if cut < 0:
+            return self.trace(text, self.lattice(text[: end + j], {i: 0.0}, end)[1], end + j)
+        last = self.last_cut(text, cut, end)
+        data = np.frombuffer(text[cut:last].replace(MARK, " ").encode(), np.uint8)
+        words = self.by_word(data, np.array([0, len(data)]))[0].tolist() if len(data) else []
+        head = self.trace(text, self.lattice(text[:cut], {i: 0.0}, cut)[1], cut)
+        tail = text[last : end + j]
+        return head + words + self.trace(tail, self.lattice(tail, {0: 0.0}, end - last)[1], len(tail))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column's texts end to end, and how many each has. A space stands before each text that isn't empty."""
@@ -166,16 +176,18 @@ class Pieces:
             return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
         # The mark itself in a text is a space too; it's rare, so it is replaced only where it occurs.
         data, at = textops.utf8(pa.array([t.replace(MARK, " ") if MARK in t else t for t in texts], pa.string()))
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        ids, sizes, starts = self.by_word(data, at)
+        doc = np.searchsorted(at, starts, "right") - 1
+        return ids, np.bincount(doc, sizes, len(texts)).astype(np.int64)
+
+    def by_word(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words that cuts part in texts which start at ``at``, end to end; how many each has; where each starts."""
         space = data == 32
         cut = space.copy()
         cut[1:] &= ~space[:-1]
         cut[at[:-1][at[:-1] < len(data)]] = True
         starts = np.flatnonzero(cut)
-        ids, sizes = self.cache.ids(data, starts, np.append(starts[1:], len(data)))
-        doc = np.searchsorted(at, starts, "right") - 1
-        return ids, np.bincount(doc, sizes, len(texts)).astype(np.int64)
+        return *self.cache.ids(data, starts, np.append(starts[1:], len(data))), starts
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The UTF-8 of each text from its ids: the pieces' bytes end to end, without the space that stands before it."""
