@@ -5,12 +5,14 @@ if most of its shingles occur in another set too, which one pass over all shingl
 every shared shingle's frequency is counted and two orders, both rarest first, rank each set's shingles. Linked sets
 share a shingle among the first few under either order, so they lie in one connected part of either order's prefix
 graph (linear in its size: each prefix shingle ties its sets to the smallest of them). Only sets together in both
-parts are verified, exactly and in blocks, and the verified links give the components.
+parts are verified, exactly and in blocks (first with one block of their part, then what that leaves unlinked with the
+rest), and the verified links give the components.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,6 +200,44 @@ def _prefixes(ranked: DataFrame, order: str, num: int, den: int) -> DataFrame:
     return first.join(least, "gram").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
+def _verified(jobs: DataFrame, packed: DataFrame, num: int, den: int) -> DataFrame:
+    """Links within each job of jobs (node, and the columns that name a job)."""
+    names = [c for c in jobs.columns if c != "node"]
+    return written(jobs.join(packed, "node").groupBy(*names).applyInPandas(_verify(num, den), "a binary, b binary"))
+
+
+def _linked(together: DataFrame, packed: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, root) of the linked nodes of together (node, root, other, size), whose parts are (root, other).
+
+    Blocks are by hash, about BLOCK sets each. First each block is verified with its part's block 0: two rows a set.
+    What that leaves outside the part's largest component is then verified with all sets of the part whose size
+    allows a link: sizes fall in bands one threshold wide, so only neighbouring bands meet.
+    """
+    part = ["root", "other"]
+    size = together.groupBy(part).agg(F.expr(f"cast(count(*) div {BLOCK} as int)").alias("last"))
+    placed = written(together.join(size, part).withColumn("job", F.expr("cast(pmod(xxhash64(node), last + 1) as int)")))
+    centre = placed.where("job = 0").withColumn("job", F.explode(F.sequence(F.lit(0), "last")))
+    near = _verified(placed.where("job > 0").unionByName(centre).select("node", *part, "job"), packed, num, den)
+    local = written(components(near))
+    named = placed.where("last > 0").join(local.withColumnRenamed("root", "near"), "node", "left").withColumn("near", F.coalesce("near", "node"))
+    main = named.groupBy(*part, "near").agg(F.count("*").alias("n")).groupBy(part).agg(F.max(F.struct("n", "near")).alias("main"))
+    band = F.floor(F.log("size") / F.lit(1.000001 * max(math.log(den / num), 0.01))).cast("int")
+    kinds = named.join(main, part).select("node", *part, (F.col("near") != F.col("main.near")).alias("outside"), band.alias("band"))
+    groups = written(kinds.groupBy(*part, "outside", "band").agg(F.expr(f"cast(count(*) div {BLOCK} as int)").alias("top")))
+    outer = groups.where("outside").select(*part, F.col("band").alias("at"), F.explode(F.sequence(F.lit(0), "top")).alias("i"))
+    if outer.isEmpty():
+        return local
+    blocks = kinds.join(groups, [*part, "outside", "band"]).select("node", *part, F.struct("outside", "band", F.expr("cast(pmod(xxhash64(node), top + 1) as int)").alias("block")).alias("key"))
+    blocks = written(blocks)
+    one = outer.select(*part, F.struct(F.lit(True).alias("outside"), F.col("at").alias("band"), F.col("i").alias("block")).alias("one"))
+    inner = groups.select(*part, "outside", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("at"), "band", F.explode(F.sequence(F.lit(0), "top")).alias("block"))
+    two = inner.select(*part, "at", F.struct("outside", "band", "block").alias("two"))
+    jobs = written(one.withColumn("at", F.col("one.band")).join(two, [*part, "at"]).where("not two.outside or one <= two").select(*part, "one", "two"))
+    rows = blocks.join(jobs.withColumn("key", F.col("one")), [*part, "key"]).select("node", *part, "one", "two")
+    rows = rows.union(blocks.join(jobs.where("one <> two").withColumn("key", F.col("two")), [*part, "key"]).select("node", *part, "one", "two"))
+    return components(near.union(_verified(rows, packed, num, den)))
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """One row per input row: id, n_shingles, node (its set), component (smallest id that links reach).
 
@@ -228,13 +268,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = components(_prefixes(ranked, "df | gram", num, den))
     second = components(_prefixes(ranked, "bit_length(bin(df)) | xxhash64(gram)", num, den))
     remove(ranked)
-    together = first.join(second.withColumnRenamed("root", "other"), "node").withColumn("place", F.row_number().over(Window.partitionBy("root", "other").orderBy("node")) - 1)
-    block = together.withColumn("block", F.expr(f"cast(place div {BLOCK} as int)"))
-    blocks = block.groupBy("root", "other").agg(F.max("block").alias("last"))
-    pairs = block.join(blocks, ["root", "other"]).withColumn("with", F.explode(F.sequence(F.lit(0), "last")))
-    jobs = pairs.select("node", "root", "other", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    links = written(jobs.join(packed, "node").groupBy("root", "other", "i", "j").applyInPandas(_verify(num, den), "a binary, b binary"))
-    roots = components(links)
+    together = written(first.join(second.withColumnRenamed("root", "other"), "node").join(whole, "node"))
+    roots = _linked(together, packed, num, den)
     named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.where("size > 0").groupBy("root").agg(F.min("id").alias("component"))
     return named.join(least, "root", "left").select(

@@ -78,12 +78,31 @@ def test_op8_repeated_rows_and_null_ids(spark):
     assert sum(r["kept"] for r in got) == 2
 
 
-def test_op9(docs, rows, none):
+@pytest.mark.parametrize("block", [256, 2])
+def test_op9(docs, rows, none, block, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
     got = {r["id"]: (r["n_shingles"], r["component"]) for r in ngram_jaccard.ngram_jaccard_join(docs).collect()}
     assert got == brute.jaccard_components(rows)
     assert ngram_jaccard.ngram_jaccard_join(none).count() == 0
 
 
+def test_op9_links_beyond_the_first_block(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 2)
+    sets = {bytes([k]): np.arange(at, at + n, dtype=np.uint64) for k, (at, n) in enumerate([(2 * i, 20 + i % 3) for i in range(12)] + [(500, 9), (501, 9), (900, 30)])}
+    together = spark.createDataFrame([(k, b"r", b"o", len(x)) for k, x in sets.items()], "node binary, root binary, other binary, size int")
+    packed = spark.createDataFrame([(k, x.tobytes()) for k, x in sets.items()], "node binary, grams binary")
+    got = {bytes(r["node"]): bytes(r["root"]) for r in ngram_jaccard._linked(together, packed, 75, 100).collect()}
+    want = {k: k for k in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                    want[a] = want[b] = min(want[a], want[b])
+    assert {k: got.get(k, k) for k in sets} == want
+    assert len(set(want.values())) == 3
+
+
 def test_op9_blocks():
     sets = [np.array(sorted(x), np.uint64) for x in ({1, 2, 3, 4}, {1, 2, 3, 4, 5}, {9}, {9}, {7, 8})]
     assert sorted(tuple(sorted(x)) for x in ngram_jaccard.block_links(sets, 75, 100)) == [(0, 1), (2, 3)]
