@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from foliary.llm import textops
 from foliary.llm.common import components, remove, table, written
 
-#: Shingles gathered before a task hands them on, bytes of text for each range of shingles, sets of a verified block.
-FLUSH, RANGE_BYTES, BLOCK = 1_000_000, 1 << 23, 256
+#: Shingles gathered before a task hands them on, bytes of text for each range of shingles, sets of a verified block, bytes of a batch.
+FLUSH, RANGE_BYTES, BLOCK, BATCH = 300_000, 1 << 23, 256, 1 << 20
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 SCATTER = "part int, rid long, size int, node binary, here int, rids binary, counts binary, grams binary"
 SCHEMA = pa.schema([("part", pa.int32()), ("rid", pa.int64()), ("size", pa.int32()), ("node", pa.binary()), ("here", pa.int32()), ("rids", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
@@ -73,7 +73,7 @@ def _scatter(shingle: int, parts: int):
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
-        for batch in textops.batches(source):
+        for batch in textops.batches(source, most=BATCH):
             for rid, grams in zip(batch.column(0).to_pylist(), textops.shingle_sets(batch.column(1), shingle), strict=True):
                 held.append((rid, hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else b"", grams))
                 total += len(grams)
@@ -141,7 +141,7 @@ def _total(rows: pa.Table) -> pa.Table:
 
 def _sets(shingle: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textops.batches(source):
+        for batch in textops.batches(source, most=BATCH):
             sets = [x.tobytes() for x in textops.shingle_sets(batch.column(1), shingle)]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["node", "grams"])
 
