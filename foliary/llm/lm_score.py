@@ -2,29 +2,34 @@
 
 Words and pairs of words of all training texts are counted by ranges of their hash. A gram of count c enters the filter
 once for each level 1 .. 1 + floor(log_B c); a reader asks for level after level until one is missing, and takes the
-middle of the last level's counts. The filter is built in segments, one for each range; each has a fixed share of the
-filter's bound, and where the pairs of a segment need more, the rarest go (at least pairs that occur once), so the
-broadcast has a proven size at every scale. Pairs are smoothed with words by a Dirichlet prior. The base score comes
-from exact counts: of frequent words by a bounded broadcast, of all others by a join.
+middle of the last level's counts. The filter holds every gram that was counted, in segments, one for each range, as
+large as their grams need. Segments are broadcast in rounds of a bounded size: the distinct grams of each chunk of
+texts are dealt to the rounds of their ranges, each round answers its own, and the levels are joined back to their
+chunk. Pairs are smoothed with words by a Dirichlet prior. The base score comes from exact counts: of frequent words by
+a bounded broadcast, of all others by a join.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.llm import textops
-from foliary.llm.common import table, written
+from foliary.llm.common import remove, shared_folder, table, written
 
-#: Base of the levels, bits for each entry and probes, bytes of the whole filter and exact frequent words at most,
+#: Base of the levels, bits for each entry and probes, bytes of a round's segments and exact frequent words at most,
 #: grams gathered before a task hands them on, bytes of text for each range, weight of the word prior.
 LEVEL, BITS, PROBES, FILTER_BYTES, FREQUENT, FLUSH, RANGE_BYTES, PRIOR = 1.5, 10, 5, 1 << 26, 1 << 20, 3_000_000, 1 << 26, 2000.0
 END_HASH, START_HASH = 0x5EED0E4D, 0x5EED057A
 PACKED = "kind int, part int, docs long, grams binary, counts binary"
+ASKED = ["round", "chunk", "row", "docs", "words", "pairs"]
 
 
 def held_out(id_col: str) -> F.Column:
@@ -98,7 +103,7 @@ def _slots(grams: np.ndarray, level: int | np.ndarray, bits: int) -> Iterator[np
 
 
 def build_segment(grams: np.ndarray, counts: np.ndarray, fewest: int, most_bytes: int) -> tuple[np.ndarray, int]:
-    """The bits of a segment and the least count that it holds."""
+    """The bits of a segment and the least count that it holds: ``fewest``, or more where ``most_bytes`` are too few."""
     while True:
         kept = counts >= fewest
         level = levels(counts[kept])
@@ -111,8 +116,9 @@ def build_segment(grams: np.ndarray, counts: np.ndarray, fewest: int, most_bytes
     held = grams[kept]
     for k in range(1, int(level.max(initial=0)) + 1):
         some = held[level >= k]
-        for slot in _slots(some, k, bits):
-            out[slot] = True
+        for a in range(0, len(some), 1 << 20):
+            for slot in _slots(some[a : a + (1 << 20)], k, bits):
+                out[slot] = True
     return np.packbits(out, bitorder="little"), fewest
 
 
@@ -136,57 +142,164 @@ def probe(segments: list[np.ndarray], grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def _reduce(most: dict[int, int]):
-    def run(rows: pa.Table) -> pa.Table:
-        kind, part = rows.column("kind")[0].as_py(), rows.column("part")[0].as_py()
-        grams = np.frombuffer(b"".join(rows.column("grams").to_pylist()), "<u8")
-        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u4").astype(np.int64)
-        order = np.argsort(grams, kind="stable")
-        grams, counts = grams[order], counts[order]
-        start = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-        grams, counts = grams[start], np.add.reduceat(counts, start)
-        bits, fewest = build_segment(grams, counts, kind, most[kind])
-        exact = kind == 1
-        return pa.table({"kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32()), "fewest": pa.array([fewest], pa.int64()), "n": pa.array([int(counts.sum())], pa.int64()), "distinct": pa.array([len(grams)], pa.int64()), "segment": pa.array([bits.tobytes()], pa.binary()), "grams": pa.array([grams.tobytes() if exact else None], pa.binary()), "counts": pa.array([counts.astype("<i8").tobytes() if exact else None], pa.binary())})
+def _reduce(rows: pa.Table) -> pa.Table:
+    kind, part = rows.column("kind")[0].as_py(), rows.column("part")[0].as_py()
+    grams, counts, held, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+    for k in range(rows.num_rows):
+        held.append((np.frombuffer(rows.column("grams")[k].as_buffer(), "<u8"), np.frombuffer(rows.column("counts")[k].as_buffer(), "<u4")))
+        waiting += len(held[-1][0])
+        # Merged from time to time, so memory follows the distinct grams.
+        if waiting > max(FLUSH, len(grams)) or k == rows.num_rows - 1:
+            grams, counts = np.concatenate([grams, *(x[0] for x in held)]), np.concatenate([counts, *(x[1] for x in held)]).astype(np.int64)
+            order = np.argsort(grams, kind="stable")
+            grams, counts = grams[order], counts[order]
+            start = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+            grams, counts = grams[start], np.add.reduceat(counts, start)
+            held, waiting = [], 0
+    bits, fewest = build_segment(grams, counts, 1, sys.maxsize)
+    exact = kind == 1
+    return pa.table({"kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32()), "fewest": pa.array([fewest], pa.int64()), "n": pa.array([int(counts.sum())], pa.int64()), "distinct": pa.array([len(grams)], pa.int64()), "size": pa.array([len(bits)], pa.int64()), "segment": pa.array([bits.tobytes()], pa.binary()), "grams": pa.array([grams.tobytes() if exact else None], pa.binary()), "counts": pa.array([counts.astype("<i8").tobytes() if exact else None], pa.binary())})
+
+
+def in_rounds(sizes: list[int], most: int) -> list[int]:
+    """The first part of each round of consecutive parts; a round has at most ``most`` bytes, or one part."""
+    first, held = [], 0
+    for part, size in enumerate(sizes):
+        if not first or held + size > most:
+            first.append(part)
+            held = 0
+        held += size
+    return first
+
+
+def _grams(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Word hashes, the offsets of the texts, then distinct words and each token's, distinct pairs and each token's."""
+    word, before, at = tokens(column)
+    return word, at, *np.unique(word, return_inverse=True), *np.unique(pair(before, word), return_inverse=True)
+
+
+def _binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """``values`` end to end as binaries of ``sizes`` values."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _chunk(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows with the number of the batch that each is in, in front."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in textops.batches(source):
+        yield pa.record_batch([pa.array(np.full(batch.num_rows, number)), *batch.columns], names=["chunk", "id", "held_out", "text"])
+        number += 1
+
+
+def _ask(first: list[int], parts: int):
+    """The distinct grams of each chunk's rows by round. A chunk that a reader cuts asks piece by piece."""
+    rounds = len(first)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textops.batches(source):
+            chunk, row = (batch.column(k).to_numpy() for k in (0, 4))
+            cuts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]]))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                _, _, words, _, pairs, _ = _grams(batch.column(3).slice(a, b - a))
+                # Ranges rise with the grams, so the rounds' shares lie one behind the other.
+                columns = [_binaries(x, np.bincount(np.searchsorted(first, part_of(x, parts).astype(np.int64), "right") - 1, minlength=rounds)) for x in (words, pairs)]
+                same = [pa.array(np.full(rounds, v)) for v in (chunk[a], row[a], b - a)]
+                yield pa.record_batch([pa.array(np.arange(rounds, dtype=np.int32)), *same, *columns], names=ASKED)
+
+    return run
+
+
+def _answer(model):
+    """The levels of a round's grams, a byte each, in the order in which they were asked for."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in source:
+            for k in range(batch.num_rows):
+                part = batch.slice(k, 1)
+                levels = [probe(m[kind], np.frombuffer(part.column(kind)[0].as_py(), "<u8")).astype(np.uint8) for kind in ("words", "pairs")]
+                yield pa.record_batch([*part.columns[:4], *(pa.array([x.tobytes()], pa.binary()) for x in levels)], names=ASKED)
 
     return run
 
 
+def _segments(counted: DataFrame, parts: int, a: int, b: int) -> dict[str, list[np.ndarray]]:
+    """The segments of parts a .. b - 1; all others are empty."""
+    empty = np.zeros(0, np.uint8)
+    out = {"words": [empty] * parts, "pairs": [empty] * parts}
+    for r in counted.where(f"part >= {a} and part < {b}").select("kind", "part", "segment").toLocalIterator():
+        out["words" if r["kind"] == 1 else "pairs"][r["part"]] = np.frombuffer(bytes(r["segment"]), np.uint8)
+    return out
+
+
+def _answered(rows: DataFrame, counted: DataFrame, parts: int, first: list[int]) -> tuple[DataFrame, DataFrame]:
+    """The rows by chunk, and the levels of each chunk's distinct grams, found round by round."""
+    spark = rows.sparkSession
+    rows = written(rows.mapInArrow(_chunk, "chunk long, id long, held_out boolean, text string").withColumn("row", F.monotonically_increasing_id()))
+    form = "round int, chunk long, row long, docs long, words binary, pairs binary"
+    folder = shared_folder(spark)
+    rows.mapInArrow(_ask(first, parts), form).write.partitionBy("round").parquet(folder)
+    asked = spark.read.schema(form).parquet(folder).select(ASKED)
+    found = []
+    for k, (a, b) in enumerate(zip(first, [*first[1:], parts], strict=True)):
+        shared = spark.sparkContext.broadcast(_segments(counted, parts, a, b))
+        found.append(written(asked.where(F.col("round") == k).mapInArrow(_answer(shared), form)))
+        shared.destroy()
+    remove(asked)
+    return rows, reduce(DataFrame.unionByName, found)
+
+
 def _unpack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in source:
         for grams, counts in zip(batch.column(0), batch.column(1), strict=True):
             yield pa.record_batch([pa.array(np.frombuffer(grams.as_py(), np.int64)), pa.array(np.frombuffer(counts.as_py(), "<i8"))], names=["gram", "c"])
 
 
-def _score(model, prior: float):
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        grams, counts, total, distinct = m["grams"], m["counts"], m["total"], m["distinct"]
-        # N + 1 * (V + 1) tokens of weight, one of them for all words not seen.
-        mass = total + distinct + 1
-        for batch in textops.batches(source):
-            word, before, at = tokens(batch.column(2))
-            n = np.diff(at)
-            doc = np.repeat(np.arange(len(n)), n)
-            unique, inverse = np.unique(word, return_inverse=True)
-            place = np.minimum(np.searchsorted(grams, unique), max(len(grams) - 1, 0))
-            known = grams[place] == unique if len(grams) else np.zeros(len(unique), bool)
-            exact = np.where(known, counts[place] if len(grams) else 0, 0)
-            level = probe(m["words"], unique)
-            about = middle(level)[inverse]
-            pairs, back = np.unique(pair(before, word), return_inverse=True)
-            both = middle(probe(m["pairs"], pairs))[back]
-            history = np.empty(len(word))
-            history[1:] = about[:-1]
-            history[at[:-1]] = m["docs"]
-            both = np.minimum(both, np.minimum(history, about))
-            p = np.log10((both + prior * (about + 1) / mass) / (history + prior))
-            hit = known[inverse]
-            base = np.bincount(doc, np.where(hit, np.log10(exact[inverse] + 1.0), 0.0), len(n))
-            seen = np.bincount(doc, hit, len(n)).astype(np.int64)
-            rare = [word[a:b][~hit[a:b]].view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)), pa.array(np.concatenate(rare)))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n), pa.array(seen), pa.array(base), pa.array(np.bincount(doc, p, len(n))), lists], names=["id", "held_out", "n_tokens", "hits", "part", "score", "rare"])
+def _record(batch: pa.RecordBatch | pa.Table, m: dict, prior: float, grams: tuple[np.ndarray, ...], level: np.ndarray, pair_level: np.ndarray) -> pa.RecordBatch:
+    """The scores of a batch of (id, held_out, text) from the levels of its distinct words and pairs."""
+    word, at, unique, inverse, _, back = grams
+    counted, counts, total, distinct = m["grams"], m["counts"], m["total"], m["distinct"]
+    # N + 1 * (V + 1) tokens of weight, one of them for all words not seen.
+    mass = total + distinct + 1
+    n = np.diff(at)
+    doc = np.repeat(np.arange(len(n)), n)
+    place = np.minimum(np.searchsorted(counted, unique), max(len(counted) - 1, 0))
+    known = counted[place] == unique if len(counted) else np.zeros(len(unique), bool)
+    exact = np.where(known, counts[place] if len(counted) else 0, 0)
+    about = middle(level)[inverse]
+    both = middle(pair_level)[back]
+    history = np.empty(len(word))
+    history[1:] = about[:-1]
+    history[at[:-1]] = m["docs"]
+    both = np.minimum(both, np.minimum(history, about))
+    p = np.log10((both + prior * (about + 1) / mass) / (history + prior))
+    hit = known[inverse]
+    base = np.bincount(doc, np.where(hit, np.log10(exact[inverse] + 1.0), 0.0), len(n))
+    seen = np.bincount(doc, hit, len(n)).astype(np.int64)
+    rare = [word[a:b][~hit[a:b]].view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)), pa.array(np.concatenate(rare)))
+    return pa.record_batch([batch.column(0), batch.column(1), pa.array(n), pa.array(seen), pa.array(base), pa.array(np.bincount(doc, p, len(n))), lists], names=["id", "held_out", "n_tokens", "hits", "part", "score", "rare"])
+
+
+def _score_chunk(model, prior: float):
+    """The scores of a chunk's rows; each piece of it takes its levels of all rounds, which follow the order of its grams."""
+
+    def run(rows: pa.Table, levels: pa.Table) -> pa.Table:
+        rows = rows.sort_by("row").select(["id", "held_out", "text"]).combine_chunks()
+        levels = levels.sort_by([("row", "ascending"), ("round", "ascending")])
+        starts, docs = (levels.column(c).to_numpy() for c in ("row", "docs"))
+        cuts = np.flatnonzero(np.concatenate([[True], starts[1:] != starts[:-1], [True]]))
+        out, at = [], 0
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            piece = rows.slice(at, docs[a]).combine_chunks().to_batches()[0]
+            at += docs[a]
+            grams = _grams(piece.column(2))
+            found = [np.frombuffer(b"".join(levels.column(c).slice(a, b - a).to_pylist()), np.uint8) for c in ("words", "pairs")]
+            out.append(_record(piece, model.value, prior, grams, *found))
+        if at != rows.num_rows:
+            raise ValueError("rows of a chunk without levels")
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -195,25 +308,24 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, pair_cutoff.
 
     Learns from the whole texts of rows that are not held out. Null and empty texts are one end token. Repeated rows
-    are learned from as often as they occur and scored alike. Without any training row every count is 0.
+    are learned from as often as they occur and scored alike. Without any training row every count is 0. Every word
+    and pair counts, those seen once as well, so pair_cutoff is 1; ``filter_bytes`` bound what is broadcast at once.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     train = rows.where("not held_out")
     nbytes, trained = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     parts = max(1, -(-nbytes // RANGE_BYTES))
-    most = {1: filter_bytes // 4 // parts, 2: filter_bytes // 4 * 3 // parts}
     counted = written(
         train.select("text").mapInArrow(_gather(parts), PACKED).groupBy("kind", "part")
-        .applyInArrow(_reduce(most), "kind int, part int, fewest long, n long, distinct long, segment binary, grams binary, counts binary")
+        .applyInArrow(_reduce, "kind int, part int, fewest long, n long, distinct long, size long, segment binary, grams binary, counts binary")
     )
-    # Segments are filter_bytes together at most, whatever the corpus.
-    empty = np.zeros(0, np.uint8)
-    model = {"words": [empty] * parts, "pairs": [empty] * parts, "docs": trained}
-    cutoff = 1
-    for r in counted.select("kind", "part", "fewest", "segment").toLocalIterator():
-        model["words" if r["kind"] == 1 else "pairs"][r["part"]] = np.frombuffer(bytes(r["segment"]), np.uint8)
-        cutoff = max(cutoff, r["fewest"])
+    sizes, cutoff = [0] * parts, 1
+    for r in counted.groupBy("part").agg(F.sum("size").alias("size"), F.max("fewest").alias("fewest")).collect():
+        sizes[r["part"]], cutoff = r["size"], max(cutoff, r["fewest"])
+    first = in_rounds(sizes, filter_bytes)
+    model = {"docs": trained}
+    rows, answers = _answered(rows, counted, parts, in_rounds(sizes, filter_bytes))
     total, distinct = counted.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     words = written(counted.where("kind = 1").select("grams", "counts").mapInArrow(_unpack, "gram long, c long"))
     # The least power of two from which at most ``frequent`` words are as frequent.
@@ -224,9 +336,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     held = words.where(F.col("c") >= 2.0**least).toArrow()
     grams, counts = held.column("gram").to_numpy().view(np.uint64), held.column("c").to_numpy()
     order = np.argsort(grams)
-    model |= {"grams": grams[order], "counts": counts[order], "total": total, "distinct": distinct}
+    model = {"grams": grams[order], "counts": counts[order], "total": total, "distinct": distinct, "docs": trained}
     shared = spark.sparkContext.broadcast(model)
-    scored = written(rows.mapInArrow(_score(shared, prior), "id long, held_out boolean, n_tokens long, hits long, part double, score double, rare array<long>").withColumn("row", F.monotonically_increasing_id()))
+    form = "id long, held_out boolean, n_tokens long, hits long, part double, score double, rare array<long>"
+    by_chunk = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(shared, prior), form)
+    scored = written(by_chunk.withColumn("row", F.monotonically_increasing_id()))
+    shared.destroy()
+    remove(rows)
+    remove(answers)
     rest = scored.select("row", F.explode("rare").alias("gram")).groupBy("row", "gram").agg(F.count("*").alias("k"))
     more = rest.join(words, "gram").groupBy("row").agg(F.sum("k").alias("found"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("gain"))
     mass = F.log10(F.lit(float(total + distinct + 1)))

@@ -165,6 +165,28 @@ def test_op3(docs, rows, none, frequent):
     assert lm_score.lm_scores(none).count() == 0
 
 
+def test_op3_pairs_seen_once_count(spark):
+    names = [k for k in range(40) if zlib.crc32(str(k).encode()) % 7 == 2]
+    train = [(k, f"red{k} car{k} big{k} house{k}") for k in range(40) if k not in names]
+    a = train[3][0]
+    docs = spark.createDataFrame([*train, (names[0], f"red{a} car{a} big{a} house{a}"), (names[1], f"car{a} red{a} house{a} big{a}")], "doc_id long, text string")
+    out = {r["id"]: r for r in lm_score.lm_scores(docs, prior=1.0).collect()}
+    assert {r["pair_cutoff"] for r in out.values()} == {1}
+    assert out[names[0]]["score"] > out[names[1]]["score"] + 1
+
+
+def test_op3_rounds_cut_nothing(docs, none, monkeypatch):
+    assert lm_score.in_rounds([5, 5, 20, 1, 1], 10) == [0, 2, 3]
+    monkeypatch.setattr(lm_score, "RANGE_BYTES", 8000)
+    want = {r["id"]: r for r in lm_score.lm_scores(docs).collect()}
+    for most in (1, 4000):
+        got = {r["id"]: r for r in lm_score.lm_scores(docs, filter_bytes=most).collect()}
+        assert got.keys() == want.keys()
+        for i, r in got.items():
+            assert r["score"] == pytest.approx(want[i]["score"]) and r["base_score"] == pytest.approx(want[i]["base_score"]) and (r["n_known"], r["pair_cutoff"]) == (want[i]["n_known"], 1)
+    assert lm_score.lm_scores(none, filter_bytes=1).count() == 0
+
+
 def test_op3_filter_has_no_false_negatives():
     grams = textops.mix(np.arange(5000, dtype=np.uint64))
     counts = np.arange(1, 5001)
