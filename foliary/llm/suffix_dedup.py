@@ -220,8 +220,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, members: int = MEMBERS
     per_row = unsettled.groupBy("rid").agg(F.collect_list(F.struct("gram", "n", "first", "more", "lead", F.lit(length).alias("length"))).alias("runs"))
     texts = rows.select("rid", "text").join(per_row, "rid").select("rid", "text", "runs")
     entry = "gram long, single boolean, rid long, at long, left binary, right binary"
-    # A repeated row (same id and text) brings its entries once more; as one entry they are as many as they were.
-    entries = written(texts.mapInArrow(_entries, entry).dropDuplicates(["gram", "rid", "at"]))
+    # A repeated row (same id and text) brings its entries once more; as one entry they are as many as they were. A run
+    # that a slice's border cuts is two entries with one anchor, told apart by their first windows.
+    found = texts.mapInArrow(_entries, entry).withColumn("first", F.col("at") - F.octet_length("left"))
+    entries = written(found.dropDuplicates(["gram", "rid", "at", "first"]).drop("first"))
     large = unsettled.where(f"kinds > {members}").select("gram").distinct()
     small = entries.join(large, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "right")
     scanned = small.mapInArrow(_scan(length), "rid long, a long, b long")

@@ -116,6 +116,19 @@ def test_op4(docs, rows, none, members):
     assert suffix_dedup.suffix_array_dedup(none).count() == 0
 
 
+def test_op4_runs_across_slice_borders(spark):
+    rng = random.Random(11)
+    text, passages = "", []
+    for k in range(1, 11):
+        passages.append(words(rng, 130, 1000))
+        fill = suffix_dedup.SLICE * k - 10 - 5 * k - len(text)
+        text += words(rng, fill // 5, 1000)[:fill] + passages[-1]
+    rows = [(1, text), (2, "".join(p + words(rng, 90, 1000) for p in passages))]
+    want = {k: (gone, spans, hashlib.sha256(kept).hexdigest()) for k, (_, gone, spans, kept) in brute.repeated_bytes(rows).items()}
+    found = suffix_dedup.suffix_array_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r["id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found} == want
+
+
 def test_op4_intervals():
     rights = sorted([b"aab", b"aac", b"ab", b"b"])
     assert list(suffix_dedup.intervals(rights)) == [(2, 0, 1), (1, 0, 2), (0, 0, 3)]
