@@ -126,7 +126,7 @@ class Encoder:
 
     The byte-level pre-tokenizer cuts at changes of letter, number, space and other characters. Texts whose
     characters are all under U+0250 are cut here in whole batches; any other text, and one with an apostrophe before a
-    letter that may be a contraction, goes to the library as it is.
+    letter that may be a contraction or with the content of an added token, goes to the library as it is.
     """
 
     LIMIT = 0x250
@@ -138,7 +138,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         kinds = []
         for c in range(self.LIMIT):
             name = unicodedata.category(chr(c))
@@ -176,6 +176,12 @@ class Encoder:
             odd |= quote & np.isin(after, np.frombuffer(b"stmdrvl", np.uint8))
         hard = np.add.reduceat(np.append(odd, False).astype(np.int64), np.minimum(doc[:-1], len(odd)))
         hard[doc[1:] == doc[:-1]] = 0
+        raw = data.tobytes()
+        for content in self.added:
+            k = raw.find(content)
+            while k >= 0:
+                hard[np.searchsorted(at, k, "right") - 1] = 1
+                k = raw.find(content, k + 1)
         return where[start], hard > 0
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

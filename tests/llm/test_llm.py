@@ -269,6 +269,18 @@ def test_op7_cuts_like_the_library():
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == coder.library(texts)
 
 
+def test_op7_texts_that_hold_an_added_token():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "plain text", "<|endoftext|>", None, "<|endoftext", "|> x", "é<|endoftext|><|endoftext|> it's", ""]
+    ids, counts = token_files.Encoder(path).encode(pa.array(texts))
+    fresh = Tokenizer.from_file(path)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert 50256 in ids
+
+
 def test_op1(spark, docs, rows, none):
     public = pytest.importorskip("public_tokenizers")
     path = public.path("piece_bpe_32k.model")
