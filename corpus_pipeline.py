@@ -13,10 +13,18 @@ from foliary.llm.quality import learn, quality_filter
 from foliary.llm.suffix_dedup import suffix_array_dedup
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids, one of each."""
-    ids = ids.select(F.col("id").alias("kept_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+#: Tells rows apart within a stage, whatever their doc_id.
+ROW = "stage_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with ROW, as a written table: the key of a row is the same whenever it is read."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _only(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of keyed that found keeps."""
+    return keyed.join(found.where("kept").select(F.col("row").alias(ROW)), ROW, "left_semi").select([c for c in keyed.columns if c != ROW])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,21 +33,25 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for A-Z case, the document with the largest doc_id stays."""
-    return _only(docs, exact_dedup(docs).where("kept").select("id"))
+    """Of texts equal but for A-Z case, one row with the largest doc_id stays; a null doc_id is the smallest."""
+    docs = _keyed(docs)
+    return _only(docs, exact_dedup(docs, row_col=ROW))
 
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of Jaccard 0.75 or more reach, the document with the smallest doc_id stays."""
-    return _only(docs, ngram_jaccard_join(docs).where("id <=> component").select("id"))
+    """Of each group that links of Jaccard 0.75 or more reach, one row with the smallest doc_id stays, one without only if none has any."""
+    docs = _keyed(docs)
+    return _only(docs, ngram_jaccard_join(docs, row_col=ROW))
 
 
 def suffix_array_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose what repeats of 400 bytes cover; a document of which nothing is left goes."""
-    found = suffix_array_dedup(docs).where("n_removed = 0 or kept <> ''").select(F.col("id").alias("kept_id"), "n_removed", "kept")
-    rows = docs.join(found, docs["doc_id"].eqNullSafe(found["kept_id"]))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return rows.withColumns({"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}).select(docs.columns)
+    """Texts lose what repeats of 400 bytes cover; a document of which nothing is left goes. Each row is cut by itself, whatever its doc_id."""
+    others = [c for c in docs.columns if c != "text"]
+    found = suffix_array_dedup(docs, carry=F.struct(F.col("text").isNull().alias("text"), *others)).where("n_removed = 0 or kept <> ''")
+    own = {c: F.col("carried")[c] for c in others}
+    own["text"] = F.when(~F.col("carried.text"), F.col("kept"))
+    own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(own["n_chars"])
+    return found.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

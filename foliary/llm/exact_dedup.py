@@ -33,7 +33,8 @@ def _digests(digest: Callable[[bytes], str], last: str = "locator") -> Callable[
             view = memoryview(data.tobytes())
             found = [digest(view[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             kept = batch.column(2) if last == "locator" else pa.array([bytes(view[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
-            yield pa.record_batch([batch.column(0), kept, pa.array(found, pa.string())], names=["id", last, "digest"])
+            row = batch.columns[3:]
+            yield pa.record_batch([batch.column(0), kept, pa.array(found, pa.string()), *row], names=["id", last, "digest", "row"][: 3 + len(row)])
 
     return run
 
@@ -62,35 +63,40 @@ def keyed_state(rows: DataFrame) -> DataFrame:
     return kept.select(F.col("key.digest").alias("digest"), F.col("value")[value[0]].alias("keep"), F.col("value")[value[1]].alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], str] = sha256) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, digest.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], str] = sha256, row_col: str | None = None) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, digest, and row where ``row_col`` names a column.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
     largest id stays; among repeated rows with that id exactly one is kept, and each counts in group_size. A null
-    id is the smallest. Other columns, whatever their names, are not read. An empty table gives no rows.
+    id is the smallest. Other columns, whatever their names, are not read. An empty table gives no rows. ``row_col``
+    is a long that is another in each row and the same whenever docs is read; it tells rows of one id apart.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    tagged = written(source.withColumn("locator", F.input_file_name()).mapInArrow(_digests(digest), "id long, locator string, digest string").withColumn("row", F.monotonically_increasing_id()))
+    key, named = ("row", ["row"]) if row_col else ("id", [])
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(row_col).alias("row") for _ in named])
+    located = source.select("id", "text", F.input_file_name().alias("locator"), *named)
+    tagged = located.mapInArrow(_digests(digest), "id long, locator string, digest string" + (", row long" if row_col else ""))
+    tagged = written(tagged if row_col else tagged.withColumn("row", F.monotonically_increasing_id()))
     if not tagged.inputFiles() or tagged.isEmpty():
-        return tagged.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+        return tagged.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest", *named)
     state = keyed_state(tagged)
     found = tagged.join(state, "digest").select("id", "row", "digest", "keep", "group_size")
     # Full bytes of every hit: all texts of a digest are one text just when their smallest and largest agree.
-    hits = found.where("group_size > 1").select(F.col("id").alias("hit")).distinct()
+    hits = found.where("group_size > 1").select(F.col(key).alias("hit")).distinct()
     several = found.where("group_size > 1").select("digest").distinct()
-    suspects = source.join(hits, F.col("id").eqNullSafe(F.col("hit")), "left_semi").mapInArrow(_digests(digest, "raw"), "id long, raw binary, digest string")
+    suspects = source.select(F.col(key).alias("id"), "text").join(hits, F.col("id").eqNullSafe(F.col("hit")), "left_semi").mapInArrow(_digests(digest, "raw"), "id long, raw binary, digest string")
     texts = suspects.join(several, "digest", "left_semi")
     clash = written(texts.groupBy("digest").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("digest"))
     same = found.join(clash, "digest", "left_anti") if not clash.isEmpty() else found
-    result = same.select("id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "digest")
+    columns = ["id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "digest", *named]
+    result = same.select(*columns)
     if clash.isEmpty():
         return result
     # Exact way for a digest shared by different texts: the text itself is the key. Repeated ids there share a text.
     own = texts.join(clash, "digest", "left_semi").select(F.col("digest").alias("d"), F.col("id").alias("own_id"), "raw").distinct()
-    parts = found.join(clash, "digest", "left_semi").join(own, (F.col("d") == F.col("digest")) & F.col("id").eqNullSafe(F.col("own_id"))).select("id", "row", "digest", "raw")
+    parts = found.join(clash, "digest", "left_semi").join(own, (F.col("d") == F.col("digest")) & F.col(key).eqNullSafe(F.col("own_id"))).select("id", "row", "digest", "raw")
     least = parts.groupBy("digest", "raw").agg(F.max(F.struct("id", "row")).alias("keep"), F.count("*").alias("group_size"))
-    return result.unionByName(parts.join(least, ["digest", "raw"]).select("id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "digest"))
+    return result.unionByName(parts.join(least, ["digest", "raw"]).select(*columns))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

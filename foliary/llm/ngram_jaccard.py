@@ -238,24 +238,28 @@ def _linked(together: DataFrame, packed: DataFrame, num: int, den: int) -> DataF
     return components(near.union(_verified(rows, packed, num, den)))
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 75, den: int = 100, row_col: str | None = None) -> DataFrame:
     """One row per input row: id, n_shingles, node (its set), component (smallest id that links reach).
+    Where ``row_col`` names a column, also row and kept.
 
     Sets link when den * intersection >= num * union; num / den must be at least 1/2. Null and empty texts and
     texts without words have no shingle, node null, and link with nothing: their component is their own id.
-    Repeated rows and null ids are ordinary members of their text's node. Long texts are read whole.
+    Repeated rows and null ids are ordinary members of their text's node. Long texts are read whole. ``row_col`` is a long that is another in each
+    row and the same whenever docs is read; of rows that links reach, kept is true for one with the smallest id (a null
+    id is the largest), and for each row without shingles.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    key, named = ("row", ["row"]) if row_col else ("id", [])
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(row_col).alias("row") for _ in named])
     nbytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-nbytes // RANGE_BYTES))
-    keyed = source.withColumn("rid", F.xxhash64("id", F.length("text"), F.crc32("text")))
+    keyed = source.withColumn("rid", F.xxhash64(key, F.length("text"), F.crc32("text")))
     tally = written(
         keyed.select("rid", "text").mapInArrow(_scatter(shingle, parts), SCATTER).groupBy("part").applyInArrow(_match(parts), SCATTER)
         .groupBy("part").applyInArrow(_total, "rid long, size int, node binary, seen long")
     )
     per = tally.groupBy("rid").agg(F.max("size").alias("size"), F.max("node").alias("node"), F.max("seen").alias("seen"))
-    members = written(source.select("id", F.xxhash64("id", F.length("text"), F.crc32("text")).alias("rid")).join(per, "rid").select("id", "rid", "size", "node", "seen"))
+    members = written(keyed.select("id", "rid", *named).join(per, "rid").select("id", "rid", "size", "node", "seen", *named))
     open_nodes = members.where("size > 0").groupBy("node", "size").agg(F.max("seen").alias("seen"), F.min("rid").alias("rid")).where(f"{den} * seen >= {num} * size")
     texts = keyed.join(open_nodes.select("rid", "node"), "rid").select("node", "text")
     packed = written(texts.mapInArrow(_sets(shingle), "node binary, grams binary").dropDuplicates(["node"]))
@@ -270,10 +274,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     remove(ranked)
     together = written(first.join(second.withColumnRenamed("root", "other"), "node").join(whole, "node"))
     roots = _linked(together, packed, num, den)
-    named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.where("size > 0").groupBy("root").agg(F.min("id").alias("component"))
-    return named.join(least, "root", "left").select(
-        "id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("node")).alias("node"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias("component")
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    one = [F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("one") for _ in named]
+    least = rooted.where("size > 0").groupBy("root").agg(F.min("id").alias("component"), *one)
+    kept = [F.when(F.col("size") > 0, F.col("row") == F.col("one.row")).otherwise(F.lit(True)).alias("kept") for _ in named]
+    return rooted.join(least, "root", "left").select(
+        "id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("node")).alias("node"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias("component"), *named, *kept
     )
 
 

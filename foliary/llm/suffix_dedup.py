@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foliary.llm import textops
 from foliary.llm.common import remove, table, written
@@ -29,8 +30,8 @@ def _rid() -> F.Column:
     return F.xxhash64("id", "text")
 
 
-def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("rid", _rid())
+def _docs(docs: DataFrame, id_col: str, text_col: str, *carried: F.Column) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carried).withColumn("rid", _rid())
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, rolling: textops.Rolling) -> Iterator[tuple[np.ndarray, ...]]:
@@ -272,20 +273,25 @@ def _cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["n_spans"].append(len(gone))
             out["kept_sha256"].append(hashlib.sha256(b"".join(keep)).hexdigest())
             out["kept"].append(b"".join(left).decode())
-        yield pa.record_batch([batch.column(0), *(pa.array(out[n], pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.string())], names=["id", *out])
+        carried = batch.columns[3:]
+        yield pa.record_batch([batch.column(0), *(pa.array(out[n], pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.string()), *carried], names=["id", *out, "carried"][: 6 + len(carried)])
 
 
-def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, members: int = MEMBERS) -> DataFrame:
-    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, kept.
+def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, members: int = MEMBERS, carry: F.Column | None = None) -> DataFrame:
+    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, kept, and carried: what ``carry`` is in that row.
 
     Removes every byte covered by a string of ``length`` bytes that also starts anywhere else, in the same text or
     another; strings are judged on the input. ``kept`` is the text that remains, in which a character goes only if
     all its bytes are covered; kept_sha256 is of the remaining bytes exactly. Null and empty texts keep nothing and
     lose nothing; repeated rows are documents of their own, so they cover each other. Extra columns are not read.
     """
-    rows = _docs(docs, id_col, text_col)
+    carried = [] if carry is None else ["carried"]
+    rows = _docs(docs, id_col, text_col, *[carry.alias(c) for c in carried])
     spans = repeated_spans(rows, length, members)
-    return rows.join(spans, "rid", "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    form = StructType.fromDDL("id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    for c in carried:
+        form = form.add(c, rows.schema[c].dataType)
+    return rows.join(spans, "rid", "left").select("id", "text", "spans", *carried).mapInArrow(_cut, form)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -347,6 +347,29 @@ def test_pipeline(spark, tmp_path):
     assert set(packed["doc_id"]) == {r["doc_id"] for r in kept.collect()}
 
 
+def test_stages_keep_rows_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    a, b, c, d, e = (words(rng, 120, 1000) for _ in range(5))
+    rows = [(None, a), (None, b), (None, None), (7, c), (7, d), (7, c), (8, c.upper()), (None, c), (9, e), (9, e + " end"), (None, e + " off")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def by(stage, docs=docs):
+        out = stage(spark, docs, None)
+        assert out.columns == docs.columns
+        return sorted(((r["source"], r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()), key=lambda r: int(r[0][1:]))
+
+    every = [(f"s{k}", i, t, len(t or "")) for k, (i, t) in enumerate(rows)]
+    assert by(corpus_pipeline.exact_dedup_stage) == [every[k] for k in (0, 1, 2, 4, 6, 8, 9, 10)]
+    near = [r for r in by(corpus_pipeline.ngram_jaccard_stage) if int(r[0][1:]) < 8]
+    assert near in ([every[k] for k in (0, 1, 2, 3, 4)], [every[k] for k in (0, 1, 2, 4, 5)])
+    # s6 is in capitals, so its bytes repeat nowhere; s3, s5 and s7 are covered whole.
+    left = by(corpus_pipeline.suffix_array_stage)
+    assert [r for r in left if int(r[0][1:]) < 8] == [every[k] for k in (0, 1, 2, 4, 6)]
+    assert [r[2:] for r in left if int(r[0][1:]) >= 8] == [("end", 3), ("off", 3)]
+
+
 def test_best_takes_smaller_ids():
     assert topk.best(np.array([5, 3, 9]), np.array([1, 1, 1]), 2).tolist() == [1, 0]
     assert topk.matrix(pd.Series([[1, 2], [3]]), 3).tolist() == [[1, 2, 0], [3, 0, 0]]
