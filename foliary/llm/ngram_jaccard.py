@@ -27,6 +27,8 @@ from foliary.llm.common import components, remove, table, written
 
 #: Shingles gathered before a task hands them on, bytes of text for each range of shingles, sets of a verified block, bytes of a batch.
 FLUSH, RANGE_BYTES, BLOCK, BATCH = 300_000, 1 << 23, 256, 1 << 20
+#: Stands for no owner; no row has it.
+NOBODY = -1
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 SCATTER = "part int, rid long, size int, node binary, here int, rids binary, counts binary, grams binary"
 SCHEMA = pa.schema([("part", pa.int32()), ("rid", pa.int64()), ("size", pa.int32()), ("node", pa.binary()), ("here", pa.int32()), ("rids", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
@@ -52,7 +54,7 @@ def _scatter(shingle: int, parts: int):
         here = np.bincount(owner, shared, len(own)).astype(np.int64)
         known = {x[0]: int(here[k]) for k, x in enumerate(own)}
         rows = [(hash_part(r, parts), r, len(g), node, known.get(r), None, None, None) for r, node, g in held]
-        # Shared here: one entry without an owner (rid -1) is enough for the others; else by owner.
+        # Shared here: one entry without an owner (NOBODY) is enough for the others; else by owner.
         many = ranked[start[n > 1]]
         lone_grams, lone_owner = grams[~shared], owner[~shared]
         rid = np.array([x[0] for x in own], np.int64)
@@ -66,7 +68,7 @@ def _scatter(shingle: int, parts: int):
             who, count = np.unique(all_owner[a:b], return_counts=True)
             # 48 bits are enough beside the range: a false match only lets a set stay in question.
             low = np.ascontiguousarray(all_grams[a:b]).view(np.uint8).reshape(-1, 8)[:, :6]
-            ids = np.where(who < 0, -1, rid[who])
+            ids = np.where(who < 0, NOBODY, rid[who])
             rows.append((int(p), None, None, None, None, ids.astype("<i8").tobytes(), count.astype("<u4").tobytes(), low.tobytes()))
         for a in range(0, len(rows), 2000):
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 2000], strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
@@ -109,7 +111,7 @@ def _match(parts: int):
         seen = np.empty(len(grams), bool)
         seen[order] = np.repeat(n > 1, n)
         per = np.add.reduceat(seen.astype(np.int64), np.cumsum(counts) - counts) if len(counts) else np.zeros(0, np.int64)
-        some = (per > 0) & (ids >= 0)
+        some = (per > 0) & (ids != NOBODY)
         ids, per = ids[some], per[some]
         to = (ids.view(np.uint64) * SPREAD >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
         order = np.argsort(to, kind="stable")
@@ -253,7 +255,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(row_col).alias("row") for _ in named])
     nbytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-nbytes // RANGE_BYTES))
-    keyed = source.withColumn("rid", F.xxhash64(key, F.length("text"), F.crc32("text")))
+    # Ids are signed; only the one that stands for no owner is left out.
+    keyed = source.withColumn("rid", F.xxhash64(key, F.length("text"), F.crc32("text"))).withColumn("rid", F.when(F.col("rid") == NOBODY, 0).otherwise(F.col("rid")))
     tally = written(
         keyed.select("rid", "text").mapInArrow(_scatter(shingle, parts), SCATTER).groupBy("part").applyInArrow(_match(parts), SCATTER)
         .groupBy("part").applyInArrow(_total, "rid long, size int, node binary, seen long")

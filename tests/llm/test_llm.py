@@ -86,6 +86,25 @@ def test_op9(docs, rows, none, block, monkeypatch):
     assert ngram_jaccard.ngram_jaccard_join(none).count() == 0
 
 
+def test_op9_links_across_batches(spark, monkeypatch):
+    """Similar texts that no batch holds together link whatever the sign of their rows' hashes."""
+    monkeypatch.setattr(ngram_jaccard, "FLUSH", 50)
+    monkeypatch.setattr(ngram_jaccard, "BATCH", 200)
+    rng = random.Random(31)
+    bases = [words(rng, 60) for _ in range(40)]
+    rows = [(k, bases[k % 40] + (f" end{k}" if k % 3 else "")) for k in range(160)]
+    keyed = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    signs = keyed.select((F.xxhash64("doc_id", F.length("text"), F.crc32("text")) < 0).alias("negative")).groupBy("negative").count().count()
+    got = {r["id"]: (r["n_shingles"], r["component"]) for r in ngram_jaccard.ngram_jaccard_join(keyed).collect()}
+    assert signs == 2 and got == brute.jaccard_components(rows)
+
+
+def test_op9_over_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.op9_ngram_jaccard_join(spark, "/root/testdata/sf0.01").collect()}
+    assert got == brute.jaccard_components([tuple(r) for r in docs.select("doc_id", "text").collect()])
+
+
 def test_op9_links_beyond_the_first_block(spark, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "BLOCK", 2)
     sets = {bytes([k]): np.arange(at, at + n, dtype=np.uint64) for k, (at, n) in enumerate([(2 * i, 20 + i % 3) for i in range(12)] + [(500, 9), (501, 9), (900, 30)])}
