@@ -1,13 +1,16 @@
-"""SentencePiece encoding and decoding (1): best segmentation by scores, giant documents by a max-plus parallel scan.
-
-The pieces and scores of a SentencePiece model span a lattice over a text; encoding is its path of greatest total
-score (of equal ones, that whose pieces start earliest, seen from the end). A giant document is split into chunks. A
-chunk's transfer matrix holds, for each way a piece may reach over its start and over its end, the best score between
-them; max-plus products of matrices give every chunk the scores with which it is entered, maps from leaving to
-entering state are composed from the end, and then each chunk is traced by itself.
-
-Where no piece has a space mark after another character, every space mark that follows one is a cut that all paths
-pass: words then encode alike wherever they stand, so each distinct word is encoded once.
+"""SentencePiece encoding and decoding (1): giant documents by a max-plus parallel scan over chunks.
+
+The model file is a BPE model: its encoding is what merging neighbours by score leaves. A sequence of pieces is that
+encoding just when the merges leave each two neighbours of it apart, so encoding is a path over states (the piece that
+reaches a place), and a step scores 0 if its two pieces stay apart, else minus infinity. A giant document is split
+into chunks. A chunk's transfer matrix holds the best score from each piece that may reach over its start to each that
+may reach over its end. Max-plus products of matrices are associative: they combine a segment's chunks, then a
+document's segments; the prefix and suffix scores that come back down name the piece at each border, and each chunk is
+traced by itself.
+
+No piece of such a model has a space mark after another character, so every space mark that follows one is a cut that
+all paths pass: what lies between a chunk's first and last cut is the same for all its states, and words there encode
+alike wherever they stand, so the library encodes each distinct word once.
 """
 
 from __future__ import annotations
@@ -26,25 +29,25 @@ from foliary.llm.common import table, written
 from foliary.llm.wordcache import WordCache
 
 MARK = "▁"
-#: Characters from which a document is giant, characters of a chunk, words of a task's cache.
-GIANT, CHUNK, CACHE = 1 << 16, 1 << 14, 400_000
-NONE = -np.inf
-#: What an unknown character scores below the least piece.
-UNKNOWN = 10.0
+#: Characters of a chunk (longer texts are giant), chunks of a segment, words and pairs of pieces of a task's caches.
+CHUNK, SEGMENT, CACHE = 1 << 13, 32, 400_000
+NONE = np.float32(-np.inf)
+#: A piece by where it starts and ends.
+State = tuple[int, int]
 
 
 class Pieces:
-    """The lattice of a model file: normal pieces with scores, byte pieces for characters that no piece has."""
+    """A model file's pieces with scores, and byte pieces for characters that no piece has."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = model.vocab_size()
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = self.model
         self.score: dict[str, tuple[float, int]] = {}
         self.bytes = [0] * 256
         self.raw: list[bytes] = []
-        for i in range(n):
+        for i in range(model.vocab_size()):
             text = model.id_to_piece(i)
             if model.is_byte(i):
                 self.bytes[int(text[3:5], 16)] = i
@@ -54,140 +57,139 @@ class Pieces:
             else:
                 self.score[text] = (model.get_score(i), i)
                 self.raw.append(text.replace(MARK, " ").encode())
+        if any(MARK in p.lstrip(MARK) for p in self.score):
+            raise ValueError("pieces that reach over words are not supported")
         self.longest = max(map(len, self.score))
-        self.least = min(s for s, _ in self.score.values()) - UNKNOWN
-        self.cuts = not any(MARK in p.lstrip(MARK) for p in self.score)
         self.sizes = np.array([len(r) for r in self.raw], np.int64)
         self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.cache = WordCache(lambda words: [self.best(w.replace(" ", MARK)) for w in words], CACHE)
-
-    def lattice(self, text: str, entry: dict[int, float], end: int) -> tuple[list[float], list[int]]:
-        """Best score of each position up to longest - 1 beyond ``end``, and where its last piece starts (-1: entered here).
-
-        Pieces start before ``end``; ``entry`` gives the scores with which positions are entered.
-        """
-        size = min(len(text), end + self.longest - 1)
-        best, back = [NONE] * (size + 1), [-2] * (size + 1)
-        for k, s in entry.items():
-            if k <= size:
-                best[k], back[k] = s, -1
-        known, least, longest = self.score, self.least, self.longest
-        for a in range(end):
-            s = best[a]
-            if s == NONE:
-                continue
-            single = False
-            for b in range(a + 1, min(a + longest, size) + 1):
-                hit = known.get(text[a:b])
-                if hit is not None:
-                    single = single or b == a + 1
-                    if s + hit[0] > best[b]:
-                        best[b], back[b] = s + hit[0], a
-            if not single and s + least > best[a + 1]:
-                best[a + 1], back[a + 1] = s + least, a
-        return best, back
-
-    def trace(self, text: str, back: list[int], at: int) -> list[int]:
-        """Ids of the path that ends at ``at``, back to where it was entered."""
+        self.apart: dict[tuple[str, str], bool] = {}
+        self.cache = WordCache(self.library, CACHE)
+
+    def library(self, words: list[str]) -> list[list[int]]:
+        """Ids of words that start with a space; the library puts one before each text itself."""
+        found = self.model.encode([w[1:] for w in words], num_threads=1)
+        return [x if w != " " else [self.score[MARK][1]] for w, x in zip(words, found, strict=True)]
+
+    def merged(self, text: str) -> list[str]:
+        """What merging leaves of a short text: of all neighbours that make a piece, the best goes first, the left one of equal ones."""
+        parts = list(text)
+        while True:
+            best, at = -np.inf, -1
+            for k in range(len(parts) - 1):
+                hit = self.score.get(parts[k] + parts[k + 1])
+                if hit is not None and hit[0] > best:
+                    best, at = hit[0], k
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def stays(self, left: str, right: str) -> bool:
+        """Whether merging leaves two neighbours, or one piece after nothing, as they are."""
+        key = (left, right)
+        found = self.apart.get(key)
+        if found is None:
+            if len(self.apart) > CACHE:
+                self.apart.clear()
+            found = self.apart[key] = self.merged(left + right) == ([left, right] if left else [right])
+        return found
+
+    def ends(self, text: str, a: int) -> Iterator[int]:
+        """Where a piece that starts at ``a`` may end. A character that no piece has is one of its own."""
+        yield a + 1
+        for b in range(a + 2, min(a + self.longest, len(text)) + 1):
+            if text[a:b] in self.score:
+                yield b
+
+    def states(self, text: str, border: int) -> list[State]:
+        """The pieces that start before ``border`` and end there or beyond, in order; the text's start is a state of its own."""
+        if border == 0:
+            return [(0, 0)]
+        return [(a, b) for a in range(max(0, border - self.longest), border) for b in self.ends(text, a) if b >= border and self.stays("", text[a:b])]
+
+    def reach(self, text: str, entries: list[State], stop: int) -> dict[State, int]:
+        """All states on paths from ``entries`` whose pieces start before ``stop``, each with a bit for every entry it is reached from."""
+        found = {s: 1 << i for i, s in enumerate(entries)}
+        ending: dict[int, list[State]] = {}
+        for s in entries:
+            ending.setdefault(s[1], []).append(s)
+        for at in range(min(ending), stop):
+            for a, b in ending.pop(at, ()):
+                mask, piece = found[a, b], text[a:b]
+                for to in self.ends(text, at):
+                    if self.stays(piece, text[at:to]):
+                        if (at, to) not in found:
+                            found[at, to] = 0
+                            ending.setdefault(to, []).append((at, to))
+                        found[at, to] |= mask
+        return found
+
+    def cut(self, text: str, places: range) -> int:
+        """The first of the places that all paths pass, or -1."""
+        for k in places:
+            if text[k] == MARK and (k == 0 or text[k - 1] != MARK):
+                return k
+        return -1
+
+    def transfer(self, text: str, a: int, b: int) -> np.ndarray:
+        """The transfer matrix of the chunk from ``a`` to ``b``, with ``longest`` characters of the text at either side."""
+        entries, exits = self.states(text, a), self.states(text, b)
+        first = self.cut(text, range(a, b))
+        if first < 0:
+            found = self.reach(text, entries, b)
+            return np.array([[0.0 if found.get(s, 0) >> i & 1 else NONE for s in exits] for i in range(len(entries))], np.float32)
+        last = self.cut(text, range(b - 1, first - 1, -1))
+        # Entries that end at the first cut are whole; exits are what a fresh start at the last cut reaches.
+        whole = 0
+        for (_, e), mask in self.reach(text[:first], entries, first).items():
+            whole |= mask if e == first else 0
+        head = np.array([0.0 if whole >> i & 1 else NONE for i in range(len(entries))], np.float32)
+        found = self.reach(text, [(last, last)], b)
+        return head[:, None] + np.array([0.0 if s in found else NONE for s in exits], np.float32)[None, :]
+
+    def trace(self, text: str, entry: State, leave: State, stop: int) -> list[int]:
+        """Ids of the pieces after ``entry`` up to and with ``leave``."""
+        found = self.reach(text, [entry], stop)
+        before: dict[int, list[int]] = {}
+        for a, b in found:
+            before.setdefault(b, []).append(a)
         out: list[int] = []
-        while back[at] >= 0:
-            hit = self.score.get(text[back[at] : at])
-            out += [hit[1]] if hit else [self.bytes[x] for x in reversed(text[back[at] : at].encode())]
-            at = back[at]
+        while leave != entry:
+            out += self.ids(text[leave[0] : leave[1]])[::-1]
+            leave = next((a, leave[0]) for a in before[leave[0]] if self.stays(text[a : leave[0]], text[leave[0] : leave[1]]))
         return out[::-1]
 
-    def best(self, text: str) -> list[int]:
-        return self.trace(text, self.lattice(text, {0: 0.0}, len(text))[1], len(text))
-
-    def first_cut(self, text: str, end: int) -> int:
-        """The first position from longest - 1 to ``end`` that every path passes, else -1."""
-        if self.cuts:
-            for k in range(max(1, self.longest - 1), end):
-                if text[k] == MARK and text[k - 1] != MARK:
-                    return k
-        return -1
-
-    def last_cut(self, text: str, first: int, end: int) -> int:
-        for k in range(end - 1, first, -1):
-            if text[k] == MARK and text[k - 1] != MARK:
-                return k
-        return first
-
-    def transfer(self, text: str, end: int) -> np.ndarray:
-        """[i, j]: best score from ``i`` characters past the chunk's start to ``j`` past its end.
-
-        If all paths pass a first and a last cut, what lies between adds the same to all entries and is left out.
-        """
-        n = self.longest
-        out = np.full((n, n), NONE)
-        cut = self.first_cut(text, end)
-        if cut < 0:
-            for i in range(min(n, len(text) + 1)):
-                best, _ = self.lattice(text, {i: 0.0}, end)
-                if i >= end:
-                    out[i, i - end] = 0.0
-                for j in range(min(n, len(best) - end)):
-                    out[i, j] = max(out[i, j], best[end + j])
-            return out
-        last = self.last_cut(text, cut, end)
-        tail, _ = self.lattice(text[last:], {0: 0.0}, end - last)
-        tail = np.array(tail[end - last :] + [NONE] * n)[:n]
-        for i in range(n):
-            out[i] = self.lattice(text[:cut], {i: 0.0}, cut)[0][cut] + tail
-        return out
-
-    def entered(self, text: str, end: int, entry: np.ndarray) -> list[int]:
-        """For each state in which the chunk may be left, the state in which its best path enters."""
-        cut = self.first_cut(text, end)
-        upto = cut if cut >= 0 else end
-        text = text[:cut] if cut >= 0 else text
-        _, back = self.lattice(text, {i: s for i, s in enumerate(entry.tolist()) if s > NONE}, upto)
-        out = []
-        for j in range(self.longest):
-            at = upto if cut >= 0 else upto + j
-            if at >= len(back) or back[at] == -2:
-                out.append(-1)
-                continue
-            while back[at] >= 0:
-                at = back[at]
-            out.append(at)
-        return out
-
-    def between(self, text: str, end: int, i: int, j: int) -> list[int]:
-        """Ids of the pieces that start in the chunk, entered at i and left at end + j."""
-        if i >= end + j:
-            return []
-        cut = self.first_cut(text, end)
-        if cut < 0:
-            return self.trace(text, self.lattice(text[: end + j], {i: 0.0}, end)[1], end + j)
-        last = self.last_cut(text, cut, end)
-        data = np.frombuffer(text[cut:last].replace(MARK, " ").encode(), np.uint8)
-        words = self.by_word(data, np.array([0, len(data)]))[0].tolist() if len(data) else []
-        head = self.trace(text, self.lattice(text[:cut], {i: 0.0}, cut)[1], cut)
-        tail = text[last : end + j]
-        return head + words + self.trace(tail, self.lattice(tail, {0: 0.0}, end - last)[1], len(tail))
+    def ids(self, piece: str) -> list[int]:
+        hit = self.score.get(piece)
+        return [hit[1]] if hit else [self.bytes[x] for x in piece.encode()]
+
+    def between(self, text: str, a: int, b: int, i: int, j: int) -> tuple[list[int], str, list[int]]:
+        """Ids of the pieces that start in the chunk before its first cut, what lies between its cuts, and ids after the last."""
+        entry, leave = self.states(text, a)[i], self.states(text, b)[j]
+        first = self.cut(text, range(a, b))
+        if first < 0:
+            return self.trace(text, entry, leave, b), "", []
+        last = self.cut(text, range(b - 1, first - 1, -1))
+        head = text[:first]
+        closing = next((s for s in self.reach(head, [entry], first) if s[1] == first), entry)
+        return self.trace(head, entry, closing, first), text[first:last], self.trace(text, (last, last), leave, b)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column's texts end to end, and how many each has. A space stands before each text that isn't empty."""
-        texts = [" " + t if t else "" for t in column.to_pylist()]
-        if not self.cuts:
-            found = [self.best(t.replace(" ", MARK)) for t in texts]
-            return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
         # The mark itself in a text is a space too; it's rare, so it is replaced only where it occurs.
-        data, at = textops.utf8(pa.array([t.replace(MARK, " ") if MARK in t else t for t in texts], pa.string()))
-        ids, sizes, starts = self.by_word(data, at)
-        doc = np.searchsorted(at, starts, "right") - 1
-        return ids, np.bincount(doc, sizes, len(texts)).astype(np.int64)
+        texts = [" " + (t.replace(MARK, " ") if MARK in t else t) if t else "" for t in column.to_pylist()]
+        return self.by_word(texts)
 
-    def by_word(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the words that cuts part in texts which start at ``at``, end to end; how many each has; where each starts."""
+    def by_word(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that are empty or start with a space, end to end, and how many each has; cuts part their words."""
+        data, at = textops.utf8(pa.array(texts, pa.string()))
         space = data == 32
         cut = space.copy()
         cut[1:] &= ~space[:-1]
         cut[at[:-1][at[:-1] < len(data)]] = True
         starts = np.flatnonzero(cut)
-        return *self.cache.ids(data, starts, np.append(starts[1:], len(data))), starts
+        ids, sizes = self.cache.ids(data, starts, np.append(starts[1:], len(data)))
+        return ids, np.bincount(np.searchsorted(at, starts, "right") - 1, sizes, len(texts)).astype(np.int64)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The UTF-8 of each text from its ids: the pieces' bytes end to end, without the space that stands before it."""
@@ -210,80 +212,118 @@ def pieces(path: str) -> Pieces:
 OUT = "id long, chunks long, n_tokens long, ids binary"
 
 
+def _blobs(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    raw, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(np.concatenate([[0], counts]))
+    return pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+
+
 def _short(path: str):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textops.batches(source, most=1 << 21):
             ids, counts = pieces(path).encode(batch.column(1))
-            raw, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(np.concatenate([[0], counts]))
-            blobs = pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-            yield pa.record_batch([batch.column(0), pa.array(np.ones(len(counts), np.int64)), pa.array(counts), blobs], names=["id", "chunks", "n_tokens", "ids"])
+            yield pa.record_batch([batch.column(0), pa.array(np.ones(len(counts), np.int64)), pa.array(counts), _blobs(ids, counts)], names=["id", "chunks", "n_tokens", "ids"])
 
     return run
 
 
-def _each(path: str, step: str, names: list[str], kinds: list[pa.DataType]):
-    """One of the three steps over chunk rows (row, k, end, text, ...)."""
+def _transfers(path: str):
+    """The matrix of each chunk of (row, k, a, b, text)."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         for batch in source:
-            for r in batch.to_pylist():
-                if step == "transfer":
-                    got = p.transfer(r["text"], r["end"]).tobytes()
-                elif step == "entered":
-                    got = p.entered(r["text"], r["end"], np.frombuffer(r["entry"]))
-                else:
-                    got = np.array(p.between(r["text"], r["end"], r["i"], r["j"]), "<u4").tobytes()
-                yield pa.record_batch([pa.array([v], t) for v, t in zip((r["row"], r["k"], got), kinds, strict=True)], names=names)
+            rows = batch.to_pylist()
+            found = [p.transfer(r["text"], r["a"], r["b"]) for r in rows]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(m) for m in found], pa.int32()), pa.array([m.tobytes() for m in found], pa.binary())], names=["row", "k", "wide", "matrix"])
 
     return run
 
 
-def _scores(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one document: the scores with which each chunk is entered, by max-plus products from its start."""
+def _traced(path: str):
+    """The ids of each chunk of (row, k, a, b, text, i, j): heads and tails by path, what lies between by word, a batch at once."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pieces(path)
+        for batch in textops.batches(source, most=1 << 21):
+            parts = [p.between(r["text"], r["a"], r["b"], r["i"], r["j"]) for r in batch.to_pylist()]
+            ids, counts = p.by_word([x[1].replace(MARK, " ") for x in parts])
+            ends = np.cumsum(counts)
+            found = [np.concatenate([np.array(h, np.uint32), ids[e - n : e], np.array(t, np.uint32)]).astype("<u4").tobytes() for (h, _, t), e, n in zip(parts, ends, counts, strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["row", "k", "ids"])
+
+    return run
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The max-plus product of two matrices; it is associative."""
+    return (a[:, :, None] + b[None, :, :]).max(1)
+
+
+def _matrices(rows: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(m, np.float32).reshape(w, -1) for w, m in zip(rows["wide"], rows["matrix"], strict=True)]
+
+
+def _combined(rows: pd.DataFrame) -> pd.DataFrame:
+    """The product of a segment's matrices."""
+    rows = rows.sort_values("k")
+    first, *rest = _matrices(rows)
+    for m in rest:
+        first = product(first, m)
+    return pd.DataFrame({"row": rows["row"].iloc[:1], "segment": rows["segment"].iloc[:1], "wide": len(first), "matrix": [first.tobytes()]})
+
+
+def scan(parts: list[np.ndarray], before: np.ndarray, after: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The best scores of all states at each border: of paths from ``before`` to it, and of paths from it to ``after``."""
+    prefix, suffix = [before], [after]
+    for m in parts:
+        prefix.append((prefix[-1][:, None] + m).max(0))
+    for m in reversed(parts):
+        suffix.append((m + suffix[-1][None, :]).max(1))
+    return prefix, suffix[::-1]
+
+
+def _segments(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one document: what its other segments give each segment, before it and after it."""
+    rows = rows.sort_values("segment")
+    parts = _matrices(rows)
+    prefix, suffix = scan(parts, np.zeros(len(parts[0]), np.float32), np.zeros(parts[-1].shape[1], np.float32))
+    return pd.DataFrame({"row": rows["row"], "segment": rows["segment"], "before": [x.tobytes() for x in prefix[:-1]], "after": [x.tobytes() for x in suffix[1:]]})
+
+
+def _borders(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one segment: the states in which each chunk is entered and left, those whose paths score best on both sides."""
     rows = rows.sort_values("k")
-    out, entry = [], None
-    for raw in rows["matrix"]:
-        m = np.frombuffer(raw)
-        m = m.reshape(int(len(m) ** 0.5), -1)
-        if entry is None:
-            entry = np.full(len(m), NONE)
-            entry[0] = 0.0
-        out.append(entry.tobytes())
-        entry = (entry[:, None] + m).max(0)
-    return pd.DataFrame({"row": rows["row"], "k": rows["k"], "entry": out})
-
-
-def _states(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one document: the states in which each chunk's path enters and leaves, from its end."""
-    rows = rows.sort_values("k", ascending=False)
-    i, j, state = [], [], 0
-    for way in rows["way"]:
-        j.append(state)
-        state = int(way[state])
-        i.append(state)
-    return pd.DataFrame({"row": rows["row"], "k": rows["k"], "i": i, "j": j})
-
-
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """One row per input row: id, chunks, n_tokens, ids (little-endian 32-bit).
-
-    Null and empty texts have no ids. Repeated rows and null ids are rows like others; extra columns are not read.
-    Matrices of a document meet in one task: two KB for each chunk of a text, which Spark holds to 2 GB.
+    before, after = (np.frombuffer(rows[c].iloc[0], np.float32) for c in ("before", "after"))
+    prefix, suffix = scan(_matrices(rows), before, after)
+    best = [int((p + s).argmax()) for p, s in zip(prefix, suffix, strict=True)]
+    return pd.DataFrame({"row": rows["row"], "k": rows["k"], "i": best[:-1], "j": best[1:]})
+
+
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, segment: int = SEGMENT) -> DataFrame:
+    """One row per input row: id, chunks, n_tokens, ids (little-endian 32-bit), as the library encodes each text.
+
+    Texts of more than ``chunk`` characters go through the scan. Null and empty texts have no ids. Repeated rows and
+    null ids are rows like others; extra columns are not read. A task holds a segment's matrices, a few KB each, or a
+    document's segments, of which there are at most 8,192 in the 2 GB that Spark allows a text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    short = rows.where(F.length("text") < giant).mapInArrow(_short(path), OUT)
-    reach = pieces(path).longest - 1
+    giant = F.length("text") > chunk
+    short = rows.where(~giant).mapInArrow(_short(path), OUT)
+    longest = pieces(path).longest
+    if chunk < longest:
+        raise ValueError(f"a chunk holds at least {longest} characters")
     whole = F.concat(F.lit(MARK), F.translate("text", " ", MARK))
     # Written, so a chunk's row number is the same for every step.
-    large = rows.where(F.length("text") >= giant).select("id", whole.alias("text")).withColumn("row", F.monotonically_increasing_id())
-    parts = large.select("id", "row", F.length("text").alias("n"), F.posexplode(F.expr(f"transform(sequence(0, (length(text) - 1) div {chunk}), k -> substring(text, cast(k * {chunk} + 1 as int), {chunk + reach}))")).alias("k", "text"))
-    chunks = written(parts.select("id", "row", "k", F.least(F.lit(chunk), F.col("n") - F.col("k") * chunk).cast("int").alias("end"), "text").repartition("row", "k"))
-    matrices = chunks.select("row", "k", "end", "text").mapInArrow(_each(path, "transfer", ["row", "k", "matrix"], [pa.int64(), pa.int32(), pa.binary()]), "row long, k int, matrix binary")
-    entries = written(matrices.groupBy("row").applyInPandas(_scores, "row long, k int, entry binary"))
-    ways = chunks.join(entries, ["row", "k"]).select("row", "k", "end", "text", "entry").mapInArrow(_each(path, "entered", ["row", "k", "way"], [pa.int64(), pa.int32(), pa.list_(pa.int32())]), "row long, k int, way array<int>")
-    states = written(ways.groupBy("row").applyInPandas(_states, "row long, k int, i int, j int"))
-    traced = chunks.join(states, ["row", "k"]).select("row", "k", "end", "text", "i", "j").mapInArrow(_each(path, "between", ["row", "k", "ids"], [pa.int64(), pa.int32(), pa.binary()]), "row long, k int, ids binary")
+    large = rows.where(giant).select("id", whole.alias("text")).withColumn("row", F.monotonically_increasing_id()).withColumn("n", F.length("text"))
+    parts = large.select("id", "row", "n", F.posexplode(F.expr(f"transform(sequence(0, (n - 1) div {chunk}), k -> substring(text, cast(greatest(k * {chunk} - {longest}, 0) + 1 as int), {chunk + 2 * longest}))")).alias("k", "text"))
+    a = F.when(F.col("k") == 0, 0).otherwise(longest)
+    chunks = parts.select("id", "row", "k", a.alias("a"), (a + F.least(F.lit(chunk), F.col("n") - F.col("k") * chunk)).cast("int").alias("b"), "text")
+    chunks = written(chunks.repartition("row", "k"))
+    matrices = written(chunks.select("row", "k", "a", "b", "text").mapInArrow(_transfers(path), "row long, k int, wide int, matrix binary").withColumn("segment", F.expr(f"cast(k div {segment} as int)")))
+    combined = matrices.groupBy("row", "segment").applyInPandas(_combined, "row long, segment int, wide int, matrix binary")
+    around = combined.groupBy("row").applyInPandas(_segments, "row long, segment int, before binary, after binary")
+    borders = matrices.join(around, ["row", "segment"]).groupBy("row", "segment").applyInPandas(_borders, "row long, k int, i int, j int")
+    traced = chunks.join(borders, ["row", "k"]).select("row", "k", "a", "b", "text", "i", "j").mapInArrow(_traced(path), "row long, k int, ids binary")
     ids = traced.groupBy("row").agg(F.count("*").alias("chunks"), F.expr("array_sort(collect_list(struct(k, ids)))").alias("parts"))
     joined = ids.select("row", "chunks", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
     named = joined.join(chunks.where("k = 0").select("row", "id"), "row")

@@ -303,10 +303,10 @@ def test_op7_texts_that_hold_an_added_token():
 def test_op1(spark, docs, rows, none):
     public = pytest.importorskip("public_tokenizers")
     path = public.path("piece_bpe_32k.model")
-    model = pieces.pieces(path)
-    want = {i: model.best(("▁" + t).replace(" ", "▁")) if t else [] for i, t in rows}
-    for giant, chunk in ((1 << 16, 1 << 14), (300, 40)):
-        encoded = pieces.encode_documents(docs, path, giant=giant, chunk=chunk)
+    model = pieces.pieces(path).model
+    want = {i: model.encode(t or "") for i, t in rows}
+    for chunk, segment in ((1 << 13, 32), (40, 3)):
+        encoded = pieces.encode_documents(docs, path, chunk=chunk, segment=segment)
         out = {r["id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in encoded.collect()}
         assert out == want
     texts = {r["id"]: r["text"] for r in pieces.decode_documents(encoded, path).collect()}
@@ -314,13 +314,48 @@ def test_op1(spark, docs, rows, none):
     assert pieces.encode_documents(none, path).count() == 0
 
 
-def test_op1_transfer_matrices_compose():
+def test_op1_rows_with_null_and_repeated_ids(spark):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("piece_bpe_32k.model")
+    rng = random.Random(41)
+    rows = [(None, "a b"), (None, words(rng, 60)), (3, "x" * 500), (3, "x" * 500), (3, words(rng, 70)), (None, None)]
+    docs = spark.createDataFrame([(i, t, "id", 7) for i, t in rows], "doc_id long, text string, id string, row int")
+    found = pieces.decode_documents(pieces.encode_documents(docs, path, chunk=64), path).collect()
+    assert sorted((r["id"] is None, r["id"] or 0, r["text"]) for r in found) == sorted((i is None, i or 0, t or "") for i, t in rows)
+
+
+def test_op1_matrices_name_the_librarys_path():
+    """Whatever the chunks, best states at the borders and traces between them are the library's ids; products are associative."""
     public = pytest.importorskip("public_tokenizers")
     model = pieces.pieces(public.path("piece_bpe_32k.model"))
-    text, mid = "theaterorderinginternational", 12
-    whole = model.transfer(text, len(text))[0, 0]
-    left, right = model.transfer(text, mid), model.transfer(text[mid:], len(text) - mid)
-    assert (left[:, :, None] + right[None]).max(1)[0, 0] == whole
+    rng = random.Random(43)
+    alphabets = ("ab theringion", "international", "  x", "é漢字 ñ.,\n", "aaaa ")
+    for trial in range(60):
+        text = "".join(rng.choice(alphabets[trial % 5]) for _ in range(rng.randrange(50, 300)))
+        whole = "▁" + text.replace(" ", "▁")
+        cuts = [0, *range(model.longest + trial % 7, len(whole), model.longest + trial % 11), len(whole)]
+        parts = [model.transfer(whole, a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+        first, last = np.zeros(1, np.float32), np.zeros(parts[-1].shape[1], np.float32)
+        prefix, suffix = pieces.scan(parts, first, last)
+        states = [int((p + s).argmax()) for p, s in zip(prefix, suffix, strict=True)]
+        ids = []
+        for a, b, i, j in zip(cuts, cuts[1:], states, states[1:], strict=False):
+            head, mid, tail = model.between(whole, a, b, i, j)
+            ids += head + model.by_word([mid.replace("▁", " ")])[0].tolist() + tail
+        assert ids == model.model.encode(text)
+        if len(parts) > 2:
+            left = pieces.product(pieces.product(parts[0], parts[1]), parts[2])
+            assert np.array_equal(left, pieces.product(parts[0], pieces.product(parts[1], parts[2])))
+
+
+def test_op1_over_a_whole_table(spark):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("piece_bpe_32k.model")
+    model = pieces.pieces(path).model
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {r["id"]: r for r in pieces.encode_documents(docs, path).collect()}
+    assert all(np.frombuffer(found[r["doc_id"]]["ids"], "<u4").tolist() == model.encode(r["text"]) for r in docs.collect())
+    assert sum(r["chunks"] > 1 for r in found.values()) > 20
 
 
 def test_op10_learns_and_scores_every_row(spark, none):
