@@ -1,19 +1,17 @@
 """LM scoring (3): n-gram counts quantised by logarithm in a Bloom filter that is broadcast to the workers.
 
-Words and pairs of words of all training texts are counted by ranges of their hash. A gram of count c enters the filter
-once for each level 1 .. 1 + floor(log_B c); a reader asks for level after level until one is missing, and takes the
-middle of the last level's counts. The filter holds every gram that was counted, in segments, one for each range, as
-large as their grams need. Segments are broadcast in rounds of a bounded size: the distinct grams of each chunk of
-texts are dealt to the rounds of their ranges, each round answers its own, and the levels are joined back to their
-chunk. Pairs are smoothed with words by a Dirichlet prior. The base score comes from exact counts: of frequent words by
-a bounded broadcast, of all others by a join.
+Texts become words' hashes once, in chunks of a few MB. Words and pairs of words of all training texts are counted by
+ranges of their hash. A pair of count c enters the filter once for each level 1 .. 1 + floor(log_B c); a reader asks for
+level after level until one is missing, and takes the middle of the last level's counts. The filter holds every pair
+that was counted, in segments, one for each range, as large as their pairs need. Within a bound of bytes all segments
+are broadcast; beyond it each chunk's distinct pairs go to the segments of their ranges instead, and the levels come
+back to the chunk. Both ways probe the same bits, so a score doesn't depend on the way. Words' counts, which the base
+score needs exactly, come back the same way, and pairs are smoothed with them by a Dirichlet prior.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.llm import textops
-from foliary.llm.common import remove, shared_folder, table, written
+from foliary.llm.common import remove, table, written
 
-#: Base of the levels, bits for each entry and probes, bytes of a round's segments and exact frequent words at most,
-#: grams gathered before a task hands them on, bytes of text for each range, weight of the word prior.
-LEVEL, BITS, PROBES, FILTER_BYTES, FREQUENT, FLUSH, RANGE_BYTES, PRIOR = 1.5, 10, 5, 1 << 26, 1 << 20, 3_000_000, 1 << 26, 2000.0
+#: Base of the levels, bits for each entry and probes, bytes of a filter that is broadcast, tokens gathered before a
+#: task hands them on, bytes of text for each range, weight of the word prior.
+LEVEL, BITS, PROBES, FILTER_BYTES, FLUSH, RANGE_BYTES, PRIOR = 1.5, 10, 5, 1 << 26, 3_000_000, 1 << 24, 2000.0
 END_HASH, START_HASH = 0x5EED0E4D, 0x5EED057A
-PACKED = "kind int, part int, docs long, grams binary, counts binary"
-ASKED = ["round", "chunk", "row", "docs", "words", "pairs"]
+CHUNKS = "chunk long, ids array<long>, held array<boolean>, ends array<int>, words binary, places binary"
+PACKED = "part int, words binary, word_counts binary, pairs binary, pair_counts binary"
+COUNTED = "part int, n long, distinct long, words binary, counts binary, size long, segment binary"
+ASKED, ANSWERED = "part int, chunk long, words binary, pairs binary", "part int, chunk long, counts binary, levels binary"
+SCORED = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def held_out(id_col: str) -> F.Column:
@@ -37,55 +38,95 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes with one end at each text's end, the hash of what precedes each, and the offsets of the texts."""
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes with one end at each text's end, and the ends of the texts."""
     hashes, words = textops.word_hashes(column)
-    n = len(words) - 1
-    out = np.insert(hashes, words[1:], np.uint64(END_HASH))
-    at = words + np.arange(n + 1)
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    before[at[:-1]] = np.uint64(START_HASH)
-    return out, before, at
+    ends = words[1:] + np.arange(1, len(words))
+    return np.insert(hashes, words[1:], np.uint64(END_HASH)), ends
 
 
-def pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return textops.mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
+def pairs(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each token with the one before it, or with the start of its text."""
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    before[np.concatenate([[0], ends[:-1]])] = START_HASH
+    return textops.mix(before * np.uint64(0x9E3779B97F4A7C15) + hashes)
 
 
 def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
     return (grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
 
 
+def cuts_of(grams: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part of sorted grams starts, and the end of the last."""
+    return np.searchsorted(part_of(grams, parts), np.arange(parts + 1))
+
+
+def _chunks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, held, text) as chunks: the distinct word hashes in order, and the place of each token's among them."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in textops.batches(source):
+        hashes, ends = tokens(batch.column(2))
+        words, places = np.unique(hashes, return_inverse=True)
+        one = pa.array([0, batch.num_rows], pa.int32())
+        lists = [pa.ListArray.from_arrays(one, c) for c in (batch.column(0), batch.column(1), pa.array(ends, pa.int32()))]
+        yield pa.record_batch([pa.array([number], pa.int64()), *lists, pa.array([words.tobytes()], pa.binary()), pa.array([places.astype("<u4").tobytes()], pa.binary())], names=["chunk", "ids", "held", "ends", "words", "places"])
+        number += 1
+
+
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's distinct words, each token's place among them, and the texts' ends."""
+    return np.frombuffer(row["words"], "<u8"), np.frombuffer(row["places"], "<u4"), np.array(row["ends"], np.int64)
+
+
+def merged(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order with the sums of their counts."""
+    if not len(grams):
+        return grams, counts.astype(np.int64)
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    start = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return grams[start], np.add.reduceat(counts[order].astype(np.int64), start)
+
+
 def _gather(parts: int):
-    """Counts of the words (kind 1) and pairs (kind 2) of a few million tokens at a time, packed by range."""
-
-    def flush(held: list) -> Iterator[pa.RecordBatch]:
-        rows = []
-        docs = sum(len(a) - 1 for _, _, a in held)
-        for kind, grams in ((1, np.concatenate([x[0] for x in held])), (2, np.concatenate([pair(x[1], x[0]) for x in held]))):
-            grams, counts = np.unique(grams, return_counts=True)
-            cuts = np.searchsorted(part_of(grams, parts), np.arange(parts + 1))
-            for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if b > a:
-                    rows.append((kind, p, docs if kind == 1 and a == 0 else 0, grams[a:b].astype("<u8").tobytes(), counts[a:b].astype("<u4").tobytes()))
-        for row in rows:
-            yield pa.record_batch([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["kind", "part", "docs", "grams", "counts"])
+    """Counts of the training words and pairs of a few million tokens at a time, packed by range."""
+
+    def flush(words: list, seen: list) -> Iterator[pa.RecordBatch]:
+        own = merged(np.concatenate([w for w, _ in words]), np.concatenate([c for _, c in words]))
+        two = np.unique(np.concatenate(seen), return_counts=True)
+        at, to = cuts_of(own[0], parts), cuts_of(two[0], parts)
+        for p in range(parts):
+            (a, b), (c, d) = at[p : p + 2], to[p : p + 2]
+            if b > a or d > c:
+                packed = (own[0][a:b].tobytes(), own[1][a:b].astype("<u4").tobytes(), two[0][c:d].tobytes(), two[1][c:d].astype("<u4").tobytes())
+                yield pa.record_batch([pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=["part", "words", "word_counts", "pairs", "pair_counts"])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
-        for batch in textops.batches(source):
-            held.append(tokens(batch.column(0)))
-            total += len(held[-1][0])
+        words, seen, total = [], [], 0
+        for row in _rows(source):
+            known, places, ends = _opened(row)
+            learned = np.repeat(~np.array(row["held"], bool), np.diff(ends, prepend=0))
+            counts = np.bincount(places[learned], minlength=len(known))
+            words.append((known[counts > 0], counts[counts > 0]))
+            seen.append(pairs(known[places], ends)[learned])
+            total += len(seen[-1])
             if total >= FLUSH:
-                yield from flush(held)
-                held, total = [], 0
-        if held:
-            yield from flush(held)
+                yield from flush(words, seen)
+                words, seen, total = [], [], 0
+        if total:
+            yield from flush(words, seen)
 
     return run
 
 
+def _rows(source: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one: a chunk is large, a batch of them need not fit in memory as Python values."""
+    for batch in source:
+        for k in range(batch.num_rows):
+            yield {n: c[k].as_buffer() if pa.types.is_binary(c.type) else c[k].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(LEVEL) + 1e-9).astype(np.int64)
 
@@ -95,262 +136,160 @@ def middle(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.maximum(1.0, (LEVEL ** (level - 1.0) + LEVEL**level) / 2 - 0.25), 0.0)
 
 
-def _slots(grams: np.ndarray, level: int | np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    h = textops.mix(grams + np.asarray(level).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def _slots(grams: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
+    h = textops.mix(grams + np.uint64(level * 0xD6E8FEB86659FD93 % (1 << 64)))
     step = textops.mix(h) | np.uint64(1)
     for k in range(PROBES):
-        yield (h + np.uint64(k) * step) % np.uint64(bits)
-
-
-def build_segment(grams: np.ndarray, counts: np.ndarray, fewest: int, most_bytes: int) -> tuple[np.ndarray, int]:
-    """The bits of a segment and the least count that it holds: ``fewest``, or more where ``most_bytes`` are too few."""
-    while True:
-        kept = counts >= fewest
-        level = levels(counts[kept])
-        need = int(level.sum()) * BITS // 8 + 8
-        if need <= most_bytes or not kept.any():
-            break
-        fewest += 1
-    bits = need * 8
+        yield (h + np.uint64(k) * step >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)
+
+
+def build_segment(grams: np.ndarray, counts: np.ndarray, each: int = BITS) -> np.ndarray:
+    """The bits of a segment that holds all the grams, with ``each`` bits for an entry."""
+    level = levels(counts)
+    bits = 8 * (int(level.sum()) * each // 8 + 8)
     out = np.zeros(bits, bool)
-    held = grams[kept]
     for k in range(1, int(level.max(initial=0)) + 1):
-        some = held[level >= k]
-        for a in range(0, len(some), 1 << 20):
-            for slot in _slots(some[a : a + (1 << 20)], k, bits):
+        some = grams[level >= k]
+        for a in range(0, len(some), 1 << 18):
+            for slot in _slots(some[a : a + (1 << 18)], k, bits):
                 out[slot] = True
-    return np.packbits(out, bitorder="little"), fewest
+    return np.packbits(out, bitorder="little")
+
+
+def probe(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The level of each gram of a segment's range by repeated membership probes."""
+    out = np.zeros(len(grams), np.uint8)
+    live, level = np.arange(len(grams)), 1
+    while len(live) and len(bits):
+        found = np.ones(len(live), bool)
+        for slot in _slots(grams[live], level, len(bits) * 8):
+            found &= bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1
+        live = live[found]
+        out[live] = level
+        level += 1
+    return out
 
 
-def probe(segments: list[np.ndarray], grams: np.ndarray) -> np.ndarray:
-    """The level of each gram by repeated membership probes."""
-    out = np.zeros(len(grams), np.int64)
+def probe_all(segments: list[np.ndarray], grams: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(grams), np.uint8)
     part = part_of(grams, len(segments))
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16) if len(segments) < 1 << 16 else part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(len(segments) + 1))
     for p, bits in enumerate(segments):
-        live = order[cuts[p] : cuts[p + 1]]
-        level = 1
-        while len(live) and len(bits):
-            asked = grams[live]
-            found = np.ones(len(live), bool)
-            for slot in _slots(asked, level, len(bits) * 8):
-                found &= (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            live = live[found]
-            out[live] = level
-            level += 1
+        own = order[cuts[p] : cuts[p + 1]]
+        out[own] = probe(bits, grams[own])
     return out
 
 
-def _reduce(rows: pa.Table) -> pa.Table:
-    kind, part = rows.column("kind")[0].as_py(), rows.column("part")[0].as_py()
-    grams, counts, held, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-    for k in range(rows.num_rows):
-        held.append((np.frombuffer(rows.column("grams")[k].as_buffer(), "<u8"), np.frombuffer(rows.column("counts")[k].as_buffer(), "<u4")))
-        waiting += len(held[-1][0])
-        # Merged from time to time, so memory follows the distinct grams.
-        if waiting > max(FLUSH, len(grams)) or k == rows.num_rows - 1:
-            grams, counts = np.concatenate([grams, *(x[0] for x in held)]), np.concatenate([counts, *(x[1] for x in held)]).astype(np.int64)
-            order = np.argsort(grams, kind="stable")
-            grams, counts = grams[order], counts[order]
-            start = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-            grams, counts = grams[start], np.add.reduceat(counts, start)
-            held, waiting = [], 0
-    bits, fewest = build_segment(grams, counts, 1, sys.maxsize)
-    exact = kind == 1
-    return pa.table({"kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32()), "fewest": pa.array([fewest], pa.int64()), "n": pa.array([int(counts.sum())], pa.int64()), "distinct": pa.array([len(grams)], pa.int64()), "size": pa.array([len(bits)], pa.int64()), "segment": pa.array([bits.tobytes()], pa.binary()), "grams": pa.array([grams.tobytes() if exact else None], pa.binary()), "counts": pa.array([counts.astype("<i8").tobytes() if exact else None], pa.binary())})
-
-
-def in_rounds(sizes: list[int], most: int) -> list[int]:
-    """The first part of each round of consecutive parts; a round has at most ``most`` bytes, or one part."""
-    first, held = [], 0
-    for part, size in enumerate(sizes):
-        if not first or held + size > most:
-            first.append(part)
-            held = 0
-        held += size
-    return first
-
-
-def _grams(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """Word hashes, the offsets of the texts, then distinct words and each token's, distinct pairs and each token's."""
-    word, before, at = tokens(column)
-    return word, at, *np.unique(word, return_inverse=True), *np.unique(pair(before, word), return_inverse=True)
-
-
-def _binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """``values`` end to end as binaries of ``sizes`` values."""
-    ends = np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize
-    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
-
-
-def _chunk(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows with the number of the batch that each is in, in front."""
-    number = TaskContext.get().partitionId() << 32
-    for batch in textops.batches(source):
-        yield pa.record_batch([pa.array(np.full(batch.num_rows, number)), *batch.columns], names=["chunk", "id", "held_out", "text"])
-        number += 1
-
+def _reduce(each: int):
+    """The exact counts of a range's words and the segment of its pairs."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        words, two = merged(*_column(rows, "words", "word_counts")), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        held, waiting = [], 0
+        for k in range(rows.num_rows):
+            held.append(_column(rows.slice(k, 1), "pairs", "pair_counts"))
+            waiting += len(held[-1][0])
+            # Merged from time to time, so memory follows the distinct pairs.
+            if waiting > max(FLUSH, len(two[0])) or k == rows.num_rows - 1:
+                two = merged(*(np.concatenate([two[i], *(x[i] for x in held)]) for i in (0, 1)))
+                held, waiting = [], 0
+        bits = build_segment(*two, each)
+        values = (rows.column("part")[0].as_py(), int(words[1].sum()), len(words[0]), words[0].tobytes(), words[1].astype("<i8").tobytes(), len(bits), bits.tobytes())
+        names, kinds = ("part", "n", "distinct", "words", "counts", "size", "segment"), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+        return pa.table({n: pa.array([v], kind) for n, v, kind in zip(names, values, kinds, strict=True)})
 
-def _ask(first: list[int], parts: int):
-    """The distinct grams of each chunk's rows by round. A chunk that a reader cuts asks piece by piece."""
-    rounds = len(first)
+    return run
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textops.batches(source):
-            chunk, row = (batch.column(k).to_numpy() for k in (0, 4))
-            cuts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]]))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                _, _, words, _, pairs, _ = _grams(batch.column(3).slice(a, b - a))
-                # Ranges rise with the grams, so the rounds' shares lie one behind the other.
-                columns = [_binaries(x, np.bincount(np.searchsorted(first, part_of(x, parts).astype(np.int64), "right") - 1, minlength=rounds)) for x in (words, pairs)]
-                same = [pa.array(np.full(rounds, v)) for v in (chunk[a], row[a], b - a)]
-                yield pa.record_batch([pa.array(np.arange(rounds, dtype=np.int32)), *same, *columns], names=ASKED)
 
-    return run
+def _column(rows: pa.Table, grams: str, counts: str) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(rows.column(grams).to_pylist()), "<u8"), np.frombuffer(b"".join(rows.column(counts).to_pylist()), "<u4")
 
 
-def _answer(model):
-    """The levels of a round's grams, a byte each, in the order in which they were asked for."""
+def _ask(parts: int, with_pairs: bool):
+    """The distinct words, and where asked for pairs, of each chunk by range. No gram is more than once in a chunk's."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for batch in source:
-            for k in range(batch.num_rows):
-                part = batch.slice(k, 1)
-                levels = [probe(m[kind], np.frombuffer(part.column(kind)[0].as_py(), "<u8")).astype(np.uint8) for kind in ("words", "pairs")]
-                yield pa.record_batch([*part.columns[:4], *(pa.array([x.tobytes()], pa.binary()) for x in levels)], names=ASKED)
+        for row in _rows(source):
+            words, places, ends = _opened(row)
+            two = np.unique(pairs(words[places], ends)) if with_pairs else np.zeros(0, np.uint64)
+            at, to = cuts_of(words, parts), cuts_of(two, parts)
+            some = np.flatnonzero((np.diff(at) > 0) | (np.diff(to) > 0))
+            columns = [pa.array([x[c[p] : c[p + 1]].tobytes() for p in some], pa.binary()) for x, c in ((words, at), (two, to))]
+            yield pa.record_batch([pa.array(some, pa.int32()), pa.array(np.full(len(some), row["chunk"])), *columns], names=["part", "chunk", "words", "pairs"])
 
     return run
 
 
-def _segments(counted: DataFrame, parts: int, a: int, b: int) -> dict[str, list[np.ndarray]]:
-    """The segments of parts a .. b - 1; all others are empty."""
-    empty = np.zeros(0, np.uint8)
-    out = {"words": [empty] * parts, "pairs": [empty] * parts}
-    for r in counted.where(f"part >= {a} and part < {b}").select("kind", "part", "segment").toLocalIterator():
-        out["words" if r["kind"] == 1 else "pairs"][r["part"]] = np.frombuffer(bytes(r["segment"]), np.uint8)
-    return out
-
-
-def _answered(rows: DataFrame, counted: DataFrame, parts: int, first: list[int]) -> tuple[DataFrame, DataFrame]:
-    """The rows by chunk, and the levels of each chunk's distinct grams, found round by round."""
-    spark = rows.sparkSession
-    rows = written(rows.mapInArrow(_chunk, "chunk long, id long, held_out boolean, text string").withColumn("row", F.monotonically_increasing_id()))
-    form = "round int, chunk long, row long, docs long, words binary, pairs binary"
-    folder = shared_folder(spark)
-    rows.mapInArrow(_ask(first, parts), form).write.partitionBy("round").parquet(folder)
-    asked = spark.read.schema(form).parquet(folder).select(ASKED)
-    found = []
-    for k, (a, b) in enumerate(zip(first, [*first[1:], parts], strict=True)):
-        shared = spark.sparkContext.broadcast(_segments(counted, parts, a, b))
-        found.append(written(asked.where(F.col("round") == k).mapInArrow(_answer(shared), form)))
-        shared.destroy()
-    remove(asked)
-    return rows, reduce(DataFrame.unionByName, found)
-
-
-def _unpack(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in source:
-        for grams, counts in zip(batch.column(0), batch.column(1), strict=True):
-            yield pa.record_batch([pa.array(np.frombuffer(grams.as_py(), np.int64)), pa.array(np.frombuffer(counts.as_py(), "<i8"))], names=["gram", "c"])
-
-
-def _record(batch: pa.RecordBatch | pa.Table, m: dict, prior: float, grams: tuple[np.ndarray, ...], level: np.ndarray, pair_level: np.ndarray) -> pa.RecordBatch:
-    """The scores of a batch of (id, held_out, text) from the levels of its distinct words and pairs."""
-    word, at, unique, inverse, _, back = grams
-    counted, counts, total, distinct = m["grams"], m["counts"], m["total"], m["distinct"]
-    # N + 1 * (V + 1) tokens of weight, one of them for all words not seen.
-    mass = total + distinct + 1
-    n = np.diff(at)
-    doc = np.repeat(np.arange(len(n)), n)
-    place = np.minimum(np.searchsorted(counted, unique), max(len(counted) - 1, 0))
-    known = counted[place] == unique if len(counted) else np.zeros(len(unique), bool)
-    exact = np.where(known, counts[place] if len(counted) else 0, 0)
-    about = middle(level)[inverse]
-    both = middle(pair_level)[back]
-    history = np.empty(len(word))
-    history[1:] = about[:-1]
-    history[at[:-1]] = m["docs"]
-    both = np.minimum(both, np.minimum(history, about))
-    p = np.log10((both + prior * (about + 1) / mass) / (history + prior))
-    hit = known[inverse]
-    base = np.bincount(doc, np.where(hit, np.log10(exact[inverse] + 1.0), 0.0), len(n))
-    seen = np.bincount(doc, hit, len(n)).astype(np.int64)
-    rare = [word[a:b][~hit[a:b]].view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)), pa.array(np.concatenate(rare)))
-    return pa.record_batch([batch.column(0), batch.column(1), pa.array(n), pa.array(seen), pa.array(base), pa.array(np.bincount(doc, p, len(n))), lists], names=["id", "held_out", "n_tokens", "hits", "part", "score", "rare"])
-
-
-def _score_chunk(model, prior: float):
-    """The scores of a chunk's rows; each piece of it takes its levels of all rounds, which follow the order of its grams."""
-
-    def run(rows: pa.Table, levels: pa.Table) -> pa.Table:
-        rows = rows.sort_by("row").select(["id", "held_out", "text"]).combine_chunks()
-        levels = levels.sort_by([("row", "ascending"), ("round", "ascending")])
-        starts, docs = (levels.column(c).to_numpy() for c in ("row", "docs"))
-        cuts = np.flatnonzero(np.concatenate([[True], starts[1:] != starts[:-1], [True]]))
-        out, at = [], 0
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            piece = rows.slice(at, docs[a]).combine_chunks().to_batches()[0]
-            at += docs[a]
-            grams = _grams(piece.column(2))
-            found = [np.frombuffer(b"".join(levels.column(c).slice(a, b - a).to_pylist()), np.uint8) for c in ("words", "pairs")]
-            out.append(_record(piece, model.value, prior, grams, *found))
-        if at != rows.num_rows:
-            raise ValueError("rows of a chunk without levels")
-        return pa.Table.from_batches(out)
+def _answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
+    """The counts of the words and the levels of the pairs that the chunks ask of one range."""
+    have = counted.num_rows > 0
+    known, counts, bits = (np.frombuffer(counted.column(n)[0].as_py(), kind) if have else np.zeros(0, kind) for n, kind in (("words", "<u8"), ("counts", "<i8"), ("segment", "u1")))
+    out = {"counts": [], "levels": []}
+    for words, two in zip(asked.column("words"), asked.column("pairs"), strict=True):
+        words = np.frombuffer(words.as_py(), "<u8")
+        place = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+        out["counts"].append((np.where(known[place] == words, counts[place], 0) if len(known) else np.zeros(len(words), np.int64)).astype("<i8").tobytes())
+        out["levels"].append(probe(bits, np.frombuffer(two.as_py(), "<u8")).tobytes())
+    return pa.table({"part": asked.column("part"), "chunk": asked.column("chunk")} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
+
+
+def _score(total: int, distinct: int, trained: int, prior: float, segments: Callable[[], list[np.ndarray]] | None):
+    """The scores of a chunk's rows from the answers of all ranges, which follow the order of its grams."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        row = next(_rows(rows.combine_chunks().to_batches()))
+        answers = answers.sort_by("part")
+        words, places, ends = _opened(row)
+        counts = np.frombuffer(b"".join(answers.column("counts").to_pylist()), "<i8")[places]
+        two = pairs(words[places], ends)
+        if segments is not None:
+            level = probe_all(segments(), two)
+        else:
+            level = np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)[np.unique(two, return_inverse=True)[1]]
+        # N + 1 * (V + 1) tokens of weight, one of them for all words not seen.
+        mass = total + distinct + 1
+        n = np.diff(ends, prepend=0)
+        doc = np.repeat(np.arange(len(n)), n)
+        history = np.empty(len(counts))
+        history[1:] = counts[:-1]
+        history[ends - n] = trained
+        both = np.minimum(middle(np.arange(256))[level], np.minimum(history, counts))
+        score = np.bincount(doc, np.log10((both + prior * (counts + 1) / mass) / (history + prior)), len(n))
+        base = np.bincount(doc, np.log10((counts + 1) / mass), len(n))
+        known = np.bincount(doc, counts > 0, len(n)).astype(np.int64)
+        return pa.table({"id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(n), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(score)})
 
     return run
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES, frequent: int = FREQUENT, prior: float = PRIOR) -> DataFrame:
-    """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, pair_cutoff.
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES, prior: float = PRIOR, bits: int = BITS) -> DataFrame:
+    """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the whole texts of rows that are not held out. Null and empty texts are one end token. Repeated rows
-    are learned from as often as they occur and scored alike. Without any training row every count is 0. Every word
-    and pair counts, those seen once as well, so pair_cutoff is 1; ``filter_bytes`` bound what is broadcast at once.
+    and null ids are rows like others, learned from as often as they occur and scored alike. Without any training row
+    every count is 0. Every word and pair counts, those seen once as well. Extra columns are not read. A filter of more
+    than ``filter_bytes`` isn't broadcast.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    train = rows.where("not held_out")
-    nbytes, trained = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), F.col(text_col).alias("text"))
+    nbytes, trained = rows.where("not held").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     parts = max(1, -(-nbytes // RANGE_BYTES))
-    counted = written(
-        train.select("text").mapInArrow(_gather(parts), PACKED).groupBy("kind", "part")
-        .applyInArrow(_reduce, "kind int, part int, fewest long, n long, distinct long, size long, segment binary, grams binary, counts binary")
-    )
-    sizes, cutoff = [0] * parts, 1
-    for r in counted.groupBy("part").agg(F.sum("size").alias("size"), F.max("fewest").alias("fewest")).collect():
-        sizes[r["part"]], cutoff = r["size"], max(cutoff, r["fewest"])
-    first = in_rounds(sizes, filter_bytes)
-    model = {"docs": trained}
-    rows, answers = _answered(rows, counted, parts, in_rounds(sizes, filter_bytes))
-    total, distinct = counted.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    words = written(counted.where("kind = 1").select("grams", "counts").mapInArrow(_unpack, "gram long, c long"))
-    # The least power of two from which at most ``frequent`` words are as frequent.
-    by = {r["b"]: r["n"] for r in words.groupBy(F.expr("cast(floor(log2(c)) as int)").alias("b")).agg(F.count("*").alias("n")).collect()}
-    least = 64
-    while least > 0 and sum(n for b, n in by.items() if b >= least - 1) <= frequent:
-        least -= 1
-    held = words.where(F.col("c") >= 2.0**least).toArrow()
-    grams, counts = held.column("gram").to_numpy().view(np.uint64), held.column("c").to_numpy()
-    order = np.argsort(grams)
-    model = {"grams": grams[order], "counts": counts[order], "total": total, "distinct": distinct, "docs": trained}
-    shared = spark.sparkContext.broadcast(model)
-    form = "id long, held_out boolean, n_tokens long, hits long, part double, score double, rare array<long>"
-    by_chunk = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(shared, prior), form)
-    scored = written(by_chunk.withColumn("row", F.monotonically_increasing_id()))
-    shared.destroy()
-    remove(rows)
-    remove(answers)
-    rest = scored.select("row", F.explode("rare").alias("gram")).groupBy("row", "gram").agg(F.count("*").alias("k"))
-    more = rest.join(words, "gram").groupBy("row").agg(F.sum("k").alias("found"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("gain"))
-    mass = F.log10(F.lit(float(total + distinct + 1)))
-    return scored.join(more, "row", "left").select(
-        "id", "held_out", "n_tokens", (F.col("hits") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("part") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * mass).alias("base_score"), "score", F.lit(cutoff).cast("long").alias("pair_cutoff"),
-    )
+    chunks = written(rows.mapInArrow(_chunks, CHUNKS))
+    counted = written(chunks.mapInArrow(_gather(parts), PACKED).groupBy("part").applyInArrow(_reduce(bits), COUNTED))
+    total, distinct, size = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "distinct", "size"))).first()
+    shared = None
+    if size <= filter_bytes:
+        held = [np.zeros(0, np.uint8)] * parts
+        for r in counted.select("part", "segment").toLocalIterator():
+            held[r["part"]] = np.frombuffer(bytes(r["segment"]), np.uint8)
+        shared = spark.sparkContext.broadcast(held)
+    asked = chunks.mapInArrow(_ask(parts, shared is None), ASKED)
+    answers = written(asked.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_answer, ANSWERED))
+    remove(counted)
+    segments = None if shared is None else lambda: shared.value
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(total, distinct, trained, prior, segments), SCORED)
+    return scored.select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,23 +178,52 @@ def test_op2_takes_the_tightest_compatible_bin():
         assert bins[k] == n
 
 
-@pytest.mark.parametrize("frequent", [1 << 20, 2])
-def test_op3(docs, rows, none, frequent):
-    out = {r["id"]: r for r in lm_score.lm_scores(docs, frequent=frequent).collect()}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
-    count = {}
+def lm_by_hand(rows, prior, learned=lambda i: i is None or zlib.crc32(str(i).encode()) % 7 != 2):
+    """Of each row: (n_tokens, n_known, base score, score), with pairs' counts as their levels' middles, and all training tokens."""
+    one, two, trained = {}, {}, 0
     for i, t in rows:
-        for w in [*brute.words(t), None]:
-            count[w] = count.get(w, 0) + (not held[i])
-    count = {w: c for w, c in count.items() if c}
-    total = sum(count.values())
-    for i, t in rows:
-        all_words = [*brute.words(t), None]
-        base = sum(np.log10((count.get(w, 0) + 1) / (total + len(count) + 1)) for w in all_words)
+        if learned(i):
+            trained += 1
+            toks = [*brute.words(t), None]
+            for before, w in zip(["start", *toks], toks, strict=False):
+                one[w] = one.get(w, 0) + 1
+                two[before, w] = two.get((before, w), 0) + 1
+    total = sum(one.values())
+    mass, out = total + len(one) + 1, []
+    for _, t in rows:
+        toks = [*brute.words(t), None]
+        base = sum(np.log10((one.get(w, 0) + 1) / mass) for w in toks)
+        score = 0.0
+        for k, w in enumerate(toks):
+            c, history = one.get(w, 0), one.get(toks[k - 1], 0) if k else trained
+            n = two.get((toks[k - 1] if k else "start", w), 0)
+            both = min(float(lm_score.middle(lm_score.levels(np.array([n])))[0]) if n else 0.0, c, history)
+            score += np.log10((both + prior * (c + 1) / mass) / (history + prior))
+        out.append((len(toks), sum(w in one for w in toks), base, score))
+    return out, total
+
+
+@pytest.mark.parametrize("most", [1 << 26, 0])
+def test_op3(docs, rows, none, most, monkeypatch):
+    """Broadcast or by ranges, scores are those of a plain version; 64 bits an entry leave no false positives here."""
+    monkeypatch.setattr(lm_score, "RANGE_BYTES", 8000)
+    out = {r["id"]: r for r in lm_score.lm_scores(docs, filter_bytes=most, prior=5.0, bits=64).collect()}
+    want, total = lm_by_hand(rows, 5.0)
+    for (i, _), (n, known, base, score) in zip(rows, want, strict=True):
         r = out[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(all_words), sum(w in count for w in all_words), total)
-        assert r["base_score"] == pytest.approx(base) and r["score"] < 0
-    assert lm_score.lm_scores(none).count() == 0
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 7 == 2, n, known, total)
+        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
+    assert lm_score.lm_scores(none, filter_bytes=most).count() == 0
+
+
+def test_op3_rows_with_null_and_repeated_ids(spark):
+    rng = random.Random(47)
+    rows = [(None, words(rng, 30)), (None, None), (2, words(rng, 9)), (2, words(rng, 9)), (2, None), (11, words(rng, 30_000)), (None, words(rng, 30))]
+    docs = spark.createDataFrame([(i, t, 3, 4) for i, t in rows], "doc_id long, text string, chunk int, held int")
+    want, total = lm_by_hand(rows, lm_score.PRIOR)
+    got = lm_score.lm_scores(docs).collect()
+    assert sorted((r["id"] is None, r["id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == sorted((i is None, i or 0, n, known, round(float(base), 6)) for (i, _), (n, known, base, _) in zip(rows, want, strict=True))
+    assert {r["train_tokens"] for r in got} == {total}
 
 
 def test_op3_pairs_seen_once_count(spark):
@@ -203,29 +232,16 @@ def test_op3_pairs_seen_once_count(spark):
     a = train[3][0]
     docs = spark.createDataFrame([*train, (names[0], f"red{a} car{a} big{a} house{a}"), (names[1], f"car{a} red{a} house{a} big{a}")], "doc_id long, text string")
     out = {r["id"]: r for r in lm_score.lm_scores(docs, prior=1.0).collect()}
-    assert {r["pair_cutoff"] for r in out.values()} == {1}
     assert out[names[0]]["score"] > out[names[1]]["score"] + 1
 
 
-def test_op3_rounds_cut_nothing(docs, none, monkeypatch):
-    assert lm_score.in_rounds([5, 5, 20, 1, 1], 10) == [0, 2, 3]
-    monkeypatch.setattr(lm_score, "RANGE_BYTES", 8000)
-    want = {r["id"]: r for r in lm_score.lm_scores(docs).collect()}
-    for most in (1, 4000):
-        got = {r["id"]: r for r in lm_score.lm_scores(docs, filter_bytes=most).collect()}
-        assert got.keys() == want.keys()
-        for i, r in got.items():
-            assert r["score"] == pytest.approx(want[i]["score"]) and r["base_score"] == pytest.approx(want[i]["base_score"]) and (r["n_known"], r["pair_cutoff"]) == (want[i]["n_known"], 1)
-    assert lm_score.lm_scores(none, filter_bytes=1).count() == 0
-
-
 def test_op3_filter_has_no_false_negatives():
     grams = textops.mix(np.arange(5000, dtype=np.uint64))
     counts = np.arange(1, 5001)
-    bits, fewest = lm_score.build_segment(grams, counts, 1, 1 << 20)
-    found = lm_score.probe([bits], grams)
-    assert fewest == 1 and (found >= lm_score.levels(counts)).all() and (found == lm_score.levels(counts)).mean() > 0.95
-    assert lm_score.build_segment(grams, counts, 1, 2000)[1] > 1
+    found = lm_score.probe(lm_score.build_segment(grams, counts), grams)
+    assert (found >= lm_score.levels(counts)).all() and (found == lm_score.levels(counts)).mean() > 0.95
+    strange = textops.mix(np.arange(5000, 25_000, dtype=np.uint64))
+    assert (lm_score.probe(lm_score.build_segment(grams, counts), strange) > 0).mean() < 0.02
 
 
 def test_op5(docs, rows, none):
