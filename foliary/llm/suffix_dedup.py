@@ -1,7 +1,7 @@
 """Suffix-array dedup (4): bytes covered by strings of 400 bytes that start anywhere else.
 
-Each window of 400 bytes names one anchor in it (the 200-byte gram of least hash), so equal windows name equal grams
-at the same place, and about one position in a hundred is an anchor. Only suffixes at anchors whose gram recurs are
+Each window of 400 bytes names one anchor in it (the 100-byte gram of least hash), so equal windows name equal grams
+at the same place, and about one position in 150 is an anchor. Only suffixes at anchors whose gram recurs are
 kept. Runs of windows with one anchor that recur as a whole are settled by a count. The rest enter an enhanced
 suffix array: sorted by what follows the anchor, scanned with a stack into intervals of common prefixes; within an
 interval, the longest common left extensions show which members repeat and whether the repeat is left-maximal.
@@ -36,7 +36,7 @@ def _docs(docs: DataFrame, id_col: str, text_col: str, *carried: F.Column) -> Da
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, rolling: textops.Rolling) -> Iterator[tuple[np.ndarray, ...]]:
     """Per slice: gram hash, span hash, first and last window and anchor of each run of windows, as positions in ``data``."""
-    gram = length // 2
+    gram = length // 4
     width = length - gram + 1
     end = np.repeat(offsets[1:], np.diff(offsets))
     for at in range(0, len(data), SLICE):

@@ -148,3 +148,5 @@ def batches(source: Iterator[pa.RecordBatch], column: str = "text", most: int =
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
             yield batch.slice(a, b - a)
             a = b
+    # A worker outlives its tasks: what Arrow's pool holds but no longer uses goes back.
+    pa.default_memory_pool().release_unused()

@@ -409,7 +409,7 @@ def test_pipeline(spark, tmp_path):
         elif name == "n-gram Jaccard join":
             assert set(now) == {i for i, (_, c) in brute.jaccard_components(list(before.items())).items() if i == c}
         elif name == "suffix-array dedup":
-            want = {i: (gone, raw.decode(errors="ignore")) for i, (_, gone, _, raw) in brute.repeated_bytes(list(before.items())).items()}
+            want = {i: (gone, raw.decode(errors="ignore")) for i, (_, gone, _, raw) in brute.repeated_bytes(list(before.items()), corpus_pipeline.PASSAGE).items()}
             assert set(now) == {i for i, (gone, text) in want.items() if not gone or text}
             assert all(now[i] == before[i] for i in now if not want[i][0])
         kept = after
