@@ -18,8 +18,14 @@ from foliary.llm import textops
 from foliary.llm.common import shared_folder, table, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: RocksDB keeps the state; without fallocate each of many small stores takes the disk that it fills, not megabytes ahead.
-STORE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+#: RocksDB keeps the state; without fallocate each of many small stores takes the disk that it fills, not megabytes ahead,
+#: and all stores of an executor share one bound of memory.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+}
 
 
 def sha256(text: bytes) -> str:
