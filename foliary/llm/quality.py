@@ -11,14 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliary.llm import textops
 from foliary.llm.common import table
 
-#: Bytes of a passage; labelled documents that are learned from (each label's half); passages of one of them at most.
-PASSAGE, SAMPLE, SAMPLE_PASSAGES = 512, 6000, 24
+#: Bytes of a passage; labelled rows that are learned from, and bytes of their whole texts, at most (half for each label).
+PASSAGE, SAMPLE, SAMPLE_BYTES = 512, 6000, 1 << 25
 HIDDEN, GATE, ROUNDS, SEED = 24, 12, 160, 7
 
 _CLASS = np.full(256, 9, np.uint8)  # 9: other control and symbol bytes
@@ -131,27 +131,29 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> GatedAttention:
-    """Fits on at most ``sample`` labelled rows that are not held out, half of each label, picked by a hash of the id.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> GatedAttention:
+    """Fits on whole texts of at most ``sample`` labelled rows that are not held out, half of each label, in the order of
+    a hash of the id, as many as have ``sample_bytes`` together.
 
-    Only label 0 and 1 count. Of longer documents the sample reads SAMPLE_PASSAGES passages spread evenly. Without
-    both labels the model scores every text the share of label 1 (0.5 without labels).
+    Only label 0 and 1 count. Every passage of a sampled text is learned from. Without both labels the model scores
+    every text the share of label 1 (0.5 without labels).
     """
     known = labels.where(~held_out(id_col)).where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     picked = known.where("y = 0").orderBy(F.xxhash64("id"), "id").limit(sample // 2).unionByName(known.where("y = 1").orderBy(F.xxhash64("id"), "id").limit(sample // 2))
     picked = picked.dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # At most ``sample`` ids: a bounded side, so it is broadcast and the texts stay where they are.
+    sizes = texts.join(F.broadcast(picked), "id").select("id", "y", (F.coalesce(F.octet_length("text"), F.lit(0)) + PASSAGE).cast("long").alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
+    fitting = sizes.groupBy("id", "y").agg(F.sum("size").alias("size")).withColumn("upto", upto).where(F.col("upto") <= sample_bytes // 2).select("id", "y")
 
     def features(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textops.batches(source):
             x, first = passages(batch.column(2))
-            rows = []
-            for a, b in zip(first[:-1], first[1:], strict=True):
-                at = np.arange(a, b) if b - a <= SAMPLE_PASSAGES else a + (np.arange(SAMPLE_PASSAGES) * (b - a)) // SAMPLE_PASSAGES
-                rows.append(x[at].astype("<f4").tobytes())
+            rows = [x[a:b].astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["id", "y", "x"])
 
-    # At most ``sample`` ids: a bounded side, so it is broadcast and the texts stay where they are.
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text")
+    chosen = texts.join(F.broadcast(fitting), "id").select("id", "y", "text")
     rows = sorted(chosen.mapInArrow(features, "id long, y int, x binary").toLocalIterator(), key=lambda r: (r["id"], r["x"]))
     y = np.array([r["y"] for r in rows], np.float64)
     parts = [np.frombuffer(r["x"], "<f4").reshape(-1, FEATURES) for r in rows]
