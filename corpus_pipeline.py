@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm.common import table, written
+from foliary.llm.common import remove, table, written
 from foliary.llm.exact_dedup import exact_dedup
 from foliary.llm.ngram_jaccard import ngram_jaccard_join
 from foliary.llm.packing import best_fit_packing
@@ -15,6 +15,8 @@ from foliary.llm.suffix_dedup import suffix_array_dedup
 
 #: Tells rows apart within a stage, whatever their doc_id.
 ROW = "stage_row"
+#: Bytes of a passage that goes wherever it repeats: what some fifty words have at least in an alphabetic script.
+PASSAGE = 200
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -28,7 +30,10 @@ def _only(keyed: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what the classifier, learned on the labels that are not held out, scores under 0.3."""
+    """Rejects what the classifier, learned on the labels that are not held out, scores under 0.3.
+
+    Null texts score as empty ones; rows with null or repeated ids are scored each by itself; an empty table stays empty.
+    """
     return quality_filter(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
@@ -45,9 +50,12 @@ def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def suffix_array_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose what repeats of 400 bytes cover; a document of which nothing is left goes. Each row is cut by itself, whatever its doc_id."""
+    """Texts lose what repeats of PASSAGE bytes cover; a document of which nothing is left goes. Each row is cut by itself, whatever its doc_id.
+
+    Null texts stay as they are. Repeated rows cover each other and go; an empty table stays empty.
+    """
     others = [c for c in docs.columns if c != "text"]
-    found = suffix_array_dedup(docs, carry=F.struct(F.col("text").isNull().alias("text"), *others)).where("n_removed = 0 or kept <> ''")
+    found = suffix_array_dedup(docs, length=PASSAGE, carry=F.struct(F.col("text").isNull().alias("text"), *others)).where("n_removed = 0 or kept <> ''")
     own = {c: F.col("carried")[c] for c in others}
     own["text"] = F.when(~F.col("carried.text"), F.col("kept"))
     own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(own["n_chars"])
@@ -72,9 +80,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs)
+            if before is not None:
+                remove(before)
+            before = docs
     return docs
