@@ -25,14 +25,38 @@ DOC_TYPES = {
     "询比价": (r"询比价", r"比价(采购|响应)"),
 }
 
-# Constraint kinds, each with its pattern, value format and the words that a line must have.
+# Constraint kinds, each with its pattern, the groups of each way to match, and the words that a line must have.
 CONSTRAINTS = {
     "page_limit": (r"(?:不超过|不得超过|不得多于|控制在|限制在)\s*(\d{1,4})\s*页", None),
     "amount": (r"(\d+(?:\.\d+)?)\s*(万元|元)", r"保证金|限价|预算|报价|金额|费用|合同额|投资额"),
     "period": (r"(\d{1,4})\s*个?(日历日|工作日|日历天|个月|月|年|天|日)", r"期限|工期|服务期|有效期|截止|日内|天内|个月|质保"),
-    "quantity": (r"(正本|副本)?\s*(\d{1,2})\s*份", r"份|正本|副本"),
+    "social_security": (r"(?:近|连续)\s*(\d{1,2})\s*个月(?:的)?(?:社保|社会保险)|(?:社保|社会保险)[^\n]{0,15}?(\d{1,2})\s*个月", None),
+    "quantity": (r"(正本|副本)\s*(\d{1,2})\s*份|(\d{1,2})\s*份", r"份|正本|副本"),
 }
 
+# Threshold kinds.
+THRESHOLDS = {
+    "date": r"近\s*(\d{1,2})\s*年|(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日|(\d{1,2})\s*年内",
+    "amount": r"(?:合同金额|合同额|单项合同|造价|投资额|金额)[^\n]{0,10}?(?:≥|不低于|不少于|超过|以上|达到)?\s*(\d+(?:\.\d+)?)\s*(万元|元)|(?:≥|不低于|不少于)\s*(\d+(?:\.\d+)?)\s*(万元|元)",
+    "quantity": r"(?:≥|不少于|至少|不低于)\s*(\d{1,3})\s*(个|项|人|份|名)|(\d{1,3})\s*(个|项|人)\s*(?:以上|及以上)",
+}
+
+# What a section's title says of its nature, in order of preference.
+NATURES = {
+    "tech": r"监理大纲|技术方案|实施方案|技术参数|技术规格|技术指标|服务方案|施工组织|技术响应",
+    "business": r"供应商介绍|供应商简介|投标人介绍|投标人简介|人员力量|人员配备|业绩|荣誉|获奖|财务状况|财务报表|服务承诺|承诺函|售后服务|公司介绍|企业简介",
+}
+
+# Words of each kind of document.
+TERMS = {
+    "招标": {"主体": "投标人", "文件": "投标文件", "函件": "投标函", "中标": "中标"},
+    "采购": {"主体": "供应商", "文件": "响应文件", "函件": "报价函", "中标": "成交"},
+    "询比价": {"主体": "供应商", "文件": "询比价响应文件", "函件": "报价函", "中标": "成交"},
+}
+
+# Titles of chapters that other systems make.
+EXTERNAL = ("开标一览表", "投标报价", "分项报价表", "报价表", "报价函", "投标函附录", "法定代表人授权书")
+
 
 def title_key(c: Column) -> Column:
     """A title without white space and punctuation, for comparisons."""
@@ -85,20 +109,89 @@ def doc_type(c: Column) -> Column:
     return out
 
 
+def _matches(line: Column, pattern: str, groups: list[int], shape) -> Column:
+    """Of each match in order: shape of its groups as columns, an unmatched group being the empty string."""
+    every = [F.regexp_extract_all(line, F.lit(f"(?U){pattern}"), F.lit(k)) for k in groups]
+    return F.transform(F.arrays_zip(*[x.alias(f"g{k}") for k, x in zip(groups, every, strict=True)]), lambda m: shape(*[m[f"g{k}"] for k in groups]))
+
+
+def _either(*parts: Column) -> Column:
+    """The first part that isn't empty."""
+    return F.coalesce(*[F.when(p != "", p) for p in parts])
+
+
 def _named(kind: str, values: Column) -> Column:
-    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), squeeze(v).alias("value")))
+    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
 
 def constraints(line: Column) -> Column:
-    """array of struct(kind, value) of a line."""
+    """array of struct(kind, value) of a line, each once, in the order of kinds and then of places."""
+    shapes = {
+        "page_limit": ([1], lambda n: F.concat(n, F.lit("页"))),
+        "amount": ([1, 2], F.concat),
+        "period": ([1, 2], F.concat),
+        "social_security": ([1, 2], lambda a, b: F.concat(_either(a, b), F.lit("个月"))),
+        "quantity": ([0], lambda whole: whole),
+    }
     found = []
     for kind, (pattern, hint) in CONSTRAINTS.items():
-        values = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-        some = _named(kind, values)
-        found.append(F.when(line.rlike(hint), some).otherwise(F.array().cast("array<struct<kind:string,value:string>>")) if hint else some)
+        values = _named(kind, _matches(line, pattern, *shapes[kind]))
+        none = F.array().cast("array<struct<kind:string,value:string>>")
+        found.append(F.when(line.rlike(hint), values).otherwise(none) if hint else values)
     return F.array_distinct(F.flatten(F.array(*found)))
 
 
+def thresholds(line: Column) -> Column:
+    """array of struct(kind, value): dates, amounts and quantities that a line demands, each once."""
+    day = lambda near, y, m, d, within: F.when(near != "", F.concat(near, F.lit("年"))).when(y != "", F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))).otherwise(F.concat(within, F.lit("年内")))
+    two = lambda a, b, c, d: F.concat(_either(a, c), _either(b, d))
+    shapes = {"date": ([1, 2, 3, 4, 5], day), "amount": ([1, 2, 3, 4], two), "quantity": ([1, 2, 3, 4], two)}
+    found = [_named(kind, _matches(line, p, *shapes[kind])) for kind, p in THRESHOLDS.items()]
+    return F.array_distinct(F.flatten(F.array(*found)))
+
+
+def nature(title: Column) -> Column:
+    """tech before business by the words of a title, else general."""
+    out = F.when(F.lit(False), "")
+    for name, pattern in NATURES.items():
+        out = out.when(title.rlike(pattern), name)
+    return out.otherwise("general")
+
+
+def term(kind: Column, label: Column) -> Column:
+    """The word of a document kind for a label; unknown kinds have those of the first, unknown labels stand for themselves."""
+    words = F.create_map(*[F.lit(x) for k, v in TERMS.items() for a, b in v.items() for x in (f"{k}/{a}", b)])
+    known = F.when(kind.isin(*TERMS), kind).otherwise(next(iter(TERMS)))
+    return F.coalesce(F.try_element_at(words, F.concat_ws("/", known, label)), label)
+
+
+def external(title: Column) -> Column:
+    return F.exists(F.array(*[F.lit(x) for x in EXTERNAL]), lambda w: F.contains(title, w))
+
+
+def heading_level(given: Column, matched: Column) -> Column:
+    """The parser's level where no pattern matches, held to 1..4; a parser's 1 overrides a deeper match."""
+    return F.when(matched.isNull(), F.least(F.greatest(given, F.lit(1)), F.lit(4))).when((given == 1) & (matched > 1), 1).otherwise(matched)
+
+
+def snippet_after(c: Column, keyword: str, more: int = 20) -> Column:
+    """From the keyword's first place to ``more`` characters past it; null without it."""
+    at = F.instr(c, F.lit(keyword))
+    return F.when(at > 0, F.substring(c, at, F.lit(len(keyword) + more)))
+
+
+def cjk_words(c: Column, least: int) -> Column:
+    """Runs of at least ``least`` ideographs, each once, in order."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(rf"([\x{{4e00}}-\x{{9fff}}]{{{least},}})"), F.lit(1)))
+
+
+def fenced_json(c: Column, schema: str) -> Column:
+    """The object in a reply: of its first ```json block, else of its first block, else the whole; null where it doesn't parse."""
+    named, plain = F.regexp_extract(c, r"(?s)```json\s*(.*?)```", 1), F.regexp_extract(c, r"(?s)```\s*(.*?)```", 1)
+    body = F.when(F.contains(c, F.lit("```json")), F.when(named != "", named).otherwise(c)).when(plain != "", plain).otherwise(c)
+    return F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, schema))
+
+
 def chapter_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(c, r"^[\d.\s]+", ""), r"\s+", ""))
 
@@ -134,6 +227,10 @@ def placeholders(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.regexp_replace(c, r"(?s)\{[%+\-].*?[%+\-]\}", ""), F.lit(r"\{\{\s*([a-zA-Z_][a-zA-Z0-9_]*)\s*\}\}"), F.lit(1)))
 
 
+def placeholder_class(name: Column, known_b: list[str]) -> Column:
+    return F.when(F.startswith(name, F.lit("img_")), "image").when(name.isin(*known_b), "b_class").otherwise("a_class")
+
+
 def syntax_errors(c: Column) -> Column:
     """array of what is wrong with a template text."""
     n = lambda p: F.regexp_count(c, F.lit(p))

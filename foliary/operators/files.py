@@ -42,7 +42,7 @@ def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         yield pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 
 
-def same_content(pairs: DataFrame, least: float = 0.9, pages: int = 2) -> DataFrame:
+def same_content(pairs: DataFrame, least: float = 0.85, pages: int = 2) -> DataFrame:
     """pairs of (a_text, a_pages, b_text, b_pages): equal digests agree, too many pages apart or one empty differ; the
     costly ratio is asked only of the rows that are left, in a branch of their own."""
     a, b = fingerprint(F.col("a_text")), fingerprint(F.col("b_text"))

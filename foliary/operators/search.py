@@ -38,3 +38,25 @@ def candidate_groups(hits: DataFrame, name: str, rank: str) -> DataFrame:
     """Hits by name without page suffix; best rank first."""
     base = F.regexp_replace(name, r"_[Pp]\d+$", "")
     return hits.groupBy(base.alias("name")).agg(F.count("*").alias("items"), F.min(rank).alias("best"))
+
+
+def upserted(index: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """Postings (gram, id, tf, doc_len) after documents (id, text) were added or changed and others removed (id)."""
+    gone = added.select("id").unionByName(removed.select("id")).distinct()
+    return index.join(gone, "id", "left_anti").select("gram", "id", "tf", "doc_len").unionByName(postings(added, "id", "text").select("gram", "id", "tf", "doc_len"))
+
+
+def rebuilt(docs: DataFrame) -> DataFrame:
+    """Postings of all live documents (id, text, deleted_at)."""
+    return postings(docs.where(F.col("deleted_at").isNull()), "id", "text").select("gram", "id", "tf", "doc_len")
+
+
+def best(found: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """The best ranks first (less is better), ties by id."""
+    return found.orderBy("rank", "id").offset(offset).limit(limit)
+
+
+def candidates(hits: DataFrame, materials: DataFrame, project) -> DataFrame:
+    """Search hits (id, rank) with the live materials (id, project_id ..) that a project may see."""
+    mine = materials.where(F.col("deleted_at").isNull() & (F.col("project_id").isNull() | (F.col("project_id") == F.lit(project))))
+    return hits.join(mine, "id")

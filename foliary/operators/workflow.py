@@ -56,3 +56,135 @@ def resumed(items: DataFrame) -> DataFrame:
 def progress(start: float, end: float, done: str, total: str) -> F.Column:
     """Percent between start and end, rounded half to even."""
     return F.least(F.lit(end), F.lit(start) + F.bround((end - start) * F.col(done) / F.greatest(F.col(total), F.lit(1)), 0)).cast("int")
+
+
+# Items of a parse configuration, those that can't be left out first, and what any change of it resets.
+REQUIRED = ("project_overview", "tech_score", "project_info", "buyer_info", "response_requirements", "agency_info", "business_score", "invalid_bid")
+OPTIONAL = ("delivery_service", "procurement_list", "bid_milestones", "bid_bond", "qualification_review", "compliance_review", "bid_opening", "bid_evaluation", "contract_award", "contract_termination")
+AFFECTED = ("extract:coarse", "extract:llm", "score:extract", "score:llm")
+
+# The stages that a stage's reset takes with it.
+STAGES = {
+    "dedupe": ("dedupe-verify", "preprocess"),
+    "dedupe-verify": ("preprocess",),
+    "preprocess": ("mineru",),
+    "mineru": ("chapters",),
+    "chapters": ("docx", "extract:coarse"),
+    "extract:coarse": ("extract:llm", "score:extract"),
+    "score:extract": ("score:llm",),
+    "extract:llm": ("confirmed",),
+    "score:llm": ("confirmed",),
+    "docx": ("confirmed",),
+}
+
+
+def _names(names: tuple[str, ...]) -> F.Column:
+    return F.array(*[F.lit(x) for x in names])
+
+
+def merged_config(given: F.Column) -> F.Column:
+    """map of every item to whether it is on: required ones by default, what is given overrides, unknown names are dropped."""
+    every = [x for k in (*REQUIRED, *OPTIONAL) for x in (F.lit(k), F.coalesce(F.try_element_at(given, F.lit(k)), F.lit(k in REQUIRED)))]
+    return F.create_map(*every)
+
+
+def config_faults(chosen: F.Column) -> tuple[F.Column, F.Column]:
+    """Names chosen that aren't known, and required ones that aren't chosen, both in order."""
+    return F.array_sort(F.array_except(chosen, _names((*REQUIRED, *OPTIONAL)))), F.array_sort(F.array_except(_names(REQUIRED), chosen))
+
+
+def config_change(new: F.Column, old: F.Column, scalars: dict[str, tuple[F.Column, F.Column]]) -> F.Column:
+    """struct(added, removed, and each scalar as struct(from, to) where it changed)."""
+    parts = [F.array_sort(F.array_except(new, old)).alias("added"), F.array_sort(F.array_except(old, new)).alias("removed")]
+    parts += [F.when(~a.eqNullSafe(b), F.struct(b.alias("from"), a.alias("to"))).alias(k) for k, (a, b) in scalars.items()]
+    return F.struct(*parts)
+
+
+def affected(change: F.Column, scalars: list[str]) -> F.Column:
+    """The checkpoint items that a change resets: all of them where anything changed, else none."""
+    any_change = (F.size(change["added"]) > 0) | (F.size(change["removed"]) > 0)
+    for k in scalars:
+        any_change = any_change | change[k].isNotNull()
+    return F.when(any_change, _names(AFFECTED)).otherwise(F.array().cast("array<string>"))
+
+
+def below(spark: SparkSession, edges: dict[str, tuple[str, ...]] = STAGES) -> DataFrame:
+    """(stage, below): every stage and all that its reset takes with it, itself included. The graph is a small constant."""
+    rows = [(a, b) for a, to in edges.items() for b in to]
+    view = spark.createDataFrame(rows, "stage string, below string")
+    names = sorted({x for r in rows for x in r})
+    found = spark.createDataFrame([(n, n) for n in names], "stage string, below string")
+    step = found
+    for _ in names:
+        step = step.alias("s").join(F.broadcast(view.alias("e")), F.col("s.below") == F.col("e.stage")).select("s.stage", "e.below").distinct()
+        if step.isEmpty():
+            break
+        found = found.union(step)
+    return found.distinct()
+
+
+def reset(items: DataFrame, resets: DataFrame, closure: DataFrame, key: str = "job") -> DataFrame:
+    """items (job, stage, state) after resets (job, stage): what lies below a reset stage is idle again, all else stays."""
+    hit = resets.join(F.broadcast(closure), "stage").select(key, F.col("below").alias("stage")).distinct().withColumn("hit", F.lit(True))
+    return items.join(hit, [key, "stage"], "left").withColumn("state", F.when(F.col("hit"), "idle").otherwise(F.col("state"))).drop("hit")
+
+
+def retried(items: DataFrame) -> DataFrame:
+    """Before a resume: what failed or was running is idle; attempts stay."""
+    return items.withColumn("state", F.when(F.col("state").isin("error", "running"), "idle").otherwise(F.col("state")))
+
+
+def attempts(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Checkpoint items from their log (state): how often each ran, and its last state."""
+    return log.groupBy(*key).agg(F.count_if(F.col("state") == "running").alias("attempts"), F.max_by("state", F.struct(*order)).alias("state"))
+
+
+def audited(requests: DataFrame, allowed: DataFrame, key: str, order: list[str], start: str = "INIT") -> DataFrame:
+    """requests (key, order.., to_state) replayed: each with the state it met (from_state) and whether it was legal.
+
+    An illegal request changes nothing, so what a request meets depends on all before it: a fold over each key's
+    requests in order, with the edges as a constant map.
+    """
+    edges = {r["from_state"]: [] for r in allowed.select("from_state").distinct().collect()}
+    for r in allowed.collect():
+        edges[r["from_state"]].append(r["to_state"])
+    table = F.create_map(*[x for k, v in edges.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))])
+    wanted = F.array_sort(F.collect_list(F.struct(*order, "to_state")))
+    kind = dict(requests.dtypes)
+    entry = f"array<struct<{', '.join(f'{c}: {kind[c]}' for c in order)}, from_state: string, to_state: string, legal: boolean>>"
+    zero = F.struct(F.lit(start).alias("state"), F.array().cast(entry).alias("log"))
+
+    def step(acc: F.Column, x: F.Column) -> F.Column:
+        legal = F.array_contains(F.coalesce(F.try_element_at(table, acc["state"]), F.array().cast("array<string>")), x["to_state"])
+        row = F.struct(*[x[c].alias(c) for c in order], acc["state"].alias("from_state"), x["to_state"].alias("to_state"), legal.alias("legal"))
+        return F.struct(F.when(legal, x["to_state"]).otherwise(acc["state"]).alias("state"), F.concat(acc["log"], F.array(row)).alias("log"))
+
+    return requests.groupBy(key).agg(F.aggregate(wanted, zero, step)["log"].alias("log")).select(key, F.inline("log"))
+
+
+def gate(state: F.Column, target: F.Column, order: list[str]) -> F.Column:
+    """What entering a stage does: nothing where the state is there or beyond, a step where it is right before, else an error."""
+    place = lambda c: F.array_position(_names(tuple(order)), c)
+    return F.when((place(state) == 0) | (place(target) == 0), "unknown").when(place(state) >= place(target), "already").when(place(state) + 1 == place(target), "enter").otherwise("not reached")
+
+
+def event_sequence(jobs: DataFrame, steps: int, key: str = "job", cancelled: str = "cancel_after") -> DataFrame:
+    """The progress events of each job in order: started, ``steps`` times running, completed; after ``cancel_after`` running
+    events (null: never) the next is cancelled and ends the job."""
+    last = F.when(F.col(cancelled) < steps, F.col(cancelled) + 1).otherwise(steps + 1)
+    rows = jobs.withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(last, F.lit(steps + 1)).cast("long"))))
+    stage = F.when(F.col("seq") == 0, "started").when((F.col("seq") == steps + 1), "completed").when(F.col("seq") > F.col(cancelled), "cancelled").otherwise("running")
+    return rows.select(key, "seq", stage.alias("stage"), F.floor(100 * F.least(F.col("seq"), F.lit(steps)) / steps).cast("int").alias("percent"))
+
+
+def access(level: F.Column, state: dict[str, F.Column]) -> F.Column:
+    """Whether a route of a level is open: each level needs all flags up to its own."""
+    needs = {"public": [], "enterprise": ["enterprise"], "project": ["enterprise", "project"]}
+    needs |= {k: [*needs["project"], k] for k in ("parse", "format", "material")}
+    out = F.when(F.lit(False), F.lit(True))
+    for k, flags in needs.items():
+        ok = F.lit(True)
+        for f in flags:
+            ok = ok & state[f]
+        out = out.when(level == k, ok)
+    return out.otherwise(False)

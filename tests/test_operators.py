@@ -35,10 +35,45 @@ def test_doc_type(spark, text, want):
     assert one(spark, text, T.doc_type) == want
 
 
-def test_constraints(spark):
-    got = {tuple(r) for r in one(spark, "投标保证金5万元，有效期6个月", T.constraints)}
-    assert ("amount", "5万元") in got and ("period", "6个月") in got
-    assert [tuple(r) for r in one(spark, "监理大纲页数不超过50页", T.constraints)] == [("page_limit", "不超过50页")]
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("监理大纲页数不超过50页。", [("page_limit", "50页")]),
+        ("投标保证金金额为5万元", [("amount", "5万元")]),
+        ("服务期限12个月", [("period", "12月")]),
+        ("提供近6个月的社保证明", [("period", "6月"), ("social_security", "6个月")]),
+        ("社保缴纳证明 3 个月", [("period", "3月"), ("social_security", "3个月")]),
+        ("正本1份，副本4份", [("quantity", "正本1份"), ("quantity", "副本4份")]),
+        ("共 3 份", [("quantity", "3 份")]),
+        ("无", []),
+    ],
+)
+def test_constraints(spark, text, want):
+    assert [tuple(r) for r in one(spark, text, T.constraints)] == want
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("近3年业绩，有效期至2025年12月1日，三年内", [("date", "3年"), ("date", "2025-12-01")]),
+        ("单项合同额不低于500万元", [("amount", "500万元")]),
+        ("≥3个业绩，至少2项，5人以上", [("quantity", "3个"), ("quantity", "2项"), ("quantity", "5人")]),
+        ("5年内", [("date", "5年内")]),
+    ],
+)
+def test_thresholds(spark, text, want):
+    assert [tuple(r) for r in one(spark, text, T.thresholds)] == want
+
+
+def test_similarity(spark):
+    rows = [(["一", "二"], ["一", "二"]), (["1. 甲", "乙", "丙", "丁"], ["甲", "乙"]), (["甲"], ["乙"]), ([], ["甲"])]
+    df = spark.createDataFrame(rows, "p array<string>, q array<string>")
+    both = [tuple(r["s"]) for r in df.select(templates.similarity(F.col("p"), F.col("q"), F.lit(True), F.lit(True)).alias("s")).collect()]
+    none = [tuple(r["s"]) for r in df.select(templates.similarity(F.col("p"), F.col("q"), F.lit(False), F.lit(False)).alias("s")).collect()]
+    assert [b[0] for b in both] == [100.0, 100.0, 95.0, 75.0]
+    assert none == [(85.0, 1.0, 1.0, 1.0), (42.5, 0.5, 0.5, 0.5), (20.0, 0.0, 1.0, 0.0), (0.0, 0.0, 0.0, 0.0)]
+    halves = spark.createDataFrame([(0.15, 1), (2.675, 2), (2.5, 0)], "x double, d int")
+    assert [r[0] for r in halves.select(templates.rounded("x", "d")).collect()] == [0.1, 2.67, 2.0]
 
 
 def test_anchor_needs_text(spark):
@@ -92,10 +127,6 @@ def test_search(spark):
 
 
 def test_templates(spark):
-    a = ["a", "b", "c", "d"]
-    rows = spark.createDataFrame([(1, a, a, True, True), (2, a, [], True, True), (3, a, ["x"], False, False)], "k int, p array<string>, t array<string>, g boolean, y boolean")
-    got = {r["k"]: r["s"] for r in rows.withColumn("s", templates.score(F.col("p"), F.col("t"), F.col("g"), F.col("y"))).collect()}
-    assert got[1] == 100 and got[2] == 0 and got[3] < 50
     p = spark.createDataFrame([(1, 0, "1 A"), (1, 1, "B"), (1, 2, "C")], "k int, pos int, name string")
     t = spark.createDataFrame([(1, 0, "x"), (1, 1, "a")], "k int, pos int, name string")
     assert {r["pos"]: (r["template"], r["how"]) for r in templates.associated(p, t, "k").collect()} == {0: ("a", "name"), 1: ("a", "place"), 2: (None, "none")}
