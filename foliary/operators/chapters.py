@@ -78,3 +78,13 @@ def section_text(rows: DataFrame, sections: DataFrame, most: int = 20_000) -> Da
     inside = rows.join(s, "doc_id").where("block_idx >= start and block_idx < end_idx and text <> ''")
     joined = inside.groupBy("doc_id", "start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "text"))), lambda x: x["text"]), "\n").alias("text"))
     return joined.withColumn("text", F.substring("text", 1, most))
+
+
+def with_ancestors(found: DataFrame, id_col: str = "doc_id", order: str = "block_idx", deepest: int = 8) -> DataFrame:
+    """Headings with the orders of all headings above them, nearest first: of each smaller level the last one so far, as
+    long as no smaller level came after it."""
+    before = Window.partitionBy(id_col).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col(order)), True).over(before)) for k in range(1, deepest)]
+    # One counts only if it stands after the last heading of every smaller level, else that one has closed it.
+    kept = [F.when(s.isNotNull() & (s > F.coalesce(F.greatest(*seen[:k]) if k > 1 else seen[0] if k else F.lit(-1), F.lit(-1))), s) for k, s in enumerate(seen)]
+    return found.withColumn("ancestors", F.filter(F.array(*reversed(kept)), lambda x: x.isNotNull()))

@@ -43,12 +43,15 @@ def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
 
 
 def same_content(pairs: DataFrame, least: float = 0.85, pages: int = 2) -> DataFrame:
-    """pairs of (a_text, a_pages, b_text, b_pages): equal digests agree, too many pages apart or one empty differ; the
-    costly ratio is asked only of the rows that are left, in a branch of their own."""
+    """pairs of (a_text, a_pages, b_text, b_pages): equal digests agree, too many pages apart, one empty or lengths that
+    can't reach the ratio differ; the costly ratio is asked only of the rows that are left, in a branch of their own."""
     a, b = fingerprint(F.col("a_text")), fingerprint(F.col("b_text"))
     rows = pairs.withColumns({"a_n": a[0], "b_n": b[0], "equal": a[1] == b[1]})
     sure = F.when((F.col("a_n") == 0) & (F.col("b_n") == 0), F.col("a_pages") == F.col("b_pages")).when((F.col("a_n") == 0) | (F.col("b_n") == 0), False).when(F.abs(F.col("a_pages") - F.col("b_pages")) > pages, False).when(F.col("equal"), True)
-    rows = rows.withColumn("same", sure)
+    # No ratio is above what the shorter text would give if all of it matched.
+    long = [F.length(F.substring(c, 1, FINGERPRINT_CHARS)) for c in ("a_text", "b_text")]
+    short = 2 * F.least(*long) < least * (long[0] + long[1])
+    rows = rows.withColumn("same", F.coalesce(sure, F.when(short, False)))
     known = rows.where("same is not null")
     asked = rows.where("same is null").withColumn("same", ratio(F.substring("a_text", 1, FINGERPRINT_CHARS), F.substring("b_text", 1, FINGERPRINT_CHARS)) >= least)
     return known.unionByName(asked).drop("a_n", "b_n", "equal")

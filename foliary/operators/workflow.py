@@ -110,17 +110,10 @@ def affected(change: F.Column, scalars: list[str]) -> F.Column:
 
 def below(spark: SparkSession, edges: dict[str, tuple[str, ...]] = STAGES) -> DataFrame:
     """(stage, below): every stage and all that its reset takes with it, itself included. The graph is a small constant."""
-    rows = [(a, b) for a, to in edges.items() for b in to]
-    view = spark.createDataFrame(rows, "stage string, below string")
-    names = sorted({x for r in rows for x in r})
-    found = spark.createDataFrame([(n, n) for n in names], "stage string, below string")
-    step = found
-    for _ in names:
-        step = step.alias("s").join(F.broadcast(view.alias("e")), F.col("s.below") == F.col("e.stage")).select("s.stage", "e.below").distinct()
-        if step.isEmpty():
-            break
-        found = found.union(step)
-    return found.distinct()
+    found = {x: {x} for a, to in edges.items() for x in (a, *to)}
+    for _ in found:
+        found = {a: got | {c for b in got for c in edges.get(b, ())} for a, got in found.items()}
+    return spark.createDataFrame([(a, b) for a, got in found.items() for b in sorted(got)], "stage string, below string")
 
 
 def reset(items: DataFrame, resets: DataFrame, closure: DataFrame, key: str = "job") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliary.functions import text as T
 
 BLOCK = "type string, text string, page_idx int, text_level int, bbox array<double>, table_body string, img_caption string"
+BLOCKS = f"array<struct<{', '.join(x.replace(' ', ': ', 1) for x in BLOCK.split(', '))}>>"
 ACCEPTED = ("pdf", "doc", "docx")
 
 
@@ -31,7 +32,32 @@ def read_keywords(spark: SparkSession, path: str, names: tuple[str, ...]) -> Dat
     return rows.select(F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("category", "values")).select("category", F.explode("values").alias("value"))
 
 
-def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Progress events of ``data:`` lines; works on a batch and on a stream."""
+def parsed_blocks(json: F.Column) -> F.Column:
+    """The blocks in a JSON text; null if it is no array."""
+    return F.when(F.ltrim(json).startswith("["), F.from_json(json, BLOCKS))
+
+
+def parsed_keywords(rows: DataFrame, key: str, json: str, names: tuple[str, ...] = ("certificate_types", "person_names", "project_keywords", "honor_types", "custom")) -> DataFrame:
+    """(key, category, value) of JSON objects of word lists; unknown names are left out, absent ones are empty."""
+    lists = F.from_json(json, ", ".join(f"{n} array<string>" for n in names))
+    found = rows.select(key, F.explode(F.create_map(*[x for n in names for x in (F.lit(n), lists[n])])).alias("category", "values"))
+    return found.select(key, "category", F.explode("values").alias("value"))
+
+
+def requirements(rows: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, category, item, material) of score tables as JSON; a table that doesn't parse has none."""
+    form = "categories array<struct<name: string, items: array<struct<name: string, materials: array<string>>>>>"
+    found = rows.select(key, F.explode(F.from_json(json, form)["categories"]).alias("c")).select(key, F.col("c.name").alias("category"), F.explode("c.items").alias("i"))
+    return found.select(key, "category", F.col("i.name").alias("item"), F.explode("i.materials").alias("material"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Replaces a folder of JSON lines; the output committer makes new files appear only when all are written."""
+    df.write.mode("overwrite").json(path)
+
+
+def parse_events(lines: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """Progress events of ``data:`` lines, with the columns to keep in front; works on a batch and on a stream."""
     body = F.regexp_extract(column, r"^data:\s*(.*)$", 1)
-    return lines.where(F.col(column).startswith("data:")).select(F.from_json(body, "stage string, percent int, message string").alias("e")).select("e.*").withColumn("terminal", F.col("stage").isin("completed", "failed", "cancelled"))
+    rows = lines.where(F.col(column).startswith("data:")).select(*(keep or []), F.from_json(body, "stage string, percent int, message string").alias("e"))
+    return rows.select(*(keep or []), "e.*").withColumn("terminal", F.col("stage").isin("completed", "failed", "cancelled"))

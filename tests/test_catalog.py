@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from foliary.plans import catalog, domain  # noqa: F401  domain adds its queries to the catalog
+from foliary.plans import catalog, domain, records, reports  # noqa: F401  the others add their queries to the catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
