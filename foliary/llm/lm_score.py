@@ -24,7 +24,7 @@ from foliary.llm.common import remove, table, written
 
 #: Base of the levels, bits for each entry and probes, bytes of a filter that is broadcast, tokens gathered before a
 #: task hands them on, bytes of text for each range, weight of the word prior.
-LEVEL, BITS, PROBES, FILTER_BYTES, FLUSH, RANGE_BYTES, PRIOR = 1.5, 10, 5, 1 << 26, 3_000_000, 1 << 24, 2000.0
+LEVEL, BITS, PROBES, FILTER_BYTES, FLUSH, RANGE_BYTES, PRIOR = 1.5, 10, 5, 1 << 23, 3_000_000, 1 << 24, 2000.0
 END_HASH, START_HASH = 0x5EED0E4D, 0x5EED057A
 CHUNKS = "chunk long, ids array<long>, held array<boolean>, ends array<int>, words binary, places binary"
 PACKED = "part int, words binary, word_counts binary, pairs binary, pair_counts binary"
@@ -46,11 +46,21 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pairs(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of each token with the one before it, or with the start of its text."""
+    """The hash of each token with the one before it, or with the start of its text. 56 bits, so a byte less moves."""
     before = np.empty_like(hashes)
     before[1:] = hashes[:-1]
     before[np.concatenate([[0], ends[:-1]])] = START_HASH
-    return textops.mix(before * np.uint64(0x9E3779B97F4A7C15) + hashes)
+    return textops.mix(before * np.uint64(0x9E3779B97F4A7C15) + hashes) & ~np.uint64(0xFF)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on: high bytes of sorted hashes and of small numbers compress away."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def joined(raw: bytes | pa.Buffer, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
 def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
@@ -70,13 +80,13 @@ def _chunks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, places = np.unique(hashes, return_inverse=True)
         one = pa.array([0, batch.num_rows], pa.int32())
         lists = [pa.ListArray.from_arrays(one, c) for c in (batch.column(0), batch.column(1), pa.array(ends, pa.int32()))]
-        yield pa.record_batch([pa.array([number], pa.int64()), *lists, pa.array([words.tobytes()], pa.binary()), pa.array([places.astype("<u4").tobytes()], pa.binary())], names=["chunk", "ids", "held", "ends", "words", "places"])
+        yield pa.record_batch([pa.array([number], pa.int64()), *lists, pa.array([planes(words)], pa.binary()), pa.array([planes(places.astype("<u4"))], pa.binary())], names=["chunk", "ids", "held", "ends", "words", "places"])
         number += 1
 
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A chunk's distinct words, each token's place among them, and the texts' ends."""
-    return np.frombuffer(row["words"], "<u8"), np.frombuffer(row["places"], "<u4"), np.array(row["ends"], np.int64)
+    return joined(row["words"], "<u8"), joined(row["places"], "<u4"), np.array(row["ends"], np.int64)
 
 
 def merged(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +109,7 @@ def _gather(parts: int):
         for p in range(parts):
             (a, b), (c, d) = at[p : p + 2], to[p : p + 2]
             if b > a or d > c:
-                packed = (own[0][a:b].tobytes(), own[1][a:b].astype("<u4").tobytes(), two[0][c:d].tobytes(), two[1][c:d].astype("<u4").tobytes())
+                packed = (planes(own[0][a:b]), planes(own[1][a:b].astype("<u4")), planes(two[0][c:d]), planes(two[1][c:d].astype("<u4")))
                 yield pa.record_batch([pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=["part", "words", "word_counts", "pairs", "pair_counts"])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +213,7 @@ def _reduce(each: int):
 
 
 def _column(rows: pa.Table, grams: str, counts: str) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(rows.column(grams).to_pylist()), "<u8"), np.frombuffer(b"".join(rows.column(counts).to_pylist()), "<u4")
+    return tuple(np.concatenate([joined(x.as_buffer(), kind) for x in rows.column(c)]) for c, kind in ((grams, "<u8"), (counts, "<u4")))
 
 
 def _ask(parts: int, with_pairs: bool):
@@ -215,7 +225,7 @@ def _ask(parts: int, with_pairs: bool):
             two = np.unique(pairs(words[places], ends)) if with_pairs else np.zeros(0, np.uint64)
             at, to = cuts_of(words, parts), cuts_of(two, parts)
             some = np.flatnonzero((np.diff(at) > 0) | (np.diff(to) > 0))
-            columns = [pa.array([x[c[p] : c[p + 1]].tobytes() for p in some], pa.binary()) for x, c in ((words, at), (two, to))]
+            columns = [pa.array([planes(x[c[p] : c[p + 1]]) for p in some], pa.binary()) for x, c in ((words, at), (two, to))]
             yield pa.record_batch([pa.array(some, pa.int32()), pa.array(np.full(len(some), row["chunk"])), *columns], names=["part", "chunk", "words", "pairs"])
 
     return run
@@ -227,10 +237,10 @@ def _answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
     known, counts, bits = (np.frombuffer(counted.column(n)[0].as_py(), kind) if have else np.zeros(0, kind) for n, kind in (("words", "<u8"), ("counts", "<i8"), ("segment", "u1")))
     out = {"counts": [], "levels": []}
     for words, two in zip(asked.column("words"), asked.column("pairs"), strict=True):
-        words = np.frombuffer(words.as_py(), "<u8")
+        words = joined(words.as_buffer(), "<u8")
         place = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
-        out["counts"].append((np.where(known[place] == words, counts[place], 0) if len(known) else np.zeros(len(words), np.int64)).astype("<i8").tobytes())
-        out["levels"].append(probe(bits, np.frombuffer(two.as_py(), "<u8")).tobytes())
+        out["counts"].append(planes((np.where(known[place] == words, counts[place], 0) if len(known) else np.zeros(len(words), np.int64)).astype("<i8")))
+        out["levels"].append(probe(bits, joined(two.as_buffer(), "<u8")).tobytes())
     return pa.table({"part": asked.column("part"), "chunk": asked.column("chunk")} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
 
 
@@ -241,7 +251,7 @@ def _score(total: int, distinct: int, trained: int, prior: float, segments: Call
         row = next(_rows(rows.combine_chunks().to_batches()))
         answers = answers.sort_by("part")
         words, places, ends = _opened(row)
-        counts = np.frombuffer(b"".join(answers.column("counts").to_pylist()), "<i8")[places]
+        counts = np.concatenate([joined(x.as_buffer(), "<i8") for x in answers.column("counts")])[places]
         two = pairs(words[places], ends)
         if segments is not None:
             level = probe_all(segments(), two)
