@@ -66,8 +66,8 @@ def _scatter(shingle: int, parts: int):
         for p in np.unique(part):
             a, b = np.searchsorted(part, [p, p + np.uint64(1)])
             who, count = np.unique(all_owner[a:b], return_counts=True)
-            # 48 bits are enough beside the range: a false match only lets a set stay in question.
-            low = np.ascontiguousarray(all_grams[a:b]).view(np.uint8).reshape(-1, 8)[:, :6]
+            # 32 bits are enough within a range, whose size doesn't grow: a false match only lets a set stay in question.
+            low = all_grams[a:b].astype("<u4")
             ids = np.where(who < 0, NOBODY, rid[who])
             rows.append((int(p), None, None, None, None, ids.astype("<i8").tobytes(), count.astype("<u4").tobytes(), low.tobytes()))
         for a in range(0, len(rows), 2000):
@@ -100,10 +100,7 @@ def _match(parts: int):
         packed = rows.filter(pc.is_valid(kinds))
         ids = np.frombuffer(b"".join(packed.column("rids").to_pylist()), "<i8")
         counts = np.frombuffer(b"".join(packed.column("counts").to_pylist()), "<u4").astype(np.int64)
-        low = np.frombuffer(b"".join(packed.column("grams").to_pylist()), np.uint8).reshape(-1, 6)
-        grams = np.zeros((len(low), 8), np.uint8)
-        grams[:, :6] = low
-        grams = grams.reshape(-1).view("<u8")
+        grams = np.frombuffer(b"".join(packed.column("grams").to_pylist()), "<u4")
         order = np.argsort(grams, kind="stable")
         ranked = grams[order]
         start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
@@ -205,7 +202,7 @@ def _prefixes(ranked: DataFrame, order: str, num: int, den: int) -> DataFrame:
 def _verified(jobs: DataFrame, packed: DataFrame, num: int, den: int) -> DataFrame:
     """Links within each job of jobs (node, and the columns that name a job)."""
     names = [c for c in jobs.columns if c != "node"]
-    return written(jobs.join(packed, "node").groupBy(*names).applyInPandas(_verify(num, den), "a binary, b binary"))
+    return written(jobs.join(packed, "node").groupBy(*names).applyInPandas(_verify(num, den), "a long, b long"))
 
 
 def _linked(together: DataFrame, packed: DataFrame, num: int, den: int) -> DataFrame:
@@ -263,20 +260,24 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     per = tally.groupBy("rid").agg(F.max("size").alias("size"), F.max("node").alias("node"), F.max("seen").alias("seen"))
     members = written(keyed.select("id", "rid", *named).join(per, "rid").select("id", "rid", "size", "node", "seen", *named))
-    open_nodes = members.where("size > 0").groupBy("node", "size").agg(F.max("seen").alias("seen"), F.min("rid").alias("rid")).where(f"{den} * seen >= {num} * size")
-    texts = keyed.join(open_nodes.select("rid", "node"), "rid").select("node", "text")
-    packed = written(texts.mapInArrow(_sets(shingle), "node binary, grams binary").dropDuplicates(["node"]))
-    grams = packed.select("node", F.col("grams")).mapInArrow(_unpack, "node binary, gram long")
+    remove(tally)
+    open_nodes = written(members.where("size > 0").groupBy("node", "size").agg(F.max("seen").alias("seen"), F.min("rid").alias("rid")).where(f"{den} * seen >= {num} * size"))
+    # From here on a set goes by the least of its rows' hashes, eight bytes instead of sixteen.
+    texts = keyed.join(open_nodes.select("rid"), "rid").select(F.col("rid").alias("node"), "text")
+    packed = written(texts.mapInArrow(_sets(shingle), "node long, grams binary").dropDuplicates(["node"]))
+    grams = packed.select("node", F.col("grams")).mapInArrow(_unpack, "node long, gram long")
     df = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     shared = grams.join(df, "gram")
-    whole = members.where("size > 0").groupBy("node").agg(F.first("size").alias("size"))
+    whole = open_nodes.select(F.col("rid").alias("node"), "size")
     count = shared.groupBy("node").agg(F.count("*").alias("common")).join(whole, "node").where(f"{den} * common >= {num} * size")
     ranked = written(shared.join(count.withColumn("alone", F.expr("size - common")).select("node", "size", "alone"), "node"))
     first = components(_prefixes(ranked, "df | gram", num, den))
     second = components(_prefixes(ranked, "bit_length(bin(df)) | xxhash64(gram)", num, den))
     remove(ranked)
     together = written(first.join(second.withColumnRenamed("root", "other"), "node").join(whole, "node"))
-    roots = _linked(together, packed, num, den)
+    named_by = open_nodes.select("rid", "node")
+    linked = _linked(together, packed, num, den).withColumnRenamed("node", "rid").join(named_by, "rid").select("node", F.col("root").alias("rid"))
+    roots = linked.join(named_by.withColumnRenamed("node", "named"), "rid").select("node", F.col("named").alias("root"))
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     one = [F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("one") for _ in named]
     least = rooted.where("size > 0").groupBy("root").agg(F.min("id").alias("component"), *one)

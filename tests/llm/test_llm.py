@@ -107,10 +107,10 @@ def test_op9_over_a_whole_table(spark):
 
 def test_op9_links_beyond_the_first_block(spark, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "BLOCK", 2)
-    sets = {bytes([k]): np.arange(at, at + n, dtype=np.uint64) for k, (at, n) in enumerate([(2 * i, 20 + i % 3) for i in range(12)] + [(500, 9), (501, 9), (900, 30)])}
-    together = spark.createDataFrame([(k, b"r", b"o", len(x)) for k, x in sets.items()], "node binary, root binary, other binary, size int")
-    packed = spark.createDataFrame([(k, x.tobytes()) for k, x in sets.items()], "node binary, grams binary")
-    got = {bytes(r["node"]): bytes(r["root"]) for r in ngram_jaccard._linked(together, packed, 75, 100).collect()}
+    sets = {k: np.arange(at, at + n, dtype=np.uint64) for k, (at, n) in enumerate([(2 * i, 20 + i % 3) for i in range(12)] + [(500, 9), (501, 9), (900, 30)])}
+    together = spark.createDataFrame([(k, b"r", b"o", len(x)) for k, x in sets.items()], "node long, root binary, other binary, size int")
+    packed = spark.createDataFrame([(k, x.tobytes()) for k, x in sets.items()], "node long, grams binary")
+    got = {r["node"]: r["root"] for r in ngram_jaccard._linked(together, packed, 75, 100).collect()}
     want = {k: k for k in sets}
     for _ in sets:
         for a in sets:
