@@ -24,6 +24,9 @@ from foliary.llm.common import remove, table, written
 
 #: Bytes of a repeat, windows of a slice, members of an anchor's interval tree in one task.
 LENGTH, SLICE, MEMBERS = 400, 1 << 18, 5000
+RUNS = "gram long, span long, rid long, firsts array<long>, more int, lead int"
+ENTRY = "gram long, single boolean, rid long, at long, left binary, right binary"
+WINDOW = "gram long, key long, single boolean, rid long, a long"
 
 
 def _rid() -> F.Column:
@@ -135,6 +138,40 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int) -> Ite
             yield depth, found, lefts[order[0]][:1] != lefts[order[-1]][:1]
 
 
+def maximal_groups(lefts: list[bytes], rights: list[bytes], length: int) -> Iterator[tuple[int, int, list[int]]]:
+    """(left, depth, members) of each repeat of ``length`` bytes or more that grows with none of its members lost.
+
+    Of the intervals of common prefixes of ``rights`` (sorted), those of the reversed ``lefts`` within each: a group's
+    members differ in what precedes their common left, and in what follows their common depth.
+    """
+    most = max(map(len, lefts), default=0)
+    for depth, a, b in intervals(rights):
+        if depth + most < length:
+            continue
+        order = sorted(range(a, b + 1), key=lefts.__getitem__)
+        for left, x, y in intervals([lefts[k] for k in order]):
+            members = sorted(order[x : y + 1])
+            if left + depth >= length and common(rights[members[0]], rights[members[-1]]) == depth:
+                yield left, depth, members
+
+
+def _groups(length: int):
+    """The maximal groups of each anchor, one row for each member kind; rows come sorted by (gram, right)."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_gram(source):
+            # A kind that recurs as a whole stands for two members at least.
+            twice = [r for r in rows for _ in range(1 if r[1] else 2)]
+            out = []
+            for left, depth, members in maximal_groups([r[4] for r in twice], [r[5] for r in twice], length):
+                first = twice[members[0]]
+                out += [(first[0], first[2], first[3] - left, left + depth, r[2], r[3] - left) for r in dict.fromkeys(twice[k] for k in members)]
+            columns = zip(*out, strict=True) if out else ((),) * 6
+            yield pa.record_batch([pa.array(list(c), pa.int64()) for c in columns], names=["gram", "head_rid", "head_at", "length", "rid", "at"])
+
+    return run
+
+
 def _entries(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around each unsettled anchor of a document: (gram, left, right) with left reversed."""
     for batch in textops.batches(source, most=1 << 20):
@@ -154,24 +191,25 @@ def _entries(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(out["gram"], pa.int64()), pa.array(out["single"], pa.bool_()), pa.array(out["rid"], pa.int64()), pa.array(out["at"], pa.int64()), pa.array(out["left"], pa.binary()), pa.array(out["right"], pa.binary())], names=list(out))
 
 
+def _by_gram(source: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    held, key = [], None
+    for batch in source:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != key and held:
+                yield held
+                held = []
+            key = row[0]
+            held.append(row)
+    if held:
+        yield held
+
+
 def _scan(length: int):
     """The stack scan of each anchor's suffixes; rows come sorted by (gram, right), so a partition is one suffix array."""
 
-    def groups(source: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        held, key = [], None
-        for batch in source:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != key and held:
-                    yield held
-                    held = []
-                key = row[0]
-                held.append(row)
-        if held:
-            yield held
-
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
-        for rows in groups(source):
+        for rows in _by_gram(source):
             reach: dict[int, set[tuple[int, int]]] = {}
             for depth, found, _ in maximal_repeats([r[4] for r in rows], [r[5] for r in rows], length):
                 for k, left in found.items():
@@ -209,7 +247,7 @@ def _windows(length: int):
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, members: int = MEMBERS) -> DataFrame:
     """(rid, spans): of each row of (rid, text) with repeats, byte spans whose union is what repeats cover, unsorted."""
-    every = written(rows.select("rid", "text").mapInArrow(_runs(length), "gram long, span long, rid long, firsts array<long>, more int, lead int"))
+    every = written(rows.select("rid", "text").mapInArrow(_runs(length), RUNS))
     # Most grams occur once in all texts; the runs of all others go on.
     again = every.groupBy("gram").agg(F.sum(F.size("firsts")).alias("n")).where("n > 1").select("gram")
     runs = written(every.join(again, "gram", "left_semi"))
@@ -220,15 +258,14 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, members: int = MEMBERS
     unsettled = written(kinds.join(per.where("kinds > 1 and fewest = 1").select("gram", "kinds"), "gram").select("gram", "n", "kinds", "one.*"))
     per_row = unsettled.groupBy("rid").agg(F.collect_list(F.struct("gram", "n", "first", "more", "lead", F.lit(length).alias("length"))).alias("runs"))
     texts = rows.select("rid", "text").join(per_row, "rid").select("rid", "text", "runs")
-    entry = "gram long, single boolean, rid long, at long, left binary, right binary"
     # A repeated row (same id and text) brings its entries once more; as one entry they are as many as they were. A run
     # that a slice's border cuts is two entries with one anchor, told apart by their first windows.
-    found = texts.mapInArrow(_entries, entry).withColumn("first", F.col("at") - F.octet_length("left"))
+    found = texts.mapInArrow(_entries, ENTRY).withColumn("first", F.col("at") - F.octet_length("left"))
     entries = written(found.dropDuplicates(["gram", "rid", "at", "first"]).drop("first"))
     large = unsettled.where(f"kinds > {members}").select("gram").distinct()
     small = entries.join(large, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "right")
     scanned = small.mapInArrow(_scan(length), "rid long, a long, b long")
-    windows = entries.join(large, "gram", "left_semi").mapInArrow(_windows(length), "gram long, key long, single boolean, rid long, a long")
+    windows = entries.join(large, "gram", "left_semi").mapInArrow(_windows(length), WINDOW)
     often = windows.groupBy("gram", "key").agg(F.count("*").alias("n")).where("n > 1").select("gram", "key")
     counted = windows.where("single").join(often, ["gram", "key"]).select("rid", "a", (F.col("a") + length).alias("b"))
     single = scanned.unionByName(counted).select("rid", F.array(F.struct("a", "b")).alias("spans"))
@@ -294,6 +331,35 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(spans, "rid", "left").select("id", "text", "spans", *carried).mapInArrow(_cut, form)
 
 
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, members: int = MEMBERS) -> DataFrame:
+    """(head, length, id, at): maximal repeats of ``length`` bytes or more with all their occurrences, by byte places.
+
+    A group is named by its head, the row hash and place of one occurrence, and its length; ``at`` is where an occurrence
+    starts in the text of ``id``. What is told apart is the bytes around one anchor, so a repeat that is longer than an
+    anchor's run is several groups, one for each of its anchors. An anchor of more than ``members`` kinds gives groups of
+    exactly ``length`` bytes instead, by counting. Null and empty texts have none; repeated rows share their occurrences.
+    """
+    rows = _docs(docs, id_col, text_col)
+    every = rows.select("rid", "text").mapInArrow(_runs(length), RUNS)
+    kinds = written(every.groupBy("gram", "span").agg(F.collect_list(F.struct("rid", "firsts")).alias("places"), F.sum(F.size("firsts")).alias("n"), F.min(F.struct("rid", F.element_at("firsts", 1).alias("first"), "more", "lead")).alias("one")))
+    again = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1")
+    mine = kinds.join(again, "gram").select("gram", "n", "kinds", "one.*")
+    per_row = mine.groupBy("rid").agg(F.collect_list(F.struct("gram", "n", "first", "more", "lead", F.lit(length).alias("length"))).alias("runs"))
+    texts = rows.select("rid", "text").dropDuplicates(["rid"]).join(per_row, "rid").select("rid", "text", "runs")
+    entries = written(texts.mapInArrow(_entries, ENTRY))
+    large = again.where(f"kinds > {members}").select("gram")
+    small = entries.join(large, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "right")
+    found = small.mapInArrow(_groups(length), "gram long, head_rid long, head_at long, length long, rid long, at long")
+    windows = entries.join(large, "gram", "left_semi").mapInArrow(_windows(length), WINDOW)
+    several = windows.groupBy("gram", "key").agg(F.min(F.struct("rid", "a")).alias("head"), F.collect_list(F.struct("rid", "a")).alias("all"), F.bool_or(~F.col("single")).alias("again")).where("again or size(all) > 1")
+    counted = several.select("gram", F.col("head.rid").alias("head_rid"), F.col("head.a").alias("head_at"), F.lit(length).cast("long").alias("length"), F.explode("all").alias("x")).select("gram", "head_rid", "head_at", "length", F.col("x.rid").alias("rid"), F.col("x.a").alias("at"))
+    kind = kinds.select("gram", F.col("one.rid").alias("rid"), F.col("one.first").alias("first"), F.col("one.more").alias("more"), "places")
+    parts = found.unionByName(counted).join(kind, ["gram", "rid"]).where(f"at >= first and at + length <= first + more + {length}")
+    parts = parts.select(F.struct(F.col("head_rid").alias("rid"), F.col("head_at").alias("at")).alias("head"), "length", (F.col("at") - F.col("first")).alias("shift"), F.inline("places"))
+    places = parts.select("head", "length", "rid", "shift", F.explode("firsts").alias("first")).select("head", "length", "rid", (F.col("first") + F.col("shift")).alias("at")).distinct()
+    return places.join(rows.select("rid", "id"), "rid").select("head", "length", "id", "at")
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_array_dedup(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("text"))

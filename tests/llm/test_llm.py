@@ -148,6 +148,30 @@ def test_op4_runs_across_slice_borders(spark):
     assert {r["id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found} == want
 
 
+@pytest.mark.parametrize("members", [5000, 1])
+def test_op4_repeat_groups(spark, docs, rows, members):
+    """Groups hold equal strings only; all places of a group's string are in it; what they cover is what repeats cover."""
+    raw = {i: (t or "").encode() for i, t in rows}
+    found = suffix_dedup.repeat_groups(docs, members=members).collect()
+    groups, cover = {}, {i: set() for i in raw}
+    for r in found:
+        groups.setdefault((tuple(r["head"]), r["length"]), set()).add((r["id"], r["at"]))
+        cover[r["id"]].update(range(r["at"], r["at"] + r["length"]))
+    assert len(groups) > 3
+    for (_, n), places in groups.items():
+        (string,) = {raw[i][a : a + n] for i, a in places}
+        assert len(string) == n >= suffix_dedup.LENGTH and len(places) > 1
+        every = {(i, a) for i, t in raw.items() for a in range(len(t) - n + 1) if t[a : a + n] == string}
+        assert places == every or members == 1 and places <= every
+    want = brute.repeated_bytes(rows)
+    assert {i: len(c) for i, c in cover.items()} == {i: want[i][1] for i in raw}
+
+
+def test_op4_maximal_groups():
+    lefts, rights = [b"x", b"xz", b"q"], [b"aab", b"aab", b"aac"]
+    assert sorted(suffix_dedup.maximal_groups(lefts, rights, 2)) == [(0, 2, [0, 1, 2]), (1, 3, [0, 1])]
+
+
 def test_op4_intervals():
     rights = sorted([b"aab", b"aac", b"ab", b"b"])
     assert list(suffix_dedup.intervals(rights)) == [(2, 0, 1), (1, 0, 2), (0, 0, 3)]
