@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from foliary.llm.common import table, written
 
-#: A group of more than 1 / (shards * LARGE) of all bytes is an item of its own; the others share BUNDLES items.
-SHARDS, LARGE, BUNDLES, SLOTS = 16, 256, 8192, 100_000
+#: A group of more than 1 / (shards * LARGE) of all bytes is an item of its own; the others share BUNDLES items. Rows of a
+#: group that are numbered in one task, at most about so many.
+SHARDS, LARGE, BUNDLES, SLOTS = 16, 256, 8192, 500
 
 
 def best_fit_decreasing(items: list[tuple[int, int]], capacity: int, most: int | None = None) -> dict[int, int] | None:
@@ -51,21 +52,27 @@ def even_shards(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
     return found or {}
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None) -> DataFrame:
     """One row per input row: id, size, crc, item, shard, slot (gapless from 0 in each shard).
 
     Size: UTF-8 bytes of the text plus 1; null counts as empty. Rows with equal texts, repeated rows and null ids
-    among them, lie in one shard. If one text holds more than a shard's share, its shard is as large as it must be.
+    among them, lie in one shard. Without ``capacity`` the given number of shards is as even as it gets; if one text
+    holds more than a shard's share, its shard is as large as it must be. With a ``capacity`` in bytes there are as few
+    shards as best fit decreasing needs, and a group that doesn't fit raises. Extra columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = written(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.sha2(text, 256).alias("key")))
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shards = shards if capacity is None else max(1, -(-total // capacity))
     groups = written(groups.withColumn("large", F.col("bytes") > total / (shards * LARGE)).withColumn("item", F.expr(f"if(large, cast(null as long), pmod(xxhash64(key), {BUNDLES}))")))
     # At most shards * LARGE rows: each holds more than its share of all bytes.
     large = [(BUNDLES + k, r["key"], r["bytes"], max(1, -(-r["n"] // SLOTS))) for k, r in enumerate(groups.where("large").orderBy("key").collect())]
     small = groups.where("not large").groupBy("item").agg(F.sum("bytes").alias("bytes")).collect()
-    packed = even_shards([(r["item"], r["bytes"]) for r in small] + [(k, b) for k, _, b, _ in large], shards)
+    items = [(r["item"], r["bytes"]) for r in small] + [(k, b) for k, _, b, _ in large]
+    packed = even_shards(items, shards) if capacity is None else best_fit_decreasing(items, capacity)
+    if packed is None:
+        raise ValueError(f"a group of equal texts, or a bundle of small ones, is larger than {capacity} bytes")
     spark = docs.sparkSession
     place = F.broadcast(spark.createDataFrame([(k, s) for k, s in packed.items()], "item long, shard int"))
     keys = F.broadcast(spark.createDataFrame([(k, key, n) for k, key, _, n in large], "own long, key string, salts long"))

@@ -7,6 +7,7 @@ import sys
 import zlib
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute  # noqa: E402
 
-from foliary.llm import exact_dedup, lm_score, ngram_jaccard, packing, pieces, quality, sharding, suffix_dedup, textops, token_files, topk  # noqa: E402
+from foliary.llm import exact_dedup, lm_score, ngram_jaccard, packing, pieces, quality, registry, sharding, suffix_dedup, textops, token_files, topk  # noqa: E402
 
 #: Columns that the operators use themselves, in other meanings.
 CLASH = "doc_id long, text string, source string, id string, rid string, row string, node string, size string, digest string, keep string"
@@ -340,6 +341,73 @@ def test_op7_texts_that_hold_an_added_token():
     assert 50256 in ids
 
 
+def test_op5_shards_are_even_or_few(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    even = sharding.shard_documents(docs).groupBy("shard").agg(F.sum("size").alias("bytes")).toPandas()["bytes"]
+    assert len(even) == 16 and even.max() - even.min() <= 0.001 * even.mean()
+    total = int(even.sum())
+    few = sharding.shard_documents(docs, capacity=total // 5 + 1).groupBy("shard").agg(F.sum("size").alias("bytes")).toPandas()["bytes"]
+    assert len(few) <= 6 and few.max() <= total // 5 + 1 and few.sum() == total
+    with pytest.raises(ValueError, match="larger"):
+        sharding.shard_documents(docs, capacity=100)
+    items = [(k, s) for k, s in enumerate([9, 8, 7, 6, 5, 4, 3, 2, 1])]
+    packed = sharding.even_shards(items, 3)
+    assert sorted(sum(s for k, s in items if packed[k] == x) for x in range(3)) == [15, 15, 15]
+    assert sharding.even_shards([], 3) == {}
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_sql_of_operators(spark, name):
+    db, sf = duckdb.connect(), "/root/testdata/sf0.01"
+    for t in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    found = registry.QUERIES[name](spark, sf)
+    columns = ", ".join(found.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(db.execute(f"SELECT {columns} FROM ({registry.ORACLES[name]}) q").fetchall())
+
+
+def test_op10_held_out_accuracy(spark):
+    """Labels of this table are easy: nearly all held-out ones come out right."""
+    sf = "/root/testdata/sf0.01"
+    found = quality.op10_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("score", "predicted", "quality").toPandas()
+    assert len(found) > 50 and (found["predicted"] == found["quality"]).mean() > 0.95
+    good, bad = found["score"][found["quality"] == 1], found["score"][found["quality"] == 0]
+    assert np.mean([g > b for g in good for b in bad]) > 0.98
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    """Every row is a row of the result, whatever its id; equal rows are treated alike; columns of other meanings do no harm."""
+    rng = random.Random(51)
+    a, b, long = words(rng, 90), words(rng, 90), words(rng, 12_000, 400)
+    rows = [(None, a), (None, b), (None, None), (7, a), (7, b), (7, a), (8, ""), (None, a), (9, long), (9, long)]
+    clash = "doc_id long, text string, id int, rid int, row int, size int, part int, span int, gram int, shard int, slot int, item int, held_out int, score int, start int, n int"
+    docs = spark.createDataFrame([(i, t, *[k] * 14) for k, (i, t) in enumerate(rows)], clash)
+    key = lambda i: (i is None, i or 0)
+    ids = sorted(key(i) for i, _ in rows)
+
+    cut = suffix_dedup.suffix_array_dedup(docs).collect()
+    assert sorted((*key(r["id"]), r["n_bytes"], r["n_removed"]) for r in cut) == sorted((*key(i), len(t or ""), len(t or "")) for i, t in rows)
+    shards = sharding.shard_documents(docs, 4).collect()
+    assert sorted(key(r["id"]) for r in shards) == ids and len({(r["shard"], r["slot"]) for r in shards}) == len(rows)
+    links = ngram_jaccard.ngram_jaccard_join(docs).collect()
+    assert sorted((*key(r["id"]), r["n_shingles"]) for r in links) == sorted((*key(i), len(brute.shingles(t))) for i, t in rows)
+    assert {r["component"] for r in links if r["n_shingles"] > 5000} == {9}
+    held = exact_dedup.exact_dedup(docs).collect()
+    assert sorted(key(r["id"]) for r in held) == ids and sum(r["kept"] for r in held) == len({t or "" for _, t in rows})
+    model = quality.GatedAttention.fresh(np.zeros(quality.FEATURES), np.ones(quality.FEATURES))
+    scored = quality.quality_scores(docs, model).collect()
+    assert sorted(key(r["id"]) for r in scored) == ids and all(0 <= r["score"] <= 1 for r in scored)
+    packed = packing.best_fit_packing(docs.withColumn("source", F.lit("s"))).toPandas()
+    assert packed["size"].sum() == sum(len(brute.words(t)) for _, t in rows) and (packed.groupby("bin")["size"].sum() <= packing.CAPACITY).all()
+
+
+def test_op6_repeated_and_broken_vectors(spark):
+    """Rows that share a vec_id are candidates each, but never of a query with that id; broken vectors take no part."""
+    rows = [(0, [1.0, 0.0]), (0, [0.9, 0.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (2, [float("nan"), 1.0]), (3, None), (4, [0.25, None]), (None, [1.0, 1.0])]
+    found = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {r["vec_id"] for r in found} == {1} and {r["query_id"] for r in found} == {0}
+
+
 def test_op1(spark, docs, rows, none):
     public = pytest.importorskip("public_tokenizers")
     path = public.path("piece_bpe_32k.model")
