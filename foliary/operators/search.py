@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(gram, id, tf, doc_len): how often each distinct trigram (lower case) occurs."""
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    grams = F.when(F.length(low) >= 3, F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, 3))).otherwise(F.array().cast("array<string>"))
-    rows = docs.select(F.col(id_col).alias("id"), F.greatest(F.length(low) - 2, F.lit(0)).alias("doc_len"), F.explode(grams).alias("gram"))
-    return rows.groupBy("gram", "id", "doc_len").agg(F.count("*").alias("tf"))
+    # Characters as an array that is bound once, so each gram is three look-ups wherever it stands.
+    each = lambda c: F.transform(F.sequence(F.lit(0), F.length(low) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
+    grams = F.when(F.length(low) >= 3, F.flatten(F.transform(F.array(F.split(low, "")), each))).otherwise(F.array().cast("array<string>"))
+    # Lengths before the grams are exploded, else the text would go along with each.
+    rows = docs.select(F.col(id_col).alias("id"), F.greatest(F.length(low) - 2, F.lit(0)).alias("doc_len"), grams.alias("grams"))
+    return rows.select("id", "doc_len", F.explode("grams").alias("gram")).groupBy("gram", "id", "doc_len").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, id_col: str, text_col: str, phrase: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:

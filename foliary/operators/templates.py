@@ -96,9 +96,10 @@ def holding(texts: DataFrame, key: str, text: Column, terms: DataFrame, term: Co
     size = min(most, shortest)
     keyed = words.withColumn("gram", F.xxhash64(F.substring(F.col("term").cast("binary"), 1, size)))
     rows = texts.select(F.col(key), text.alias("text"))
-    raw = F.col("text").cast("binary")
-    # Bytes, not characters: a place in a text is found without reading up to it.
-    grams = F.transform(F.sequence(F.lit(1), F.octet_length("text") - size + 1), lambda i: F.xxhash64(F.substring(raw, i, F.lit(size))))
+    # Bytes, not characters: a place in a text is found without reading up to it. As an array's one element they are
+    # a variable, which is bound once and not read from the row for every place.
+    places = F.sequence(F.lit(1), F.octet_length("text") - size + 1)
+    grams = F.flatten(F.transform(F.array(F.col("text").cast("binary")), lambda raw: F.transform(places, lambda i: F.xxhash64(F.substring(raw, i, F.lit(size))))))
     met = rows.where(F.octet_length("text") >= size).select(key, F.explode(F.array_distinct(grams)).alias("gram")).join(keyed, "gram").select(key, "term")
     return met.join(rows, key).where(F.contains("text", "term")).select(key, "term", "text")
 

@@ -232,9 +232,9 @@ def i1_ranked_search(spark, d):
     return found.select(F.col("id").alias("doc_id"), (F.round("rank", 4) + F.lit(0.0)).alias("rank"))
 
 
-@query("SELECT gram, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT doc_id, gram, count(*) AS tf FROM (SELECT item_id AS doc_id, unnest(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(lower(text), i, 3))) AS gram FROM benchmark) GROUP BY ALL) GROUP BY gram")
+@query("SELECT gram, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT doc_id, gram, count(*) AS tf FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(len(a) - 1, 1)), lambda i: a[i] || a[i + 1] || a[i + 2])) AS gram FROM (SELECT doc_id, string_split(lower(text), '') AS a FROM documents)) GROUP BY ALL) GROUP BY gram")
 def i1_postings(spark, d):
-    return search.postings(t(spark, d, "benchmark"), "item_id", "text").groupBy("gram").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
+    return search.postings(t(spark, d, "documents"), "doc_id", "text").groupBy("gram").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
 
 
 @query("SELECT regexp_replace(p_name, ' .*$', '') AS name, count(*) AS items, min(p_retailprice) AS best FROM part GROUP BY 1")

@@ -146,3 +146,51 @@ def test_scope_and_events(spark):
         relational.scoped(rows, tenant=None)
     lines = spark.createDataFrame([('data: {"stage":"completed","percent":100,"message":"ok"}',), ("",)], "value string")
     assert readers.parse_events(lines).first()["terminal"]
+
+
+def test_sources(spark, tmp_path):
+    """Files land with size and digest; block lists, word lists and docx files are read; JSON is written whole."""
+    import hashlib
+
+    from foliary.sources import docx
+
+    (tmp_path / "in").mkdir()
+    made = docx.docx_of(["第一章 总则", "", "a <b> & c"])
+    (tmp_path / "in" / "甲 乙.docx").write_bytes(made)
+    (tmp_path / "in" / "note.txt").write_text("no")
+    landed = readers.land(spark, str(tmp_path / "in")).collect()
+    assert [(r["ext"], r["size"], r["sha256"]) for r in landed] == [("docx", len(made), hashlib.sha256(made).hexdigest())]
+    assert readers.land(spark, str(tmp_path / "in"), 10).count() == 0
+    files = spark.read.format("binaryFile").load(str(tmp_path / "in"))
+    rows = docx.paragraphs(files.select("path", "content"), "path").collect()
+    assert [(r["pos"], r["kind"], r["text"]) for r in rows] == [(0, "paragraph", "第一章 总则"), (2, "paragraph", "a <b> & c")]
+    (tmp_path / "blocks").mkdir()
+    (tmp_path / "blocks" / "one-2.json").write_text('[{"type": "text", "text": "x", "page_idx": 1}, {"type": "table", "extra": 1}]')
+    assert sorted((r["source_stem"], r["type"]) for r in readers.read_blocks(spark, str(tmp_path / "blocks")).collect()) == [("one", "table"), ("one", "text")]
+    (tmp_path / "words.json").write_text('{"custom": ["a", "b"], "unknown": ["c"]}')
+    assert [tuple(r) for r in readers.read_keywords(spark, str(tmp_path / "words.json"), ("custom", "person_names")).collect()] == [("custom", "a"), ("custom", "b")]
+    readers.write_json(spark.range(3), str(tmp_path / "out"))
+    readers.write_json(spark.range(2), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_progress_as_a_stream(spark, tmp_path):
+    """The same frames, read as they come; the stream's last event of each job is the batch's."""
+    (tmp_path / "frames").mkdir()
+    (tmp_path / "frames" / "a.txt").write_text('data: {"stage":"running","percent":10,"message":"m"}\n\ndata: {"stage":"completed","percent":100,"message":"m"}\n')
+    lines = spark.readStream.schema("value string").text(str(tmp_path / "frames"))
+    seen = readers.parse_events(lines).writeStream.format("memory").queryName("frames").trigger(availableNow=True).start()
+    seen.awaitTermination()
+    assert sorted(r["percent"] for r in spark.table("frames").where("terminal or percent = 10").collect()) == [10, 100]
+
+
+def test_walks(spark):
+    """What was found before decides: headings never go back, requests that are illegal change nothing."""
+    moves = spark.createDataFrame([("p", 1, "UPLOADED"), ("p", 2, "PARSED"), ("p", 3, "PARSING"), ("p", 4, "INIT")], "k string, at int, to_state string")
+    log = workflow.audited(moves, workflow.edges(spark), "k", ["at"]).orderBy("at").collect()
+    assert [(r["from_state"], r["legal"]) for r in log] == [("INIT", True), ("UPLOADED", False), ("UPLOADED", True), ("PARSING", False)]
+    closure = {(r["stage"], r["below"]) for r in workflow.below(spark).collect()}
+    assert ("mineru", "score:llm") in closure and ("score:llm", "mineru") not in closure and ("dedupe", "dedupe") in closure
+    texts = spark.createDataFrame([(1, "aXbaX"), (2, "nothing"), (3, "")], "k int, text string")
+    terms = spark.createDataFrame([("aX",), ("b",), ("",)], "term string")
+    assert {(r["k"], r["term"]): r["n"] for r in templates.occurrences(texts, terms, "k").collect()} == {(1, "aX"): 2, (1, "b"): 1}
