@@ -318,11 +318,14 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     parts = large.select("id", "row", "n", F.posexplode(F.expr(f"transform(sequence(0, (n - 1) div {chunk}), k -> substring(text, cast(greatest(k * {chunk} - {longest}, 0) + 1 as int), {chunk + 2 * longest}))")).alias("k", "text"))
     a = F.when(F.col("k") == 0, 0).otherwise(longest)
     chunks = parts.select("id", "row", "k", a.alias("a"), (a + F.least(F.lit(chunk), F.col("n") - F.col("k") * chunk)).cast("int").alias("b"), "text")
-    chunks = written(chunks.repartition("row", "k"))
+    chunks = written(chunks)
+    # Matrices are small but take time, so they are dealt by number: by their bytes alone they would meet in one task.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     matrices = written(chunks.select("row", "k", "a", "b", "text").mapInArrow(_transfers(path), "row long, k int, wide int, matrix binary").withColumn("segment", F.expr(f"cast(k div {segment} as int)")))
-    combined = matrices.groupBy("row", "segment").applyInPandas(_combined, "row long, segment int, wide int, matrix binary")
-    around = combined.groupBy("row").applyInPandas(_segments, "row long, segment int, before binary, after binary")
-    borders = matrices.join(around, ["row", "segment"]).groupBy("row", "segment").applyInPandas(_borders, "row long, k int, i int, j int")
+    dealt = matrices.repartition(tasks, "row", "segment")
+    combined = dealt.groupBy("row", "segment").applyInPandas(_combined, "row long, segment int, wide int, matrix binary")
+    around = combined.repartition(tasks, "row").groupBy("row").applyInPandas(_segments, "row long, segment int, before binary, after binary")
+    borders = dealt.join(around, ["row", "segment"]).groupBy("row", "segment").applyInPandas(_borders, "row long, k int, i int, j int")
     traced = chunks.join(borders, ["row", "k"]).select("row", "k", "a", "b", "text", "i", "j").mapInArrow(_traced(path), "row long, k int, ids binary")
     ids = traced.groupBy("row").agg(F.count("*").alias("chunks"), F.expr("array_sort(collect_list(struct(k, ids)))").alias("parts"))
     joined = ids.select("row", "chunks", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))

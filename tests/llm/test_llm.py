@@ -493,7 +493,11 @@ def test_pipeline(spark, tmp_path):
         after.write.parquet(str(tmp_path / name.replace(" ", "-")))
         after = spark.read.parquet(str(tmp_path / name.replace(" ", "-")))
         before, now = {r["doc_id"]: r["text"] for r in kept.collect()}, {r["doc_id"]: r["text"] for r in after.collect()}
-        if name == "exact dedup":
+        if name == "quality classifier":
+            model = quality.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+            x, first = quality.passages(pa.array([before[i] for i in sorted(before)], pa.string()))
+            assert set(now) == {i for i, p in zip(sorted(before), model.score(x, first), strict=True) if p >= 0.3}
+        elif name == "exact dedup":
             groups = {}
             for i, t in before.items():
                 groups.setdefault(t.translate(brute.AZ), []).append(i)
@@ -506,6 +510,9 @@ def test_pipeline(spark, tmp_path):
             assert all(now[i] == before[i] for i in now if not want[i][0])
         kept = after
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, sf).toPandas()
+    assert packed.groupby("doc_id")["size"].sum().to_dict() == {r["doc_id"]: len(brute.words(r["text"])) for r in kept.collect()}
+    assert packed.groupby("bin")["size"].sum().max() <= packing.CAPACITY and packed.groupby(["bin", "cluster"]).size().max() == 1
+    assert packed.groupby(["bin", "source"]).size().max() <= packing.PER_SOURCE
     assert set(packed["doc_id"]) == {r["doc_id"] for r in kept.collect()}
 
 
