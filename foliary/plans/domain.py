@@ -180,9 +180,6 @@ def h22_field_values(spark, d):
     return templates.values(rows(spark, d, "customer", OCR), "id")
 
 
-CHAPTERS = ("o_custkey AS project", "cast(o_orderkey % 4 AS int) AS kind", "o_orderkey AS id")
-
-
 @query("WITH x AS (SELECT o_custkey AS project, o_orderkey AS id, o_orderkey % 3 AS v FROM orders WHERE o_orderkey % 2 = 0) SELECT project, count(DISTINCT v) AS n_values, count(*) AS n_chapters FROM x GROUP BY project HAVING count(DISTINCT v) > 1")
 def d14_agreeing_fields(spark, d):
     text = F.concat(F.lit("前言 "), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("项目编号： P"), F.col("o_orderkey") % 3)).otherwise(""), F.lit(" 正文"))
