@@ -63,6 +63,8 @@ class Pieces:
         self.sizes = np.array([len(r) for r in self.raw], np.int64)
         self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        #: How ids travel between tasks: two bytes where the vocabulary allows.
+        self.narrow = "<u2" if len(self.raw) <= 1 << 16 else "<u4"
         self.apart: dict[tuple[str, str], bool] = {}
         self.cache = WordCache(self.library, CACHE)
 
@@ -240,7 +242,7 @@ def _transfers(path: str):
 
 
 def _traced(path: str):
-    """The ids of each chunk of (row, k, a, b, text, i, j): heads and tails by path, what lies between by word, a batch at once."""
+    """The narrow ids of each chunk of (row, k, a, b, text, i, j): heads and tails by path, what lies between by word, a batch at once."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
@@ -248,12 +250,23 @@ def _traced(path: str):
             parts = [p.between(r["text"], r["a"], r["b"], r["i"], r["j"]) for r in batch.to_pylist()]
             ids, counts = p.by_word([x[1].replace(MARK, " ") for x in parts])
             ends = np.cumsum(counts)
-            found = [np.concatenate([np.array(h, np.uint32), ids[e - n : e], np.array(t, np.uint32)]).astype("<u4").tobytes() for (h, _, t), e, n in zip(parts, ends, counts, strict=True)]
+            found = [np.concatenate([np.array(h, np.uint32), ids[e - n : e], np.array(t, np.uint32)]).astype(p.narrow).tobytes() for (h, _, t), e, n in zip(parts, ends, counts, strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["row", "k", "ids"])
 
     return run
 
 
+def _widened(path: str):
+    """Rows of (id, chunks, ids) with their ids in four bytes."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textops.batches(source, "ids", 1 << 22):
+            ids = [np.frombuffer(x.as_buffer(), pieces(path).narrow) for x in batch.column(2)]
+            yield pa.record_batch([*batch.columns[:2], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], names=["id", "chunks", "n_tokens", "ids"])
+
+    return run
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product of two matrices; it is associative."""
     return (a[:, :, None] + b[None, :, :]).max(1)
@@ -330,7 +343,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     ids = traced.groupBy("row").agg(F.count("*").alias("chunks"), F.expr("array_sort(collect_list(struct(k, ids)))").alias("parts"))
     joined = ids.select("row", "chunks", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
     named = joined.join(chunks.where("k = 0").select("row", "id"), "row")
-    return short.unionByName(named.select("id", "chunks", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids"))
+    return short.unionByName(named.select("id", "chunks", "ids").mapInArrow(_widened(path), OUT))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
