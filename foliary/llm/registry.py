@@ -10,6 +10,7 @@ from foliary.llm.sharding import op5_sharding
 from foliary.llm.suffix_dedup import op4_suffix_array_dedup
 from foliary.llm.token_files import op7_token_files
 from foliary.llm.topk import OP6_SQL, op6_exact_top_k
+from foliary.llm.yinyang import OP12_SQL, op12_centroid_clustering
 
 QUERIES = {
     f.__name__: f
@@ -24,6 +25,7 @@ QUERIES = {
         op8_exact_dedup,
         op9_ngram_jaccard_join,
         op10_quality_classifier,
+        op12_centroid_clustering,
     )
 }
-ORACLES = {"op6_exact_top_k": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES = {"op6_exact_top_k": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op12_centroid_clustering": OP12_SQL}
