@@ -1,5 +1,6 @@
 """Queries of this folder by name, and the SQL of those that SQL can express."""
 
+from foliary.llm.divergence import OP13_SQL, op13_source_divergence_audit
 from foliary.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from foliary.llm.lm_score import op3_lm_scoring
 from foliary.llm.ngram_jaccard import op9_ngram_jaccard_join
@@ -26,6 +27,7 @@ QUERIES = {
         op9_ngram_jaccard_join,
         op10_quality_classifier,
         op12_centroid_clustering,
+        op13_source_divergence_audit,
     )
 }
-ORACLES = {"op6_exact_top_k": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op12_centroid_clustering": OP12_SQL}
+ORACLES = {"op6_exact_top_k": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op12_centroid_clustering": OP12_SQL, "op13_source_divergence_audit": OP13_SQL}
