@@ -5,6 +5,7 @@ from foliary.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from foliary.llm.lm_score import op3_lm_scoring
 from foliary.llm.ngram_jaccard import op9_ngram_jaccard_join
 from foliary.llm.packing import op2_best_fit_packing
+from foliary.llm.personal_data import op11_pii
 from foliary.llm.pieces import op1_sentencepiece
 from foliary.llm.quality import op10_quality_classifier
 from foliary.llm.sharding import op5_sharding
@@ -26,6 +27,7 @@ QUERIES = {
         op8_exact_dedup,
         op9_ngram_jaccard_join,
         op10_quality_classifier,
+        op11_pii,
         op12_centroid_clustering,
         op13_source_divergence_audit,
     )
