@@ -46,7 +46,7 @@ def groups_of(centroids: np.ndarray, size: int = GROUP, rounds: int = 5) -> np.n
         for g in range(t):
             if (own == g).any():
                 middle[g] = centroids[own == g].mean(0)
-    return own
+    return np.unique(own, return_inverse=True)[1]  # no group is empty
 
 
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
