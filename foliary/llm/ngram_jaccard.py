@@ -27,7 +27,7 @@ from foliary.llm.common import components, remove, table, written
 
 #: Shingles gathered before a task hands them on, bytes of text for each range of shingles, sets of a verified block, bytes of a batch.
 FLUSH, RANGE_BYTES, BLOCK, BATCH = 300_000, 1 << 23, 256, 1 << 20
-#: Stands for no owner; no row has it.
+#: Stands for no owner; row numbers are 0 or more.
 NOBODY = -1
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 SCATTER = "part int, rid long, size int, node binary, here int, rids binary, counts binary, grams binary"
@@ -243,17 +243,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Sets link when den * intersection >= num * union; num / den must be at least 1/2. Null and empty texts and
     texts without words have no shingle, node null, and link with nothing: their component is their own id.
-    Repeated rows and null ids are ordinary members of their text's node. Long texts are read whole. ``row_col`` is a long that is another in each
-    row and the same whenever docs is read; of rows that links reach, kept is true for one with the smallest id (a null
+    Repeated rows and null ids are ordinary members of their text's node. Long texts are read whole. ``row_col`` is a long of 0 or more that is another
+    in each row and the same whenever docs is read; of rows that links reach, kept is true for one with the smallest id (a null
     id is the largest), and for each row without shingles.
     """
-    spark = docs.sparkSession
-    key, named = ("row", ["row"]) if row_col else ("id", [])
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(row_col).alias("row") for _ in named])
-    nbytes = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    named = ["row"] if row_col else []
+    # A row's own number names it, whatever its id and text; written, so it is the same whenever it is read.
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("rid"), *[F.col(row_col).alias("row") for _ in named])
+    keyed = source if row_col else written(source)
+    nbytes = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-nbytes // RANGE_BYTES))
-    # Ids are signed; only the one that stands for no owner is left out.
-    keyed = source.withColumn("rid", F.xxhash64(key, F.length("text"), F.crc32("text"))).withColumn("rid", F.when(F.col("rid") == NOBODY, 0).otherwise(F.col("rid")))
     tally = written(
         keyed.select("rid", "text").mapInArrow(_scatter(shingle, parts), SCATTER).groupBy("part").applyInArrow(_match(parts), SCATTER)
         .groupBy("part").applyInArrow(_total, "rid long, size int, node binary, seen long")
