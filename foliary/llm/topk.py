@@ -19,9 +19,9 @@ BLOCK, QUERIES, SAMPLE, LEADING = 4096, 1024, 4096, 16
 
 
 def whole_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, v array of long, norm2) of the vectors that take part: not null, not empty, all components finite, id not null."""
+    """(id, v array of long, norm2) of the vectors that take part: not null, all components finite, id not null."""
     fine = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0)).where(fine)
+    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(fine)
     v = F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale))
     return rows.select(F.col(id_col).alias("id"), v.alias("v")).withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
@@ -72,13 +72,14 @@ def _search(width: int, k: int, rotation: np.ndarray):
 def exact_top_k(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose id is divisible by ``every``, the k others of highest score.
 
-    Score: inner product of floor(scale * component). Ties go to smaller ids. Vectors null, empty or with null or
-    non-finite components take no part, nor do null ids; in a shorter vector the missing components count as 0. A
-    repeated id is one vector (its first by components). Fewer than k others: all of them. Scores must fit a long.
+    Score: inner product of floor(scale * component). Ties go to smaller ids. Vectors null or with null or non-finite
+    components take no part, nor do null ids; in a shorter vector, and an empty one, the missing components count as 0.
+    Each row of a repeated id is a candidate, though not of a query with that id; rows of a repeated query id share one
+    list, the best of all their scores. Fewer than k others: all of them. Scores must fit a long.
     """
-    rows = written(whole_vectors(vectors, id_col, vec_col, scale).groupBy("id").agg(F.min(F.struct("v", "norm2")).alias("r")).select("id", "r.v", "r.norm2"))
-    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
-    sample = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
+    rows = written(whole_vectors(vectors, id_col, vec_col, scale))
+    n, width = rows.agg(F.count("*"), F.greatest(F.coalesce(F.max(F.size("v")), F.lit(1)), F.lit(1))).first()
+    sample = [r["v"] for r in rows.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).collect()]
     sampled = matrix(pd.Series(sample, dtype=object), width).astype(np.float64)
     rotation = np.linalg.svd(sampled, full_matrices=True)[2].T if len(sample) and np.isfinite(sampled).all() else np.eye(width)
     blocks = max(1, -(-n // BLOCK))
