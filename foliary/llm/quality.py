@@ -133,7 +133,8 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> GatedAttention:
     """Fits on whole texts of at most ``sample`` labelled rows that are not held out, half of each label, in the order of
-    a hash of the id, as many as have ``sample_bytes`` together.
+    a hash of the id, as many as have ``sample_bytes`` together. A text of over 1/128 of ``sample_bytes`` (256 KB) is
+    passed over, so that no single one takes its class's room.
 
     Only label 0 and 1 count. Every passage of a sampled text is learned from. Without both labels the model scores
     every text the share of label 1 (0.5 without labels).
@@ -145,7 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # At most ``sample`` ids: a bounded side, so it is broadcast and the texts stay where they are.
     sizes = texts.join(F.broadcast(picked), "id").select("id", "y", (F.coalesce(F.octet_length("text"), F.lit(0)) + PASSAGE).cast("long").alias("size"))
     upto = F.sum("size").over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
-    fitting = sizes.groupBy("id", "y").agg(F.sum("size").alias("size")).withColumn("upto", upto).where(F.col("upto") <= sample_bytes // 2).select("id", "y")
+    fitting = sizes.groupBy("id", "y").agg(F.sum("size").alias("size")).where(F.col("size") <= sample_bytes // 128).withColumn("upto", upto).where(F.col("upto") <= sample_bytes // 2).select("id", "y")
 
     def features(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textops.batches(source):
