@@ -256,13 +256,33 @@ def _traced(path: str):
     return run
 
 
+def _cut(chunk: int, longest: int):
+    """Rows of (id, row, text) in chunks k with what reaches over their borders on both sides; a to b is the chunk itself.
+    One pass over a text's bytes, which finds where the chunks' characters start."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for own, row, value in zip(*(batch.column(i) for i in range(3)), strict=True):
+                raw = np.frombuffer(value.as_buffer(), np.uint8)
+                starts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+                n = len(starts) - 1
+                for k in range(-(-n // chunk)):
+                    left, right = max(0, k * chunk - longest), min(n, (k + 1) * chunk + longest)
+                    a = k * chunk - left
+                    text = raw[starts[left] : starts[right]].tobytes().decode()
+                    yield pa.record_batch([pa.array([own.as_py()], pa.int64()), pa.array([row.as_py()], pa.int64()), pa.array([k], pa.int32()), pa.array([a], pa.int32()), pa.array([a + min(chunk, n - k * chunk)], pa.int32()), pa.array([text])], names=["id", "row", "k", "a", "b", "text"])
+
+    return run
+
+
 def _widened(path: str):
-    """Rows of (id, chunks, ids) with their ids in four bytes."""
+    """Rows of (id, chunks, the chunks' ids) with all ids in four bytes, each text's in one pass."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textops.batches(source, "ids", 1 << 22):
-            ids = [np.frombuffer(x.as_buffer(), pieces(path).narrow) for x in batch.column(2)]
-            yield pa.record_batch([*batch.columns[:2], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], names=["id", "chunks", "n_tokens", "ids"])
+        for batch in source:
+            for k in range(batch.num_rows):
+                ids = np.frombuffer(b"".join(batch.column(2)[k].as_py()), pieces(path).narrow)
+                yield pa.record_batch([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([len(ids)], pa.int64()), pa.array([ids.astype("<u4").tobytes()], pa.binary())], names=["id", "chunks", "n_tokens", "ids"])
 
     return run
 
@@ -327,11 +347,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         raise ValueError(f"a chunk holds at least {longest} characters")
     whole = F.concat(F.lit(MARK), F.translate("text", " ", MARK))
     # Written, so a chunk's row number is the same for every step.
-    large = rows.where(giant).select("id", whole.alias("text")).withColumn("row", F.monotonically_increasing_id()).withColumn("n", F.length("text"))
-    parts = large.select("id", "row", "n", F.posexplode(F.expr(f"transform(sequence(0, (n - 1) div {chunk}), k -> substring(text, cast(greatest(k * {chunk} - {longest}, 0) + 1 as int), {chunk + 2 * longest}))")).alias("k", "text"))
-    a = F.when(F.col("k") == 0, 0).otherwise(longest)
-    chunks = parts.select("id", "row", "k", a.alias("a"), (a + F.least(F.lit(chunk), F.col("n") - F.col("k") * chunk)).cast("int").alias("b"), "text")
-    chunks = written(chunks)
+    large = rows.where(giant).select("id", F.monotonically_increasing_id().alias("row"), whole.alias("text"))
+    chunks = written(large.mapInArrow(_cut(chunk, longest), "id long, row long, k int, a int, b int, text string"))
     # Matrices are small but take time, so they are dealt by number: by their bytes alone they would meet in one task.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     matrices = written(chunks.select("row", "k", "a", "b", "text").mapInArrow(_transfers(path), "row long, k int, wide int, matrix binary").withColumn("segment", F.expr(f"cast(k div {segment} as int)")))
@@ -340,10 +357,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     around = combined.repartition(tasks, "row").groupBy("row").applyInPandas(_segments, "row long, segment int, before binary, after binary")
     borders = dealt.join(around, ["row", "segment"]).groupBy("row", "segment").applyInPandas(_borders, "row long, k int, i int, j int")
     traced = chunks.join(borders, ["row", "k"]).select("row", "k", "a", "b", "text", "i", "j").mapInArrow(_traced(path), "row long, k int, ids binary")
-    ids = traced.groupBy("row").agg(F.count("*").alias("chunks"), F.expr("array_sort(collect_list(struct(k, ids)))").alias("parts"))
-    joined = ids.select("row", "chunks", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
-    named = joined.join(chunks.where("k = 0").select("row", "id"), "row")
-    return short.unionByName(named.select("id", "chunks", "ids").mapInArrow(_widened(path), OUT))
+    ids = traced.groupBy("row").agg(F.count("*").alias("chunks"), F.expr("transform(array_sort(collect_list(struct(k, ids))), x -> x.ids)").alias("parts"))
+    named = ids.join(chunks.where("k = 0").select("row", "id"), "row")
+    return short.unionByName(named.select("id", "chunks", "parts").mapInArrow(_widened(path), OUT))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
