@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliary.sources.versioned import scratch
+
 # The states that may follow each state.
 TRANSITIONS = {
     "INIT": ("UPLOADED",),
@@ -109,11 +115,20 @@ def affected(change: F.Column, scalars: list[str]) -> F.Column:
 
 
 def below(spark: SparkSession, edges: dict[str, tuple[str, ...]] = STAGES) -> DataFrame:
-    """(stage, below): every stage and all that its reset takes with it, itself included. The graph is a small constant."""
-    found = {x: {x} for a, to in edges.items() for x in (a, *to)}
-    for _ in found:
-        found = {a: got | {c for b in got for c in edges.get(b, ())} for a, got in found.items()}
-    return spark.createDataFrame([(a, b) for a, got in found.items() for b in sorted(got)], "stage string, below string")
+    """(stage, below): every stage and all that its reset takes with it, itself included, as a recursive query over the edges."""
+    rows = [(a, b) for a, to in edges.items() for b in to]
+    spark.createDataFrame(rows, "a string, b string").createOrReplaceTempView("stage_edges")
+    return spark.sql(
+        "WITH RECURSIVE w(stage, below, depth) AS (SELECT stage, stage, 0 FROM (SELECT a AS stage FROM stage_edges UNION SELECT b FROM stage_edges) "
+        f"UNION ALL SELECT w.stage, e.b, depth + 1 FROM w JOIN stage_edges e ON e.a = w.below WHERE depth < {len(edges) + 1}) SELECT DISTINCT stage, below FROM w"
+    )
+
+
+def invalidated(resets: DataFrame, closure: DataFrame, stage: str, key: str = "job") -> DataFrame:
+    """(job, upstream, resets): the jobs in which a reset (job, stage) takes ``stage`` with it, whether one before it did,
+    and how many stages were reset that do."""
+    above = closure.where(F.col("below") == stage).select("stage")
+    return resets.distinct().join(F.broadcast(above), "stage").groupBy(key).agg(F.bool_or(F.col("stage") != stage).alias("upstream"), F.count("*").alias("resets"))
 
 
 def reset(items: DataFrame, resets: DataFrame, closure: DataFrame, key: str = "job") -> DataFrame:
@@ -132,27 +147,72 @@ def attempts(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return log.groupBy(*key).agg(F.count_if(F.col("state") == "running").alias("attempts"), F.max_by("state", F.struct(*order)).alias("state"))
 
 
-def audited(requests: DataFrame, allowed: DataFrame, key: str, order: list[str], start: str = "INIT") -> DataFrame:
+def _after(state: str, wanted, edges: dict[str, frozenset[str]]) -> str:
+    for to in wanted:
+        if to in edges.get(state, ()):
+            state = to
+    return state
+
+
+def audited(requests: DataFrame, transitions: dict[str, tuple[str, ...]], key: str, order: list[str], start: str = "INIT") -> DataFrame:
     """requests (key, order.., to_state) replayed: each with the state it met (from_state) and whether it was legal.
 
-    An illegal request changes nothing, so what a request meets depends on all before it: a fold over each key's
-    requests in order, with the edges as a constant map.
+    An illegal request changes nothing, so what a request meets depends on all before it. Requests are sorted into ranges
+    of (key, order), so a key of any size is spread over tasks and read in batches; one pass tells for each range and
+    key which state every entry state leads to, a few rows a key put these together, and a second pass replays.
     """
-    edges = {r["from_state"]: [] for r in allowed.select("from_state").distinct().collect()}
-    for r in allowed.collect():
-        edges[r["from_state"]].append(r["to_state"])
-    table = F.create_map(*[x for k, v in edges.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))])
-    wanted = F.array_sort(F.collect_list(F.struct(*order, "to_state")))
+    edges = {k: frozenset(v) for k, v in transitions.items()}
+    states = sorted({start, *edges, *(x for v in edges.values() for x in v)})
+    spark = requests.sparkSession
+    columns = [key, *order, "to_state"]
+    path = scratch(spark, "requests")
+    # Written, so that both passes see the same ranges.
+    ranged = requests.select(*columns).repartitionByRange(key, *order).withColumn("part", F.spark_partition_id())
+    ranged.sortWithinPartitions(key, *order).write.partitionBy("part").parquet(path)
+    rows = spark.read.schema(ranged.schema).parquet(path)
     kind = dict(requests.dtypes)
-    entry = f"array<struct<{', '.join(f'{c}: {kind[c]}' for c in order)}, from_state: string, to_state: string, legal: boolean>>"
-    zero = F.struct(F.lit(start).alias("state"), F.array().cast(entry).alias("log"))
-
-    def step(acc: F.Column, x: F.Column) -> F.Column:
-        legal = F.array_contains(F.coalesce(F.try_element_at(table, acc["state"]), F.array().cast("array<string>")), x["to_state"])
-        row = F.struct(*[x[c].alias(c) for c in order], acc["state"].alias("from_state"), x["to_state"].alias("to_state"), legal.alias("legal"))
-        return F.struct(F.when(legal, x["to_state"]).otherwise(acc["state"]).alias("state"), F.concat(acc["log"], F.array(row)).alias("log"))
 
-    return requests.groupBy(key).agg(F.aggregate(wanted, zero, step)["log"].alias("log")).select(key, F.inline("log"))
+    def led(part: pd.DataFrame) -> pd.DataFrame:
+        wanted = part.sort_values(order, kind="stable")["to_state"].tolist()
+        return pd.DataFrame({"own": part[key].iloc[0], "at": part["part"].iloc[0], "enter": states, "leave": [_after(s, wanted, edges) for s in states]})
+
+    # Only a key that lies in several ranges is entered in a state that another range leads to.
+    several = rows.groupBy(F.col(key).alias("own")).agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("own")
+    steps = rows.join(several, F.col(key).eqNullSafe(F.col("own")), "left_semi").groupBy(key, "part").applyInPandas(led, f"own {kind[key]}, at int, enter string, leave string")
+
+    def entered(leads: pd.DataFrame) -> pd.DataFrame:
+        state, out = start, []
+        for at, step in leads.groupby("at", sort=True):
+            out.append((leads["own"].iloc[0], at, state))
+            state = step.set_index("enter")["leave"][state]
+        return pd.DataFrame(out, columns=["own", "at", "met"])
+
+    entries = steps.groupBy("own").applyInPandas(entered, f"own {kind[key]}, at int, met string")
+    named = rows.join(entries, F.col(key).eqNullSafe(F.col("own")) & (F.col("part") == F.col("at")), "left").select("part", F.coalesce("met", F.lit(start)).alias("met"), *columns)
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, start
+        for batch in batches:
+            met, legal = [], []
+            for at, enter, own, to in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, batch.num_columns - 1)), strict=True):
+                if (at, own) != last:
+                    last, state = (at, own), enter
+                met.append(state)
+                legal.append(to in edges.get(state, ()))
+                state = to if legal[-1] else state
+            yield pa.record_batch([*batch.columns[2:-1], pa.array(met, pa.string()), batch.columns[-1], pa.array(legal, pa.bool_())], names=[key, *order, "from_state", "to_state", "legal"])
+
+    schema = ", ".join(f"{c} {kind[c]}" for c in [key, *order]) + ", from_state string, to_state string, legal boolean"
+    return named.repartition("part").sortWithinPartitions("part", key, *order).mapInArrow(replay, schema)
+
+
+def until_terminal(events: DataFrame, key: str, order: list[str], stage: str, terminal: list[str]) -> DataFrame:
+    """events with seq, their place from 0 within their key, up to the first one of a terminal stage: what a job reports
+    after it has completed, failed or been cancelled belongs to nobody."""
+    w = Window.partitionBy(key).orderBy(*order)
+    ended = F.max(F.col(stage).isin(terminal).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = events.withColumns({"seq": F.row_number().over(w) - 1, "ended": F.coalesce(ended, F.lit(0))})
+    return numbered.where("ended = 0").drop("ended")
 
 
 def gate(state: F.Column, target: F.Column, order: list[str]) -> F.Column:
@@ -161,15 +221,6 @@ def gate(state: F.Column, target: F.Column, order: list[str]) -> F.Column:
     return F.when((place(state) == 0) | (place(target) == 0), "unknown").when(place(state) >= place(target), "already").when(place(state) + 1 == place(target), "enter").otherwise("not reached")
 
 
-def event_sequence(jobs: DataFrame, steps: int, key: str = "job", cancelled: str = "cancel_after") -> DataFrame:
-    """The progress events of each job in order: started, ``steps`` times running, completed; after ``cancel_after`` running
-    events (null: never) the next is cancelled and ends the job."""
-    last = F.when(F.col(cancelled) < steps, F.col(cancelled) + 1).otherwise(steps + 1)
-    rows = jobs.withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(last, F.lit(steps + 1)).cast("long"))))
-    stage = F.when(F.col("seq") == 0, "started").when((F.col("seq") == steps + 1), "completed").when(F.col("seq") > F.col(cancelled), "cancelled").otherwise("running")
-    return rows.select(key, "seq", stage.alias("stage"), F.floor(100 * F.least(F.col("seq"), F.lit(steps)) / steps).cast("int").alias("percent"))
-
-
 def access(level: F.Column, state: dict[str, F.Column]) -> F.Column:
     """Whether a route of a level is open: each level needs all flags up to its own."""
     needs = {"public": [], "enterprise": ["enterprise"], "project": ["enterprise", "project"]}

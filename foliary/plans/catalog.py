@@ -71,10 +71,10 @@ def b2_visibility(spark, d):
     return relational.visible(rows, "project", "BUILDING").select("c_custkey", "c_name")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%AR%' AND p_size = 10")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%AR%' AND p_type = 'ECONOMY'")
 def b4_optional_filters(spark, d):
     rows = t(spark, d, "part").withColumn("size_name", F.col("p_size").cast("string"))
-    return relational.matching(rows, {"p_name": "AR", "p_brand": None}, {"size_name": ("10", {"10"}), "p_type": ("unknown", set())}).select("p_partkey", "p_name")
+    return relational.matching(rows, {"p_name": "AR", "p_brand": None}, {"p_type": ("ECONOMY", {"ECONOMY", "PROMO"}), "size_name": ("unknown", set())}).select("p_partkey", "p_name")
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderdate + INTERVAL 30 DAY <= TIMESTAMP '1996-01-01' AND o_orderstatus NOT IN ('restoring', 'conflict')")

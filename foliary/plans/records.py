@@ -180,9 +180,9 @@ EDGES = ", ".join(f"('{a}', '{b}')" for a, to in workflow.TRANSITIONS.items() fo
 MOVES = f"e(a, b) AS (VALUES {EDGES}), s AS (SELECT event_id, user_id, ts, [{', '.join(repr(x) for x in STATES)}][event_id % 6 + 1] AS from_state, [{', '.join(repr(x) for x in STATES)}][CAST(user_id + event_id AS BIGINT) % 6 + 1] AS to_state FROM events)"
 
 
-def moves(spark, d):
+def moves(spark, d, events=None):
     at = lambda c: F.element_at(F.array(*[F.lit(x) for x in STATES]), (c % 6 + 1).cast("int"))
-    return t(spark, d, "events").select("event_id", "user_id", "ts", at(F.col("event_id")).alias("from_state"), at(F.col("user_id") + F.col("event_id")).alias("to_state"))
+    return (t(spark, d, "events") if events is None else events).select("event_id", "user_id", "ts", at(F.col("event_id")).alias("from_state"), at(F.col("user_id") + F.col("event_id")).alias("to_state"))
 
 
 @query(f"WITH {MOVES} SELECT event_id, EXISTS (SELECT 1 FROM e WHERE e.a = from_state AND e.b = to_state) AS legal FROM s")
@@ -192,7 +192,7 @@ def b18_legal_moves(spark, d):
 
 @query(f"WITH RECURSIVE {MOVES}, q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM s), w AS (SELECT user_id, i, event_id, 'INIT' AS from_state, to_state, EXISTS (SELECT 1 FROM e WHERE e.a = 'INIT' AND e.b = to_state) AS legal FROM q WHERE i = 1 UNION ALL SELECT q.user_id, q.i, q.event_id, CASE WHEN w.legal THEN w.to_state ELSE w.from_state END, q.to_state, EXISTS (SELECT 1 FROM e WHERE e.a = CASE WHEN w.legal THEN w.to_state ELSE w.from_state END AND e.b = q.to_state) FROM w JOIN q ON q.user_id = w.user_id AND q.i = w.i + 1) SELECT event_id, user_id, from_state, to_state, legal FROM w")
 def k1_audited_moves(spark, d):
-    return workflow.audited(moves(spark, d).select("user_id", "ts", "event_id", "to_state"), workflow.edges(spark), "user_id", ["ts", "event_id"]).select("event_id", "user_id", "from_state", "to_state", "legal")
+    return workflow.audited(moves(spark, d).select("user_id", "ts", "event_id", "to_state"), workflow.TRANSITIONS, "user_id", ["ts", "event_id"]).select("event_id", "user_id", "from_state", "to_state", "legal")
 
 
 @query(f"WITH {LINES} SELECT doc_id, count(*) AS n FROM blocks WHERE page_idx < 3 GROUP BY doc_id")

@@ -406,15 +406,19 @@ def k4_cascades(spark, d):
     return workflow.reset(items, jobs, workflow.below(spark))
 
 
-@query(f"WITH RECURSIVE {CASCADE} SELECT stage FROM w WHERE below = 'confirmed' AND stage <> 'confirmed'")
+@query(f"WITH RECURSIVE {CASCADE}, r AS (SELECT DISTINCT o_custkey AS job, {NAMES}[o_orderkey % {len(NAMES)} + 1] AS stage FROM orders WHERE o_orderstatus = 'F') SELECT job, bool_or(r.stage <> 'confirmed') AS upstream, count(*) AS resets FROM r JOIN w ON w.stage = r.stage AND w.below = 'confirmed' GROUP BY job")
 def k5_confirmation_resets(spark, d):
-    return workflow.below(spark).where("below = 'confirmed' and stage <> 'confirmed'").select("stage")
+    """Jobs whose confirmation a reset takes away: of it or of any stage before it, by the edges' closure."""
+    names = F.array(*[F.lit(x) for x in NAMES])
+    resets = t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("job"), F.element_at(names, (F.col("o_orderkey") % len(NAMES) + 1).cast("int")).alias("stage"))
+    found = workflow.invalidated(resets, workflow.below(spark), "confirmed")
+    return found.select("job", "upstream", "resets")
 
 
-@query("SELECT c_custkey AS job, q AS seq, CASE WHEN q = 0 THEN 'started' WHEN q = 6 THEN 'completed' WHEN c_nationkey % 3 = 0 AND q > c_nationkey % 5 THEN 'cancelled' ELSE 'running' END AS stage, CAST(floor(100 * least(q, 5) / 5) AS INTEGER) AS percent FROM customer, range(7) r(q) WHERE c_nationkey % 3 > 0 OR q <= c_nationkey % 5 + 1")
+@query("WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events), f AS (SELECT user_id, min(seq) AS last FROM e WHERE event_type IN ('purchase', 'refund') GROUP BY user_id) SELECT e.user_id AS job, e.event_id, CAST(seq AS INTEGER) AS seq, event_type AS stage FROM e LEFT JOIN f USING (user_id) WHERE last IS NULL OR seq <= last")
 def k9_event_sequence(spark, d):
-    jobs = t(spark, d, "customer").select(F.col("c_custkey").alias("job"), F.when(F.col("c_nationkey") % 3 == 0, F.col("c_nationkey") % 5).alias("cancel_after"))
-    return workflow.event_sequence(jobs, 5)
+    found = workflow.until_terminal(t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", ["purchase", "refund"])
+    return found.select(F.col("user_id").alias("job"), "event_id", "seq", F.col("event_type").alias("stage"))
 
 
 ORDER = ["PARSE_CONFIRMED", "FORMAT_REVIEW", "FORMAT_CONFIRMED", "MATERIAL_LOOP"]

@@ -87,12 +87,12 @@ class VersionedTable:
         return [int(n.rpartition("/")[2]) for n in self.files.names(f"{self.path}/log/[0-9]*") if not n.endswith(".tmp")]
 
     def manifest(self, version: int | None = None) -> dict:
-        """{"parts": [[folder of the key value, write], ..] in the order they were written, "tags": names of writes}."""
+        """{"parts": [[folder of the key value, write], ..] in the order they were written, "tags": {writer: its last number}}."""
         known = self.versions()
         if version is None and known:
             version = known[-1]
         if version is None:
-            return {"parts": [], "tags": [], "version": 0}
+            return {"parts": [], "tags": {}, "version": 0}
         if version not in known:
             raise ValueError(f"no version {version} of {self.path}")
         return {**json.loads(self.files.read(f"{self.path}/log/{version:08d}")), "version": version}
@@ -109,12 +109,21 @@ class VersionedTable:
 
     # ---- writes
 
-    def replace(self, df: DataFrame, tag: str | None = None) -> int:
-        """Every key value that df has gets df's rows instead of its own. Returns the version."""
-        return self._commit(self._write(df), self.manifest()["version"], drop=True, tag=tag)
+    def replace(self, df: DataFrame, tag: tuple[str, int] | None = None) -> int:
+        """Every key value that df has gets df's rows instead of its own. Returns the version.
 
-    def append(self, df: DataFrame, tag: str | None = None) -> int:
-        return self._commit(self._write(df), self.manifest()["version"], drop=False, tag=tag)
+        tag: a writer and the number of this write of its. One that isn't above the writer's last changes nothing, so a
+        write may be tried again without harm."""
+        return self._tagged(df, True, tag)
+
+    def append(self, df: DataFrame, tag: tuple[str, int] | None = None) -> int:
+        return self._tagged(df, False, tag)
+
+    def _tagged(self, df: DataFrame, drop: bool, tag: tuple[str, int] | None) -> int:
+        now = self.manifest()
+        if tag is not None and tag[1] <= now["tags"].get(tag[0], -1):
+            return now["version"]
+        return self._commit(self._write(df), now["version"], drop=drop, tag=tag)
 
     def merge(self, df: DataFrame, on: list[str], gone: str | None = None) -> int:
         """df's rows win over those with equal ``on`` columns (the key is one of them); rows where ``gone`` is true are
@@ -152,20 +161,20 @@ class VersionedTable:
         df.withColumn("v", F.lit(write)).write.partitionBy(self.key, "v", *self.inner).mode("append").parquet(f"{self.path}/data")
         return write, [n.split("/data/")[-1].split("/v=")[0] for n in self.files.names(f"{self.path}/data/*/v={write}")]
 
-    def _commit(self, written: tuple[str, list[str]], base: int, drop: bool, also: set[str] = frozenset(), strict: bool = False, tag: str | None = None) -> int:
+    def _commit(self, written: tuple[str, list[str]], base: int, drop: bool, also: set[str] = frozenset(), strict: bool = False, tag: tuple[str, int] | None = None) -> int:
         """Puts the parts of a write on the newest manifest. strict: fails if a touched key value has changed since base."""
         write, folders = written
         touched = {*folders, *also}
         began = {tuple(p) for p in self.manifest(base)["parts"]} if base else set()
         while True:
             now = self.manifest()
-            if tag is not None and tag in now["tags"]:
-                return now["version"]  # this write has been committed by an earlier attempt
+            if tag is not None and tag[1] <= now["tags"].get(tag[0], -1):
+                return now["version"]  # another attempt at this write has been committed meanwhile
             since = {k for k, v in {tuple(p) for p in now["parts"]} ^ began if k in touched}
             if since and (strict or drop):
                 raise ConflictError(f"changed by another writer since version {base}: {sorted(since)[:5]}")
             parts = [p for p in now["parts"] if not (drop and p[0] in touched)] + [[k, write] for k in folders]
-            tags = [*now["tags"], *([tag] if tag is not None else [])]
+            tags = now["tags"] | (dict([tag]) if tag is not None else {})
             version = now["version"] + 1
             if self.files.put_new(f"{self.path}/log/{version:08d}", json.dumps({"parts": parts, "tags": tags})):
                 return version

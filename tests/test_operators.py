@@ -187,7 +187,7 @@ def test_progress_as_a_stream(spark, tmp_path):
 def test_walks(spark):
     """What was found before decides: headings never go back, requests that are illegal change nothing."""
     moves = spark.createDataFrame([("p", 1, "UPLOADED"), ("p", 2, "PARSED"), ("p", 3, "PARSING"), ("p", 4, "INIT")], "k string, at int, to_state string")
-    log = workflow.audited(moves, workflow.edges(spark), "k", ["at"]).orderBy("at").collect()
+    log = workflow.audited(moves, workflow.TRANSITIONS, "k", ["at"]).orderBy("at").collect()
     assert [(r["from_state"], r["legal"]) for r in log] == [("INIT", True), ("UPLOADED", False), ("UPLOADED", True), ("PARSING", False)]
     closure = {(r["stage"], r["below"]) for r in workflow.below(spark).collect()}
     assert ("mineru", "score:llm") in closure and ("score:llm", "mineru") not in closure and ("dedupe", "dedupe") in closure

@@ -72,10 +72,10 @@ def test_a_failed_job_leaves_the_old_version(spark, held):
 
 
 def test_a_tag_commits_once(spark, held):
-    for _ in range(2):
-        held.append(frame(spark, ("a", 1, "x")), tag="batch-0")
-    held.append(frame(spark, ("a", 1, "x")), tag="batch-1")
-    assert rows(held) == [("a", 1, "x")] * 2
+    for number in (0, 0, 1, 0, 1):
+        held.append(frame(spark, ("a", number, "x")), tag=("stream", number))
+    held.append(frame(spark, ("a", 0, "y")), tag=("other", 0))
+    assert rows(held) == [("a", 0, "x"), ("a", 0, "y"), ("a", 1, "x")]
 
 
 def test_vacuum_keeps_what_the_last_versions_name(spark, held):
