@@ -47,18 +47,25 @@ def without_running_headers(found: DataFrame, back: int = 8, pages: int = 3) ->
     return keyed.groupBy("doc_id").applyInPandas(run, keyed.schema).drop("key")
 
 
+def _frames(id_col: str, order: str):
+    """The rows before and after each of a document. The later ones are read backwards, so both frames only ever grow and
+    a row costs the same in a document of any length."""
+    before = Window.partitionBy(id_col).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(id_col).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    return before, after
+
+
 def tree(found: DataFrame, id_col: str = "doc_id", order: str = "block_idx", deepest: int = 8) -> DataFrame:
     """Parent (nearest earlier heading of a smaller level), sibling number and end page of each heading.
 
-    One window pass: for every level the last heading of it so far, so no heading meets another in a join.
+    Two window passes: for every level the last heading of it so far, and the next one to come, so no heading meets
+    another in a join.
     """
-    before = Window.partitionBy(id_col).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(id_col).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    before, after = _frames(id_col, order)
     at = lambda k: F.when(F.col("level") == k, F.col(order))
     ups = [F.when(F.col("level") > k, F.last(at(k), True).over(before)) for k in range(1, deepest)]
-    nexts = [F.when(F.col("level") >= k, F.first(F.when(F.col("level") == k, F.col("page_idx")), True).over(after)) for k in range(1, deepest)]
-    spots = [F.when(F.col("level") >= k, F.first(at(k), True).over(after)) for k in range(1, deepest)]
-    soonest = F.array_min(F.filter(F.array(*[F.struct(s.alias("at"), p.alias("page")) for s, p in zip(spots, nexts, strict=True)]), lambda x: x["at"].isNotNull()))
+    nexts = [F.when(F.col("level") >= k, F.last(F.when(F.col("level") == k, F.struct(F.col(order).alias("at"), F.col("page_idx").alias("page"))), True).over(after)) for k in range(1, deepest)]
+    soonest = F.array_min(F.filter(F.array(*nexts), lambda x: x.isNotNull()))
     last = F.max("page_idx").over(Window.partitionBy(id_col))
     rows = found.select("*", F.greatest(*ups).alias("parent"), soonest.alias("next"), last.alias("last_page"))
     rows = rows.withColumn("end_page", F.when(F.col("next").isNull(), F.col("last_page")).otherwise(F.greatest("page_idx", F.col("next.page") - 1)))
@@ -66,6 +73,26 @@ def tree(found: DataFrame, id_col: str = "doc_id", order: str = "block_idx", dee
     return rows.withColumn("seq", sibling).drop("next", "last_page")
 
 
+def _open_above(found: DataFrame, id_col: str, order: str, carried: list[str], deepest: int) -> F.Column:
+    """What is open above each row, outermost first: of each smaller level the last heading so far, as a struct of its
+    order and the carried columns, unless a smaller level came after it and closed it."""
+    before, _ = _frames(id_col, order)
+    entry = F.struct(F.col(order).alias("at"), *carried)
+    seen = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, entry), True).over(before)) for k in range(1, deepest)]
+    nearest = [F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(x["at"], F.lit(-1)) for x in seen[:k]]) for k in range(len(seen))]
+    return F.filter(F.array(*[F.when(s["at"] > n, s) for s, n in zip(seen, nearest, strict=True)]), lambda x: x.isNotNull())
+
+
+def numbered(found: DataFrame, id_col: str = "doc_id", order: str = "block_idx", title: str = "title", deepest: int = 8) -> DataFrame:
+    """Headings with their place among siblings (seq), hierarchical number (``ch2.1.3``), path of titles from the top and
+    depth. A level that is skipped has no number of its own: a heading counts under its nearest one of a smaller level."""
+    rows = tree(found, id_col, order, deepest)
+    rows = rows.withColumn("above", _open_above(rows, id_col, order, ["seq", title], deepest))
+    number = F.concat(F.lit("ch"), F.array_join(F.transform(F.concat(F.col("above.seq"), F.array("seq")), lambda x: x.cast("string")), "."))
+    path = F.array_join(F.concat(F.col(f"above.{title}"), F.array(F.col(title))), "/")
+    return rows.withColumns({"chapter_id": number, "path": path, "depth": F.size("above")}).drop("above")
+
+
 def repeated_short_lines(rows: DataFrame, most: int = 20) -> DataFrame:
     """Short lines on two pages or more: headers, footers and watermarks."""
     lines = rows.where((F.length("text") > 0) & (F.length("text") <= most))
@@ -81,10 +108,5 @@ def section_text(rows: DataFrame, sections: DataFrame, most: int = 20_000) -> Da
 
 
 def with_ancestors(found: DataFrame, id_col: str = "doc_id", order: str = "block_idx", deepest: int = 8) -> DataFrame:
-    """Headings with the orders of all headings above them, nearest first: of each smaller level the last one so far, as
-    long as no smaller level came after it."""
-    before = Window.partitionBy(id_col).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col(order)), True).over(before)) for k in range(1, deepest)]
-    # One counts only if it stands after the last heading of every smaller level, else that one has closed it.
-    kept = [F.when(s.isNotNull() & (s > F.coalesce(F.greatest(*seen[:k]) if k > 1 else seen[0] if k else F.lit(-1), F.lit(-1))), s) for k, s in enumerate(seen)]
-    return found.withColumn("ancestors", F.filter(F.array(*reversed(kept)), lambda x: x.isNotNull()))
+    """Headings with the orders of all headings above them, nearest first."""
+    return found.withColumn("ancestors", F.reverse(F.transform(_open_above(found, id_col, order, [], deepest), lambda x: x["at"])))

@@ -117,8 +117,9 @@ def crosschecked(toc: DataFrame, body: DataFrame, key: str = "source") -> DataFr
 
 def subtree_spans(headings: DataFrame, key: str = "source", deepest: int = 8) -> DataFrame:
     """headings (source, block_idx, level, last_idx) with first and stop: the blocks after each until the next of its level or above."""
-    after = Window.partitionBy(key).orderBy("block_idx").rowsBetween(1, Window.unboundedFollowing)
-    nexts = [F.when(F.col("level") >= k, F.min(F.when(F.col("level") == k, F.col("block_idx"))).over(after)) for k in range(1, deepest)]
+    # Read backwards: the frame then only grows, so a row costs the same in a source of any length.
+    after = Window.partitionBy(key).orderBy(F.desc("block_idx")).rowsBetween(Window.unboundedPreceding, -1)
+    nexts = [F.when(F.col("level") >= k, F.last(F.when(F.col("level") == k, F.col("block_idx")), True).over(after)) for k in range(1, deepest)]
     return headings.withColumn("first", F.col("block_idx") + 1).withColumn("stop", F.coalesce(F.least(*nexts), F.col("last_idx") + 1))
 
 

@@ -289,6 +289,15 @@ def h33_ancestors(spark, d):
     return chapters.with_ancestors(x).select("doc_id", "block_idx", F.size("ancestors").alias("ancestors"))
 
 
+HEADED = "h AS (SELECT doc_id, block_idx, text, CAST(1 + length(text) % 4 AS INTEGER) AS level FROM blocks WHERE length(text) BETWEEN 1 AND 60), p AS (SELECT a.*, (SELECT max(b.block_idx) FROM h b WHERE b.doc_id = a.doc_id AND b.block_idx < a.block_idx AND b.level < a.level) AS parent FROM h a), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, parent ORDER BY block_idx) AS seq FROM p)"
+
+
+@query(f"WITH RECURSIVE {LINES}, {HEADED}, w AS (SELECT doc_id, block_idx, 'ch' || seq AS chapter_id, text AS path, 0 AS depth FROM s WHERE parent IS NULL UNION ALL SELECT s.doc_id, s.block_idx, w.chapter_id || '.' || s.seq, w.path || '/' || s.text, w.depth + 1 FROM s JOIN w ON w.doc_id = s.doc_id AND w.block_idx = s.parent) SELECT doc_id, block_idx, chapter_id, path, CAST(depth AS INTEGER) AS depth FROM w")
+def e4_chapter_numbers(spark, d):
+    x = chapters.blocks(t(spark, d, "documents")).where(F.length("text").between(1, 60)).withColumn("level", (1 + F.length("text") % 4).cast("int"))
+    return chapters.numbered(x, title="text").select("doc_id", "block_idx", "chapter_id", "path", "depth")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE lower(substr(text, 1, 3)) END AS gram FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 3 <> 0 AND length(text) >= 3")
 def i1_index_upserts(spark, d):
     """Every seventh document is removed and every third one changed to a text without trigrams; the first gram of the others stays."""
