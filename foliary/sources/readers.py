@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.functions import text as T
+from foliary.sources.versioned import Files, VersionedTable
 
 BLOCK = "type string, text string, page_idx int, text_level int, bbox array<double>, table_body string, img_caption string"
 BLOCKS = f"array<struct<{', '.join(x.replace(' ', ': ', 1) for x in BLOCK.split(', '))}>>"
@@ -52,8 +55,25 @@ def requirements(rows: DataFrame, key: str, json: str) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Replaces a folder of JSON lines; the output committer makes new files appear only when all are written."""
-    df.write.mode("overwrite").json(path)
+    """Replaces a folder of JSON lines by a finished one: a job that fails leaves the old files. ``put_json`` has no moment
+    between the two, and keeps versions."""
+    files = Files(df.sparkSession, path)
+    draft, old = (f"{path.rstrip('/')}.{uuid.uuid4().hex}.{k}" for k in ("new", "old"))
+    df.write.json(draft)
+    files.move(path, old)
+    files.move(draft, path)
+    files.delete(old)
+
+
+def put_json(df: DataFrame, path: str, key: str) -> int:
+    """Replaces the rows of df's values of ``key`` in a table of JSON lines; readers see the new files all at once, and the
+    old ones if the job fails. Returns the version."""
+    return VersionedTable(df.sparkSession, path, key, df.schema, form="json").replace(df)
+
+
+def read_json(spark: SparkSession, path: str, key: str, schema: str, version: int | None = None) -> DataFrame:
+    """What ``put_json`` has written, by now or as of a version."""
+    return VersionedTable(spark, path, key, schema, form="json").read(version).drop("v")
 
 
 def parse_events(lines: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:

@@ -69,15 +69,20 @@ class Files:
             raise
         return True
 
+    def move(self, path: str, to: str) -> None:
+        if self.fs.exists(self.path(path)):
+            self.fs.rename(self.path(path), self.path(to))
+
     def delete(self, path: str) -> None:
         self.fs.delete(self.path(path), True)
 
 
 class VersionedTable:
-    """key: the column by which rows are replaced. inner: further columns that parts are divided by."""
+    """key: the column by which rows are replaced. inner: further columns that parts are divided by. form: parquet, or
+    json for files that others read."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str, schema: str | StructType, inner: tuple[str, ...] = ()):
-        self.spark, self.path, self.key, self.inner = spark, path.rstrip("/"), key, inner
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: str | StructType, inner: tuple[str, ...] = (), form: str = "parquet"):
+        self.spark, self.path, self.key, self.inner, self.form = spark, path.rstrip("/"), key, inner, form
         self.schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
         self.files = Files(spark, path)
 
@@ -105,7 +110,7 @@ class VersionedTable:
         full = StructType([*self.schema.fields, *StructType.fromDDL("v string").fields])
         if not paths:
             return self.spark.createDataFrame([], full)
-        return self.spark.read.schema(full).option("basePath", f"{self.path}/data").parquet(*paths)
+        return self.spark.read.schema(full).option("basePath", f"{self.path}/data").format(self.form).load(paths)
 
     # ---- writes
 
@@ -158,7 +163,7 @@ class VersionedTable:
 
     def _write(self, df: DataFrame) -> tuple[str, list[str]]:
         write = uuid.uuid4().hex
-        df.withColumn("v", F.lit(write)).write.partitionBy(self.key, "v", *self.inner).mode("append").parquet(f"{self.path}/data")
+        df.withColumn("v", F.lit(write)).write.partitionBy(self.key, "v", *self.inner).mode("append").format(self.form).save(f"{self.path}/data")
         return write, [n.split("/data/")[-1].split("/v=")[0] for n in self.files.names(f"{self.path}/data/*/v={write}")]
 
     def _commit(self, written: tuple[str, list[str]], base: int, drop: bool, also: set[str] = frozenset(), strict: bool = False, tag: tuple[str, int] | None = None) -> int:

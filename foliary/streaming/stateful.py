@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +14,9 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def with_rocksdb(spark: SparkSession) -> None:
-    """Keyed state of the operators here lies in RocksDB: on disk, and in the checkpoint after each batch."""
+    """Keyed state of the operators here lies in RocksDB: on disk, and in the checkpoint after each batch. Asking for the
+    streams starts what keeps track of state, which a batch query over these operators needs as well."""
+    spark.streams.active  # noqa: B018
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
@@ -137,3 +140,55 @@ def followed(first: DataFrame, second: DataFrame, key: str, within: str = "1 hou
     b = b.select(key, F.col("id").alias("second_id"), F.col("ts").alias("second_ts"))
     near = (F.col("second_ts") > F.col("first_ts")) & (F.col("second_ts") <= F.col("first_ts") + F.expr(f"interval {within}"))
     return a.join(b, (F.col("k") == F.col(key)) & near).select(key, "first_id", "first_ts", "second_id", "second_ts")
+
+
+class Frames(StatefulProcessor):
+    """What is left of a job's last chunk, and whether the job has ended; whole frames become events."""
+
+    def __init__(self, key: str, kind: str, terminal: tuple[str, ...]):
+        self.key, self.kind, self.terminal = key, kind, terminal
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "rest binary, n long, ended boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rest, n, ended = self.held.get() if self.held.exists() else (b"", 0, False)
+        out = []
+        for chunk in pd.concat(list(rows)).sort_values("seq", kind="stable")["chunk"]:
+            if ended:
+                break
+            # Bytes, since a chunk may end within a character.
+            *frames, rest = (bytes(rest) + bytes(chunk)).replace(b"\r\n", b"\n").split(b"\n\n")
+            for frame in frames:
+                body = "\n".join(x[5:].removeprefix(" ") for x in frame.decode("utf-8", "replace").split("\n") if x.startswith("data:"))
+                try:
+                    event = json.loads(body)
+                except ValueError:
+                    continue  # a comment, or what isn't an event
+                if not isinstance(event, dict):
+                    continue
+                ended = event.get("stage") in self.terminal
+                out.append((key[0], n, event.get("stage"), event.get("percent"), event.get("message"), ended))
+                n += 1
+                if ended:
+                    rest = b""
+                    break
+        self.held.update((bytearray(rest), n, ended))
+        frame = pd.DataFrame(out, columns=[self.key, "n", "stage", "percent", "message", "terminal"])
+        yield frame.astype({"percent": "Int32"})
+
+    def close(self) -> None:
+        pass
+
+
+def joined_frames(chunks: DataFrame, key: str = "job", terminal: tuple[str, ...] = ("completed", "failed", "cancelled")) -> DataFrame:
+    """chunks (job, seq, chunk binary) of server-sent events to (job, n, stage, percent, message, terminal).
+
+    A frame ends at a blank line, wherever chunks are cut, within a character or a line end too; its ``data:`` lines are
+    one JSON object. Comments and what is no object are left out; an absent field is null. After its first terminal
+    stage a job has no more events. Chunks of a job must come in the order of their batches. State: the cut frame.
+    """
+    with_rocksdb(chunks.sparkSession)
+    kind = dict(chunks.dtypes)[key]
+    schema = f"{key} {kind}, n long, stage string, percent int, message string, terminal boolean"
+    return chunks.groupBy(key).transformWithStateInPandas(Frames(key, kind, terminal), outputStructType=schema, outputMode="append", timeMode="none")
