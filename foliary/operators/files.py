@@ -29,32 +29,39 @@ def grouped(files: DataFrame, name: str = "stored_name") -> DataFrame:
     return rows.join(best, "stem").withColumn("is_primary", F.col(name) == F.col("primary_name"))
 
 
+def compared(text: Column) -> Column:
+    """What of a text is compared: up to 20,000 characters without white space."""
+    return F.substring(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", ""), 1, FINGERPRINT_CHARS)
+
+
 def fingerprint(text: Column) -> tuple[Column, Column]:
-    """Length and SHA-256 of the text without white space, up to 20,000 characters."""
-    short = F.substring(F.regexp_replace(text, r"(?U)\s+", ""), 1, FINGERPRINT_CHARS)
+    """Length and SHA-256 of what is compared; null for a null text."""
+    short = F.when(text.isNotNull(), compared(text))
     return F.length(short), F.sha2(short, 256)
 
 
 @F.pandas_udf(DoubleType())
 def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Share of matching characters by longest common blocks."""
+    """Share of matching characters by longest common blocks, as the standard library has it by default: from 200 characters
+    on, those that make up over a hundredth of the second text start no block, so a text of few kinds of characters may be
+    unlike even a shifted copy of it."""
     for a, b in pairs:
-        yield pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+        yield pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
 def same_content(pairs: DataFrame, least: float = 0.85, pages: int = 2) -> DataFrame:
-    """pairs of (a_text, a_pages, b_text, b_pages): equal digests agree, too many pages apart, one empty or lengths that
-    can't reach the ratio differ; the costly ratio is asked only of the rows that are left, in a branch of their own."""
-    a, b = fingerprint(F.col("a_text")), fingerprint(F.col("b_text"))
-    rows = pairs.withColumns({"a_n": a[0], "b_n": b[0], "equal": a[1] == b[1]})
-    sure = F.when((F.col("a_n") == 0) & (F.col("b_n") == 0), F.col("a_pages") == F.col("b_pages")).when((F.col("a_n") == 0) | (F.col("b_n") == 0), False).when(F.abs(F.col("a_pages") - F.col("b_pages")) > pages, False).when(F.col("equal"), True)
+    """pairs of (a_text, a_pages, b_text, b_pages) with same. Without white space: equal texts agree, both empty ones where
+    their pages do; too many pages apart, one empty or lengths that can't reach the ratio differ. The costly ratio is asked
+    only of the rows that are left, in a branch of their own. A null text is an empty one."""
+    rows = pairs.withColumns({"a_short": compared(F.col("a_text")), "b_short": compared(F.col("b_text"))})
+    a, b = F.length("a_short"), F.length("b_short")
+    far = F.abs(F.col("a_pages") - F.col("b_pages")) > pages
+    sure = F.when((a == 0) & (b == 0), F.col("a_pages") == F.col("b_pages")).when((a == 0) | (b == 0), False).when(far, False).when(F.col("a_short") == F.col("b_short"), True)
     # No ratio is above what the shorter text would give if all of it matched.
-    long = [F.length(F.substring(c, 1, FINGERPRINT_CHARS)) for c in ("a_text", "b_text")]
-    short = 2 * F.least(*long) < least * (long[0] + long[1])
-    rows = rows.withColumn("same", F.coalesce(sure, F.when(short, False)))
+    rows = rows.withColumn("same", F.coalesce(sure, F.when(2 * F.least(a, b) < least * (a + b), False)))
     known = rows.where("same is not null")
-    asked = rows.where("same is null").withColumn("same", ratio(F.substring("a_text", 1, FINGERPRINT_CHARS), F.substring("b_text", 1, FINGERPRINT_CHARS)) >= least)
-    return known.unionByName(asked).drop("a_n", "b_n", "equal")
+    asked = rows.where("same is null").withColumn("same", ratio("a_short", "b_short") >= least)
+    return known.unionByName(asked).drop("a_short", "b_short")
 
 
 def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:

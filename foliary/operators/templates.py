@@ -221,3 +221,43 @@ def findings(parse: DataFrame, template: DataFrame, key: str, pairs: int = 50) -
     both = parse.where(F.col("pos") < pairs).select(key, "pos", F.col("text").alias("a")).join(template.select(key, "pos", F.col("text").alias("b")), [key, "pos"])
     rows = both.withColumn("changes", changes(F.col("a"), F.col("b"))).where("changes > 0")
     return rows.select(key, "pos", "changes", F.when(F.col("changes") < 5, "high").otherwise("low").alias("confidence"))
+
+
+# Chapters that are replaced as a whole.
+WHOLE = ("投标函", "报价函", "开标一览表", "投标报价")
+
+
+def comparison(associations: DataFrame, parsed: DataFrame, template: DataFrame, key: str, pairs: int = 50, tolerance: int = 0) -> DataFrame:
+    """All findings of parsed chapters against a template: (key, chapter, kind, place, changes, confidence, action, red_flag, disclosure).
+
+    associations (key, chapter, template, null where none), parsed and template (key, chapter, pos, text). ``unmatched``: a
+    chapter without a counterpart (manual_review), and a template chapter that none has (keep); ``mechanical``: placeholder
+    counts or table shapes differ (a red flag); ``paragraph``: texts at equal places up to ``pairs`` differ, sure below
+    five changed lines. Where a chapter is one that is replaced as a whole and its paragraphs aren't the template's, its
+    last finding says so and asks for disclosure. Chapters without paragraphs have no findings but ``unmatched``.
+    """
+    named = associations.select(key, "chapter", "template")
+    finding = lambda kind, place, changes, confidence, action, red: [F.lit(kind).alias("kind"), place.cast("int").alias("place"), changes.cast("int").alias("changes"), confidence.alias("confidence"), action.alias("action"), F.lit(red).alias("red_flag")]
+    none, sure = F.lit(None), F.lit("high")
+    lone = named.where("template is null").select(key, "chapter", *finding("unmatched", none, none, sure, F.lit("manual_review"), False))
+    used = named.where("template is not null").select(key, F.col("template").alias("chapter"))
+    extra = template.select(key, "chapter").distinct().join(used, [key, "chapter"], "left_anti").select(key, "chapter", *finding("unmatched", none, none, sure, F.lit("keep"), False))
+
+    def whole(paragraphs: DataFrame, name: str) -> DataFrame:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
+        return paragraphs.groupBy(key, F.col("chapter").alias(name)).agg(ordered.alias(f"{name}_texts"))
+
+    both = named.where("template is not null").join(whole(parsed, "chapter"), [key, "chapter"]).join(whole(template, "template"), [key, "template"])
+    both = both.withColumns({"a_text": F.array_join("chapter_texts", "\n"), "b_text": F.array_join("template_texts", "\n")})
+    checked = mechanical(both, tolerance).where("red_flag")
+    action = F.when(F.col("a_table") != F.col("b_table"), "manual_review").otherwise("update")
+    flagged = checked.select(key, "chapter", *finding("mechanical", none, none, sure, action, True))
+    placed = named.where("template is not null").join(parsed, [key, "chapter"]).where(F.col("pos") < pairs).select(key, "chapter", "template", "pos", F.col("text").alias("a"))
+    placed = placed.join(template.select(key, F.col("chapter").alias("template"), "pos", F.col("text").alias("b")), [key, "template", "pos"]).withColumn("n", changes(F.col("a"), F.col("b"))).where("n > 0")
+    differing = placed.select(key, "chapter", *finding("paragraph", F.col("pos"), F.col("n"), F.when(F.col("n") < 5, "high").otherwise("low"), F.lit("update"), False))
+    found = flagged.unionByName(differing)
+    replaced = both.where(F.col("chapter").rlike("|".join(WHOLE)) & (F.col("chapter_texts") != F.col("template_texts"))).select(key, "chapter", F.lit(True).alias("whole"))
+    last = F.row_number().over(Window.partitionBy(key, "chapter").orderBy(F.desc_nulls_last("place"))) == 1
+    found = found.join(replaced, [key, "chapter"], "left").withColumn("disclosure", F.coalesce(F.col("whole") & last, F.lit(False)))
+    found = found.withColumn("action", F.when(F.col("disclosure"), "replace").otherwise(F.col("action"))).drop("whole")
+    return found.unionByName(lone.unionByName(extra).withColumn("disclosure", F.lit(False)))
