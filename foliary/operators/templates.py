@@ -85,11 +85,16 @@ def inconsistent(values: DataFrame, field: str, chapter: str, value: str) -> Dat
     return values.groupBy(field).agg(F.count_distinct(value).alias("n_values"), F.count_distinct(chapter).alias("n_chapters")).where("n_values > 1")
 
 
+#: Kinds of first bytes of terms that are written into the plan at most.
+INLINE = 2_000
+
+
 def holding(texts: DataFrame, key: str, text: Column, terms: DataFrame, term: Column, most: int = 32) -> DataFrame:
     """(key, term, text): terms that the texts contain; ``key`` names a text.
 
-    A term's first bytes, as many as the shortest term has (``most`` at most), are joined on their hash with those
-    at every place of the texts, and what meets is checked in full. So cost follows the texts and what is found.
+    A term's first bytes, as many as the shortest term has (``most`` at most), are looked for by their hash at every
+    place of the texts, and what meets is checked in full. Up to INLINE kinds of first bytes go along with the plan, so a
+    text's other places never become rows; more are joined, a row for each distinct place.
     """
     words = terms.select(term.alias("term")).where("term <> ''").distinct()
     shortest = words.agg(F.min(F.octet_length("term"))).first()[0] or 1
@@ -100,6 +105,10 @@ def holding(texts: DataFrame, key: str, text: Column, terms: DataFrame, term: Co
     # a variable, which is bound once and not read from the row for every place.
     places = F.sequence(F.lit(1), F.octet_length("text") - size + 1)
     grams = F.flatten(F.transform(F.array(F.col("text").cast("binary")), lambda raw: F.transform(places, lambda i: F.xxhash64(F.substring(raw, i, F.lit(size))))))
+    few = keyed.select("gram").distinct().limit(INLINE + 1).collect()
+    if len(few) <= INLINE:
+        hashes = [r["gram"] for r in few]
+        grams = F.filter(grams, lambda g: g.isin(hashes))
     met = rows.where(F.octet_length("text") >= size).select(key, F.explode(F.array_distinct(grams)).alias("gram")).join(keyed, "gram").select(key, "term")
     return met.join(rows, key).where(F.contains("text", "term")).select(key, "term", "text")
 

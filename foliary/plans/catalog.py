@@ -111,8 +111,8 @@ def c14_overrides(spark, d):
 def c21_positional_zip(spark, d):
     from pyspark.sql import Window
 
-    rows = t(spark, d, "documents").withColumn("pos", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long")).where("pos <= 50")
-    return rows.join(t(spark, d, "supplier").select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("name")), "pos").select("doc_id", "name")
+    rows = t(spark, d, "documents").withColumn("pos", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("pos <= 50")  # each task hands on 50 rows a source
+    return rows.withColumn("pos", F.col("pos").cast("long")).join(t(spark, d, "supplier").select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("name")), "pos").select("doc_id", "name")
 
 
 @query("SELECT o.o_orderkey, count(*) AS n FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_shipdate BETWEEN o.o_orderdate AND o.o_orderdate + INTERVAL 30 DAY GROUP BY o.o_orderkey")

@@ -174,10 +174,10 @@ def f7_newest(spark, d):
     return relational.latest(x, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")])
 
 
-@query("SELECT source, array_to_string(list_sort(list_distinct(list('file ' || (doc_id // 3)))), '|') AS stems FROM documents GROUP BY source")
+@query("SELECT DISTINCT source, 'file ' || (doc_id // 3) AS stem FROM documents")
 def f8_distinct_stems(spark, d):
     name = F.concat(F.lit("File "), F.expr("doc_id div 3"), F.lit("-"), F.col("doc_id") % 3, F.lit(".docx"))
-    return t(spark, d, "documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set(T.file_stem(name))), "|").alias("stems"))
+    return t(spark, d, "documents").select("source", T.file_stem(name).alias("stem")).distinct().orderBy("source", "stem")
 
 
 @query("SELECT doc_id, substr(text, 1, 200) AS excerpt, list_slice(string_split(text, chr(10)), 1, 30) AS first_lines FROM documents")

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from foliary.plans import catalog, contents, domain, index, records, reports, stores, streams  # noqa: F401  the others add their queries to the catalog
+from foliary.plans import archives, catalog, contents, domain, index, records, reports, stores, streams  # noqa: F401  the others add their queries to the catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
