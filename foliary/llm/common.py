@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; a temporary one only in a local session without it."""
+    """A new path in the folder that the cluster names in spark.checkpoint.dir; in a local session without it, in the warehouse."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir names no folder that the executors share")
-        base = getattr(spark, "_foliary_folder", None)
-        if base is None:
-            base = spark._foliary_folder = "file://" + tempfile.mkdtemp(prefix="foliary-")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/foliary-{uuid.uuid4().hex}"
 
 

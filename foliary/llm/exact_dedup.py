@@ -49,7 +49,7 @@ def keyed_state(rows: DataFrame) -> DataFrame:
     """(digest, keep, group_size) from a written table with digest, id, row and locator, read as a stream.
 
     The state stays on disk in RocksDB and is committed to the shared folder, so a lost executor's part is loaded
-    again elsewhere and a later run over new files goes on from it.
+    again elsewhere. Each call begins with no state.
     """
     spark = rows.sparkSession
     folder = shared_folder(spark)
