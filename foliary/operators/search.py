@@ -19,8 +19,10 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def bm25(docs: DataFrame, id_col: str, text_col: str, phrase: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, rank) of texts that contain the phrase, without case; less is better. Under three characters all ranks are 0.
+    Hits are counted by where they start, so overlapping ones count each.
 
-    The phrase is one term: documents are filtered first and the corpus's figures are two sums, so nothing is exploded.
+    A scan of all texts, for a table without an index (phrase_index has one): documents are filtered first and the
+    corpus's figures are two sums, so nothing is exploded.
     """
     low, term = F.lower(F.coalesce(F.col(text_col), F.lit(""))), phrase.lower()
     if not term.strip():
@@ -30,7 +32,8 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, phrase: str, k1: float = 1
         return docs.where(hit).select(F.col(id_col).alias("id"), F.lit(0.0).alias("rank"))
     size = F.greatest(F.length(low) - 2, F.lit(0))
     figures = docs.agg(F.count("*").alias("n"), F.count_if(hit).alias("df"), F.avg(size).alias("mean"))
-    tf = (F.length(low) - F.length(F.replace(low, F.lit(term), F.lit("")))) / len(term)
+    quoted = "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    tf = F.regexp_count(low, F.lit(f"(?={quoted})")).cast("double")
     found = docs.where(hit).select(F.col(id_col).alias("id"), tf.alias("tf"), size.alias("size"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     rank = -idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
