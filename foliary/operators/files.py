@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+import heapq
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType
 
 from foliary.functions import text as T
 
@@ -40,28 +43,96 @@ def fingerprint(text: Column) -> tuple[Column, Column]:
     return F.length(short), F.sha2(short, 256)
 
 
-@F.pandas_udf(DoubleType())
-def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Share of matching characters by longest common blocks, as the standard library has it by default: from 200 characters
-    on, those that make up over a hundredth of the second text start no block, so a text of few kinds of characters may be
-    unlike even a shifted copy of it."""
-    for a, b in pairs:
-        yield pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-
-def same_content(pairs: DataFrame, least: float = 0.85, pages: int = 2) -> DataFrame:
+def _subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, with the bits of one whole number for the places of ``b``."""
+    places: dict[str, int] = {}
+    points = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), "<u4")
+    for c in set(a):
+        places[c] = int.from_bytes(np.packbits(points == ord(c), bitorder="little").tobytes(), "little")
+    full = (1 << len(b)) - 1
+    open_ = full
+    for c in a:
+        met = open_ & places[c]
+        open_ = ((open_ + met) | (open_ - met)) & full
+    return len(b) - open_.bit_count()
+
+
+def _starts_with_head(b: str, head: int) -> bool:
+    """Whether the library's first block is ``head``, all that two texts begin with: where the first of the longest runs of
+    characters that may start a block (of ``b``, the second text) ends in it, or ``b`` has none."""
+    points = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), "<u4")
+    _, kind, counts = np.unique(points, return_inverse=True, return_counts=True)
+    rare = (counts <= len(b) // 100 + 1)[kind] if len(b) >= 200 else np.ones(len(b), bool)
+    edges = np.flatnonzero(np.diff(rare.astype(np.int8), prepend=0, append=0))
+    return not len(edges) or bool(edges[1::2][np.argmax(edges[1::2] - edges[::2])] <= head)
+
+
+def alike(a: str, b: str, least: float) -> bool:
+    """Whether the standard library's ratio of two texts is ``least`` or more, without all of its blocks.
+
+    Its blocks make a common subsequence, so the longest one bounds them: unlike texts, whose many short blocks cost most,
+    are settled by that, and copies with another end by what both begin with. Of others its blocks are taken, the greater
+    ranges first, until they or what is left decide.
+    """
+    total = len(a) + len(b)
+    enough = lambda n: (2.0 * n / total if total else 1.0) >= least
+    head = 0
+    for step in (1 << k for k in range(min(len(a), len(b)).bit_length(), -1, -1)):
+        if a[head : head + step] == b[head : head + step] and head + step <= min(len(a), len(b)):
+            head += step
+    if enough(head) and _starts_with_head(b, head):
+        return True
+    if not enough(min(len(a), len(b))) or not enough(head + sum((Counter(a[head:]) & Counter(b[head:])).values())) or not enough(head + _subsequence(a[head:], b[head:])):
+        return False
+    matcher = difflib.SequenceMatcher(None, a, b)
+    ranges, found, left = [(-min(len(a), len(b)), 0, len(a), 0, len(b))], 0, min(len(a), len(b))
+    while ranges and not enough(found) and enough(found + left):
+        most, alo, ahi, blo, bhi = heapq.heappop(ranges)
+        left += most
+        i, j, n = matcher.find_longest_match(alo, ahi, blo, bhi)
+        if n:
+            found += n
+            for part in ((alo, i, blo, j), (i + n, ahi, j + n, bhi)):
+                size = min(part[1] - part[0], part[3] - part[2])
+                if size:
+                    left += size
+                    heapq.heappush(ranges, (-size, *part))
+    return enough(found)
+
+
+def _same(least: float) -> Callable[[Column, Column], Column]:
+    """alike of two texts' columns; null where one is."""
+
+    @F.pandas_udf(BooleanType())
+    def same(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in pairs:
+            yield pd.Series([None if x is None or y is None else alike(x, y, least) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return same
+
+
+def same_content(pairs: DataFrame, least: float = 0.85, pages: int = 2, shortened: bool = False) -> DataFrame:
     """pairs of (a_text, a_pages, b_text, b_pages) with same. Without white space: equal texts agree, both empty ones where
     their pages do; too many pages apart, one empty or lengths that can't reach the ratio differ. The costly ratio is asked
-    only of the rows that are left, in a branch of their own. A null text is an empty one."""
-    rows = pairs.withColumns({"a_short": compared(F.col("a_text")), "b_short": compared(F.col("b_text"))})
+    only of the rows that are left. A null text is an empty one. shortened: the texts are what ``compared`` gives, and none is null.
+
+    The ratio is by longest common blocks, as the standard library has it by default: from 200 characters on, those that
+    make up over a hundredth of the second text start no block, so a text of few kinds of characters may be unlike even a
+    shifted copy of it.
+    """
+    # As columns of one row that is unfolded, the shortened texts are made once; as plain ones each mention makes them anew.
+    short = F.struct(compared(F.col("a_text")).alias("a_short"), compared(F.col("b_text")).alias("b_short"))
+    rows = pairs.withColumns({"a_short": F.col("a_text"), "b_short": F.col("b_text")}) if shortened else pairs.select("*", F.inline(F.array(short)))
     a, b = F.length("a_short"), F.length("b_short")
     far = F.abs(F.col("a_pages") - F.col("b_pages")) > pages
     sure = F.when((a == 0) & (b == 0), F.col("a_pages") == F.col("b_pages")).when((a == 0) | (b == 0), False).when(far, False).when(F.col("a_short") == F.col("b_short"), True)
-    # No ratio is above what the shorter text would give if all of it matched.
-    rows = rows.withColumn("same", F.coalesce(sure, F.when(2 * F.least(a, b) < least * (a + b), False)))
-    known = rows.where("same is not null")
-    asked = rows.where("same is null").withColumn("same", ratio("a_short", "b_short") >= least)
-    return known.unionByName(asked).drop("a_short", "b_short")
+    # No ratio is above what the shorter text would give if all of it matched, nor above 1.
+    sure = F.coalesce(sure, F.when((2 * F.least(a, b) < least * (a + b)) | F.lit(least > 1), False))
+    if least > 1:
+        return rows.withColumn("same", sure).drop("a_short", "b_short")
+    # A settled row hands no texts to Python.
+    asked = lambda text: F.when(sure.isNull(), F.col(text))
+    return rows.withColumn("same", F.coalesce(sure, _same(least)(asked("a_short"), asked("b_short")))).drop("a_short", "b_short")
 
 
 def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:

@@ -26,8 +26,9 @@ def c12_similar_files(spark, d):
     x = t(spark, d, "documents").select("doc_id", F.expr("doc_id div 3").alias("g"), (F.col("doc_id") % 3).alias("k"), "text")
     copy = x.where("k = 0").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), "g", F.lit(3).cast("long").alias("k"), F.expr("substring(text, 1, cast(length(text) * (50 + doc_id % 50) / 100 as int))").alias("text"))
     every = x.unionByName(copy)
-    side = lambda p, name: every.select("g", F.col("k").alias(f"{p}_k"), F.col("doc_id").alias(name), F.col("text").alias(f"{p}_text"), F.lit(1).alias(f"{p}_pages"))
-    return files.same_content(side("a", "first").join(side("b", "other"), "g").where("a_k < b_k")).where("same").select("first", "other")
+    # Shortened before the join, each text once.
+    side = lambda p, name: every.select("g", F.col("k").alias(f"{p}_k"), F.col("doc_id").alias(name), files.compared(F.col("text")).alias(f"{p}_text"), F.lit(1).alias(f"{p}_pages"))
+    return files.same_content(side("a", "first").join(side("b", "other"), "g").where("a_k < b_k"), shortened=True).where("same").select("first", "other")
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0 ELSE doc_id % 4 + 1 + CAST(coalesce(text, '') = '' OR ends_with(text, chr(10)) AS INTEGER) END AS changes FROM documents")

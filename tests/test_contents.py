@@ -3,6 +3,7 @@
 import difflib
 import random
 import re
+import unittest.mock
 
 from foliary.functions import text as T
 from foliary.operators import files, packs, rules, templates
@@ -86,3 +87,31 @@ def test_literals_only_spare_work(spark):
     rows = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "id int, text string")
     said = lambda pack: sorted(map(tuple, packs.packed_constraints(rows, packs.pack(spark, pack), ["id"]).collect()))
     assert said(own) == said(bare) and {r[1] for r in said(own)} == {"a", "b", "c", "d"}
+
+
+def test_alike_is_the_librarys_ratio():
+    rng = random.Random(12)
+    for k in range(600):
+        chars = ("ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyzABCDEFG0123456789" + "".join(map(chr, range(0x4E00, 0x4F00))))[k % 3]
+        a = "".join(rng.choices(chars, k=rng.randrange(500)))
+        b = a[: rng.randrange(len(a) + 1)] + rng.choice(chars) * rng.randrange(30) if k % 2 else "".join(c for c in a if rng.random() < 0.9)
+        for x, y in ((a, b), (b, a)):
+            assert files.alike(x, y, 0.85) == (difflib.SequenceMatcher(None, x, y).ratio() >= 0.85)
+
+
+def test_texts_are_shortened_once(spark):
+    """Each mention of a text in the plan made it anew."""
+    pairs = spark.createDataFrame([("a b" + chr(0x3000) + "c", 1, "abc", 1)], "a_text string, a_pages int, b_text string, b_pages int")
+    found = files.same_content(pairs)
+    assert found.first()["same"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
+
+
+def test_unlike_long_texts_take_no_blocks():
+    """Nor do copies that are cut."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) + rng.choice(",;.QXZ") for _ in range(3000)]
+    a, b = ("".join(rng.choices(words, k=2000)) for _ in range(2))
+    with unittest.mock.patch.object(files.difflib, "SequenceMatcher", side_effect=AssertionError):
+        assert not files.alike(a, b, 0.85)
+        assert files.alike(a, a[:10000], 0.85)
