@@ -58,55 +58,86 @@ def audited_stream(requests: DataFrame, transitions: dict[str, tuple[str, ...]],
     return requests.groupBy(key).transformWithStateInPandas(Machine(edges, key, order, start, schema), outputStructType=schema, outputMode="append", timeMode="none")
 
 
+#: Groups of items that share a timer and a state row. A stream keeps the number it was started with.
+EXPIRY_GROUPS = 4096
+
+
 class Expiry(StatefulProcessor):
-    """A timer for each deleted item; when it fires the item is purged, tried again, or in conflict after the last try."""
+    """The items of a hashed group with a timer for the first of them that is due: those due are purged, tried again, or in
+    conflict after the last try. One state row and one timer a group, since each call for a single key is a round trip."""
 
     def __init__(self, key: str, kind: str, most: int, pause_ms: int):
         self.key, self.kind, self.most, self.pause_ms = key, kind, most, pause_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.item = handle.getValueState("item", "purge_ms long, fails int, attempts int")
+        self.held = handle.getValueState("held", f"timer long, item array<{self.kind}>, due array<long>, fails array<int>, attempts array<int>")
+
+    def _items(self) -> tuple[int | None, dict]:
+        """The group's timer and each item's (due, fails, attempts)."""
+        if not self.held.exists():
+            return None, {}
+        timer, item, due, fails, attempts = self.held.get()
+        return timer, dict(zip(item, zip(due, fails, attempts, strict=True), strict=True))
+
+    def _keep(self, timer: int | None, items: dict) -> None:
+        """timer: the one that is set now, if any."""
+        first = min((x[0] for x in items.values()), default=None)
+        if timer is not None and timer != first:
+            self.handle.deleteTimer(timer)
+        if first is None:
+            self.held.clear()
+            return
+        if timer != first:
+            self.handle.registerTimer(first)
+        self.held.update((first, list(items), *[[x[k] for x in items.values()] for k in range(3)]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for row in pd.concat(list(rows)).sort_values("ts", kind="stable").itertuples(index=False):
-            if self.item.exists():
-                self.handle.deleteTimer(self.item.get()[0])
-                self.item.clear()
-            if row.kind == "deleted":
-                due = int(row.purge_at.timestamp() * 1000)
-                self.item.update((due, int(row.fails), 0))
-                self.handle.registerTimer(due)
+        timer, items = self._items()
+        asked = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        for item, kind, purge_at, fails in zip(*[asked[c].tolist() for c in (self.key, "kind", "purge_at", "fails")], strict=True):
+            item = None if item != item else item  # a null number is NaN in a frame
+            if kind == "deleted":
+                items[item] = (int(purge_at.timestamp() * 1000), int(fails), 0)
+            else:
+                items.pop(item, None)
+        self._keep(timer, items)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        purge_ms, fails, attempts = self.item.get()
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        while at <= timerValues.getCurrentWatermarkInMs():  # the time of several tries may have passed at once
-            attempts += 1
-            if attempts > fails or attempts >= self.most:
-                self.item.clear()
-                yield pd.DataFrame({self.key: [key[0]], "status": ["purged" if attempts > fails else "conflict"], "attempts": [attempts]})
-                return
-            at += self.pause_ms
-        self.item.update((at, fails, attempts))
-        self.handle.registerTimer(at)
+        _, items = self._items()
+        now, done = timerValues.getCurrentWatermarkInMs(), []
+        for item, (at, fails, attempts) in list(items.items()):
+            while at <= now:  # the time of several tries may have passed at once
+                attempts += 1
+                if attempts > fails or attempts >= self.most:
+                    done.append((item, "purged" if attempts > fails else "conflict", attempts))
+                    del items[item]
+                    break
+                at += self.pause_ms
+            else:
+                items[item] = (at, fails, attempts)
+        self._keep(None, items)  # the timer that fired is gone
+        if done:
+            yield pd.DataFrame(done, columns=[self.key, "status", "attempts"], dtype=object)
 
     def close(self) -> None:
         pass
 
 
-def expiring(events: DataFrame, key: str, most: int = 3, pause_seconds: int = 5, late: str = "0 seconds") -> DataFrame:
+def expiring(events: DataFrame, key: str, most: int = 3, pause_seconds: int = 5, late: str = "0 seconds", groups: int = EXPIRY_GROUPS) -> DataFrame:
     """events (key, ts, kind deleted or restored, purge_at, fails) of a recycle bin to (key, status, attempts).
 
     An item that isn't restored before is tried once the watermark has passed purge_at, and again after a pause up to
     ``most`` times: ``purged``, or ``conflict`` when the last try failed too. ``fails`` is how many tries its target
-    refuses. Deleting again starts the retention anew. State is one row for each item in the bin.
+    refuses. Deleting again starts the retention anew. State is one row for each of ``groups`` hashed groups, with its items in
+    the bin.
     """
     with_rocksdb(events.sparkSession)
     kind = dict(events.dtypes)[key]
     rows = events.withWatermark("ts", late) if events.isStreaming else events
-    return rows.groupBy(key).transformWithStateInPandas(Expiry(key, kind, most, 1000 * pause_seconds), outputStructType=f"{key} {kind}, status string, attempts int", outputMode="append", timeMode="eventTime")
+    group = F.pmod(F.xxhash64(key), F.lit(groups)).alias("group")
+    return rows.select(group, key, "ts", "kind", "purge_at", "fails").groupBy("group").transformWithStateInPandas(Expiry(key, kind, most, 1000 * pause_seconds), outputStructType=f"{key} {kind}, status string, attempts int", outputMode="append", timeMode="eventTime")
 
 
 def expired_batch(events: DataFrame, key: str, as_of: str, most: int = 3, pause_seconds: int = 5) -> DataFrame:

@@ -171,3 +171,18 @@ def test_what_has_succeeded_does_not_run_again(spark, tmp_path):
     assert {r["state"] for r in again.states().collect()} == {"success"}
     again.reset(spark.createDataFrame([("j0", "i0")], "job string, item string"))
     assert [(r["item"], r["attempts"], r["output"]) for r in again.pending().collect()] == [("i0", 1, None)]
+
+
+def test_expiry_keeps_a_state_row_a_group(spark, tmp_path):
+    """Each item was a key, a state row and a timer of its own; here many of both share a group and its timer."""
+    day = lambda k: at(24 * k)
+    gone = [(k, day(k % 9), "deleted", day(k % 9 + 30), k % 5) for k in range(200)]
+    back = [(k, day(10), "restored", None, 0) for k in range(0, 200, 7)]
+    source = Source(spark, tmp_path, BIN)
+    every = []
+    for batch, watermark in ((gone, 8), (back, 10), ([(999, day(33), "deleted", day(90), 0)], 33)):
+        source.add(batch)
+        every += batch
+        found = source.run(lambda s: stateful.expiring(s, "ref", groups=3), "status").select("ref", "status", "attempts")
+        assert rows(found) == rows(stateful.expired_batch(spark.createDataFrame(every, BIN), "ref", str(day(watermark))))
+    assert found.count() > 50
