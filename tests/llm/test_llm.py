@@ -136,6 +136,22 @@ def test_op4(docs, rows, none, members):
     assert suffix_dedup.suffix_array_dedup(none).count() == 0
 
 
+def test_op4_nested_repeats_leave_one_row_each():
+    """Copies with an edit each: a suffix's repeats nest as deep as there are copies, and cover one span."""
+    rng = random.Random(4)
+    base = bytes(rng.randrange(97, 123) for _ in range(800))
+    copies = [base[:k] + b"-" + base[k + 1 :] for k in range(0, 800, 4)]
+    rows = sorted(((1, True, n, 300, x[:300][::-1], x[300:]) for n, x in enumerate(copies)), key=lambda r: r[5])
+    batch = pa.record_batch([pa.array(list(c)) for c in zip(*rows, strict=True)], names=["gram", "single", "rid", "at", "left", "right"])
+    got = [tuple(r.values()) for b in suffix_dedup._scan(400)(iter([batch])) for r in b.to_pylist()]
+    want = {}
+    for depth, found, _ in suffix_dedup.maximal_repeats([r[4] for r in rows], [r[5] for r in rows], 400):
+        for k, left in found.items():
+            a, b = want.get(rows[k][2], (300, 300))
+            want[rows[k][2]] = min(a, 300 - left), max(b, 300 + depth)
+    assert len(got) == len(want) > 150 and {rid: (a, b) for rid, a, b in got} == want
+
+
 def test_op4_runs_across_slice_borders(spark):
     rng = random.Random(11)
     text, passages = "", []
