@@ -30,7 +30,7 @@ FIRST_LABEL = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 MORE_LABEL = {"email": EMAIL, "ip": IP, "card": CARD_MORE, "phone": PHONE_MORE}
 #: Rows that the weights are learned from, bytes of such a text and its words in question at most; hashed features.
 SAMPLE, SAMPLE_TEXT, SAMPLE_WORDS, WIDTH = 2000, 1 << 16, 500, 1 << 12
-#: Rounds of learning and of message passing, share of the old message, words passed at once, marginal of an added word.
+#: Rounds of learning and of message passing, share of the old message, edges passed at once, marginal of an added word.
 ROUNDS, PASSES, DAMPING, SECTION, SURE = 200, 10, 0.3, 100_000, 0.5
 
 # The base patterns. Possessive repeats and lookups by @ keep them linear in a text's length.
@@ -225,7 +225,9 @@ class SkipChain:
     def marginals(self, rows: np.ndarray, label: np.ndarray, near: np.ndarray, similar: list[list[int]], passes: int = PASSES) -> np.ndarray:
         """Each word's marginals after loopy message passing. Words that base spans hold (label not OUT) are observed."""
         n = len(rows)
-        score = self.unary[rows].sum(1)
+        score = np.empty((n, LABELS), np.float32)
+        for a in range(0, n, SECTION):
+            score[a : a + SECTION] = self.unary[rows[a : a + SECTION]].sum(1)
         # The word before and after: one that isn't in question is observed as outside.
         score[np.concatenate([[True], ~near[:-1]])] += self.chain[OUT]
         score[~near] += self.chain[:, OUT]
@@ -233,24 +235,19 @@ class SkipChain:
         for places in similar:
             known = [k for k in places if label[k] != OUT]
             free = [k for k in places if label[k] == OUT]
-            if known and free:  # an observed word's message is its row of the potential, whatever comes back
-                score[free] += self.skip[label[known[0]]]
+            if known and free:
+                # An observed word's message is its row of the potential, whatever comes back; of several, as shares, as learned.
+                score[free] += self.skip[label[known]].mean(0)
             pairs += zip(free[:-1], free[1:], strict=True)
         seen = label != OUT
         score[seen] = -1e4
         score[seen, label[seen]] = 0
-        out = np.empty((n, LABELS), np.float32)
-        skips = np.array([(a, b) for a, b in pairs if a // SECTION == b // SECTION], np.int64).reshape(-1, 2)
-        skips = skips[np.argsort(skips[:, 0], kind="stable")]
-        for a in range(0, n, SECTION):
-            b = min(n, a + SECTION)
-            at = a + np.flatnonzero(near[a : b - 1])
-            i, j = np.searchsorted(skips[:, 0], [a, b])
-            chain = np.stack([at, at + 1], 1) - a
-            out[a:b] = self._passed(score[a:b], chain, skips[i:j] - a, passes)
-        return out
+        at = np.flatnonzero(near[:-1])
+        return self._passed(score, np.stack([at, at + 1], 1), np.array(pairs, np.int64).reshape(-1, 2), passes)
 
     def _passed(self, score: np.ndarray, chain: np.ndarray, skips: np.ndarray, passes: int) -> np.ndarray:
+        """The marginals after messages over all edges, however far apart their ends. What is made for an edge on the way is
+        held for SECTION edges at once; what stays are two messages for each direction of an edge."""
         if not len(chain) + len(skips):
             return soft(score)
         # Each edge in both directions; potential[kind] is indexed by (sender's label, receiver's label).
@@ -258,25 +255,32 @@ class SkipChain:
         to = np.concatenate([chain[:, 1], chain[:, 0], skips[:, 1], skips[:, 0]])
         c, s = len(chain), len(skips)
         back = np.concatenate([np.arange(c, 2 * c), np.arange(c), np.arange(2 * c + s, 2 * c + 2 * s), np.arange(2 * c, 2 * c + s)])
-        potential = [(slice(0, c), self.chain), (slice(c, 2 * c), self.chain.T), (slice(2 * c, 2 * c + 2 * s), self.skip)]
+        potential = [(0, c, self.chain), (c, 2 * c, self.chain.T), (2 * c, 2 * c + 2 * s, self.skip)]
+        parts = [(slice(a, min(a + SECTION, last)), p) for first, last, p in potential for a in range(first, last, SECTION)]
         order = np.argsort(to, kind="stable")
         heads = np.flatnonzero(np.diff(to[order], prepend=-1))
-        message = np.zeros((len(frm), LABELS), np.float32)
-        for _ in range(passes):
+        met = to[order][heads]
+        message, new = np.zeros((len(frm), LABELS), np.float32), np.empty((len(frm), LABELS), np.float32)
+
+        def beliefs() -> np.ndarray:
             belief = score.copy()
-            belief[to[order][heads]] += np.add.reduceat(message[order], heads)
-            cavity = belief[frm] - message[back]
-            new = np.empty_like(message)
-            for part, p in potential:
+            for label in range(LABELS):
+                belief[met, label] += np.add.reduceat(message[:, label][order], heads)
+            return belief
+
+        for _ in range(passes):
+            belief = beliefs()
+            for part, p in parts:
+                cavity = belief[frm[part]] - message[back[part]]
                 for label in range(LABELS):
-                    x = cavity[part] + p[:, label]
-                    top = x.max(1, keepdims=True) if len(x) else x[:, :1]
+                    x = cavity + p[:, label]
+                    top = x.max(1, keepdims=True)
                     new[part, label] = (top + np.log(np.exp(x - top).sum(1, keepdims=True)))[:, 0]
-            new -= new.max(1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * new
-        belief = score.copy()
-        belief[to[order][heads]] += np.add.reduceat(message[order], heads)
-        return soft(belief)
+                new[part] -= new[part].max(1, keepdims=True)
+                new[part] *= 1 - DAMPING
+                new[part] += DAMPING * message[part]
+            message, new = new, message
+        return soft(beliefs())
 
 
 def added_spans(words: Words, model: SkipChain, sure: float = SURE) -> list[tuple[str, int, int]]:
@@ -339,8 +343,7 @@ def personal_data(docs: DataFrame, model: SkipChain, id_col: str = "doc_id", tex
     """(id, spans): spans is array<struct<kind, start, end, base>> of code points, end exclusive, by kind, then start.
 
     One row per input row; null and empty texts have no spans; repeated rows and null ids are rows like others. Whole
-    texts are read, however long; a text's messages go in sections of ``SECTION`` words in question, labels of base spans
-    reach all of them. Other columns, whatever their names, are not read. An empty table gives no rows.
+    texts are read, however long; a text's messages go over all its links, computed for ``SECTION`` of them at once. Other columns, whatever their names, are not read. An empty table gives no rows.
     """
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
     place = {k: i for i, k in enumerate(KINDS)}

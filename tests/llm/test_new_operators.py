@@ -117,6 +117,20 @@ def test_a_long_text_goes_in_sections(field, monkeypatch):
     assert [text[a:b] for _, a, b in personal_data.added_spans(words, field)] == [text[a:b] for _, a, b in whole] == ["555-0271"]
 
 
+def test_links_over_sections_count(field, monkeypatch):
+    """Similar and neighbouring words are linked however far apart, and observed ones of several kinds all count."""
+    rows = np.arange(30)[:, None] * 11 + np.arange(3)
+    free, near = np.zeros(30, int), np.arange(30) < 29
+    similar = [[0, 25], [3, 17, 29]]
+    whole = field.marginals(rows, free, near, similar)
+    monkeypatch.setattr(personal_data, "SECTION", 7)
+    assert np.allclose(field.marginals(rows, free, near, similar), whole, atol=1e-6)
+    label, apart = np.zeros(30, int), np.zeros(30, bool)
+    label[[4, 9]] = personal_data.PHONE, personal_data.CARD
+    one, two = (field.marginals(rows, label, apart, [places])[20] for places in ([4, 9, 20], [9, 4, 20]))
+    assert np.allclose(one, two)
+
+
 def test_personal_data_of_nothing(spark, people):
     none = frame(spark, [])
     model = personal_data.learn(none)
