@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliary.functions import text as T
+from foliary.operators.walks import sorted_by
 
 
 def blocks(docs: DataFrame, per_page: int = 20) -> DataFrame:
@@ -33,18 +37,24 @@ def headings(rows: DataFrame, most_bare: int = 3) -> DataFrame:
 def without_running_headers(found: DataFrame, back: int = 8, pages: int = 3) -> DataFrame:
     """Drops a heading that repeats one of the last ``back`` kept ones within ``pages`` pages; what is kept depends on what was."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, str, int]] = []
-        take = []
-        for level, key, page in rows.sort_values("block_idx")[["level", "key", "page_idx"]].itertuples(index=False):
-            again = any(a == level and b == key and 0 <= page - c <= pages for a, b, c in kept[-back:])
-            take.append(not again)
-            if not again:
-                kept.append((level, key, page))
-        return rows.sort_values("block_idx")[take]
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, kept = None, deque(maxlen=back)
+        for batch in source:
+            take = []
+            for own, level, key, page in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "level", "key", "page_idx")), strict=True):
+                if own != doc:
+                    doc = own
+                    kept.clear()
+                # A heading without a level or page repeats none.
+                known = level is not None and page is not None
+                again = known and any(a == level and b == key and 0 <= page - c <= pages for a, b, c in kept if c is not None)
+                take.append(not again)
+                if not again:
+                    kept.append((level, key, page))
+            yield batch.filter(pa.array(take, pa.bool_()))
 
     keyed = found.withColumn("key", T.title_key(F.concat("number", "title")))
-    return keyed.groupBy("doc_id").applyInPandas(run, keyed.schema).drop("key")
+    return sorted_by(keyed, ["doc_id"], ["block_idx"]).mapInArrow(run, keyed.schema).drop("key")
 
 
 def _frames(id_col: str, order: str):

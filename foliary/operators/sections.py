@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliary.functions import text as T
+from foliary.operators.walks import walked
 
 # Titles of the format chapter and of its cover.
 FORMAT_TITLE, COVER_TITLE = "投标文件格式", "封面"
@@ -80,17 +82,15 @@ def located(headings: DataFrame, blocks: DataFrame, key: str = "source") -> Data
     b = blocks.select(key, "block_idx", "page_idx", T.title_key(F.col("text")).alias("norm"))
     met = h.join(b, [key, "page_idx", "norm"])
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        out, cursor = [], -1
-        for pos, group in rows.groupby("pos", sort=True):
-            later = group["block_idx"][group["block_idx"] > cursor]
-            if len(later):
-                cursor = int(later.min())
-                out.append((rows[key].iloc[0], pos, cursor))
-        return pd.DataFrame(out, columns=[key, "pos", "block_idx"])
+    def walk(rows: list[tuple]) -> Iterator[tuple]:
+        cursor, last = -1, None
+        for k, pos, block in rows:
+            if block > cursor and (last is None or pos > last):
+                cursor, last = block, pos
+                yield k, pos, block
 
     kinds = dict(met.dtypes)
-    return met.select(key, "pos", "block_idx").groupBy(key).applyInPandas(walk, f"{key} {kinds[key]}, pos {kinds['pos']}, block_idx {kinds['block_idx']}")
+    return walked(met.select(key, "pos", "block_idx"), [key], ["pos", "block_idx"], walk, f"{key} {kinds[key]}, pos {kinds['pos']}, block_idx {kinds['block_idx']}")
 
 
 def crosschecked(toc: DataFrame, body: DataFrame, key: str = "source") -> DataFrame:
@@ -100,19 +100,18 @@ def crosschecked(toc: DataFrame, body: DataFrame, key: str = "source") -> DataFr
     the cursor past it, so this is a walk over a source's titles; both lists are short by their nature.
     """
 
-    def walk(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        if not len(one):
-            return pd.DataFrame({key: [], "toc_count": [], "matched": []})
-        names = two.sort_values("pos")["norm"].tolist()
+    def walk(rows: list[tuple]) -> Iterator[tuple]:
+        wanted, names = ([norm for _, side, _, norm in rows if side == of] for of in (0, 1))
         cursor = matched = 0
-        for want in one.sort_values("pos")["norm"]:
+        for want in wanted:
             at = next((k for k in range(cursor, len(names)) if names[k] == want or (len(want) >= 4 and want in names[k]) or (len(names[k]) >= 4 and names[k] in want)), -1)
             if at >= 0:
                 matched, cursor = matched + 1, at + 1
-        return pd.DataFrame({key: one[key].iloc[:1].tolist(), "toc_count": [len(one)], "matched": [matched]})
+        if wanted:
+            yield rows[0][0], len(wanted), matched
 
-    normal = lambda df: df.select(key, "pos", T.title_key(F.col("title")).alias("norm")).groupBy(key)
-    return normal(toc).cogroup(normal(body)).applyInPandas(walk, f"{key} {dict(toc.dtypes)[key]}, toc_count long, matched long")
+    normal = lambda df, side: df.select(key, F.lit(side).alias("side"), "pos", F.coalesce(T.title_key(F.col("title")), F.lit("")).alias("norm"))
+    return walked(normal(toc, 0).unionByName(normal(body, 1)), [key], ["side", "pos"], walk, f"{key} {dict(toc.dtypes)[key]}, toc_count long, matched long")
 
 
 def subtree_spans(headings: DataFrame, key: str = "source", deepest: int = 8) -> DataFrame:
