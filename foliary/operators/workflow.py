@@ -188,7 +188,8 @@ def audited(requests: DataFrame, transitions: dict[str, tuple[str, ...]], key: s
         return pd.DataFrame(out, columns=["own", "at", "met"])
 
     entries = steps.groupBy("own").applyInPandas(entered, f"own {kind[key]}, at int, met string")
-    named = rows.join(entries, F.col(key).eqNullSafe(F.col("own")) & (F.col("part") == F.col("at")), "left").select("part", F.coalesce("met", F.lit(start)).alias("met"), *columns)
+    # Requests may have a column at of their own.
+    named = rows.join(entries.withColumnRenamed("at", "foliary_at"), F.col(key).eqNullSafe(F.col("own")) & (F.col("part") == F.col("foliary_at")), "left").select("part", F.coalesce("met", F.lit(start)).alias("met"), *columns)
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = None, start
