@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
@@ -208,27 +209,40 @@ def mechanical(pairs: DataFrame, tolerance: int = 0) -> DataFrame:
     return rows.withColumn("red_flag", (F.abs(F.col("a_names") - F.col("b_names")) > tolerance) | (F.col("a_table") != F.col("b_table")))
 
 
-@F.pandas_udf(IntegerType())
-def changed_lines(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Lines of a unified diff that start with + or -, but for +++."""
+@F.arrow_udf(IntegerType())
+def changed_lines(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Lines of a unified diff that start with + or -, but for +++; null where both texts are. One pair at a time is text."""
     for left, right in pairs:
         out = []
         for a, b in zip(left, right, strict=True):
-            lines = difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), lineterm="")
+            if not a.is_valid and not b.is_valid:
+                out.append(None)
+                continue
+            lines = difflib.unified_diff((a.as_py() or "").splitlines(), (b.as_py() or "").splitlines(), lineterm="")
             out.append(sum(x.startswith(("+", "-")) and not x.startswith("+++") for x in lines))
-        yield pd.Series(out, dtype="int32")
+        yield pa.array(out, pa.int32())
+        pa.default_memory_pool().release_unused()
+
+
+#: What ends a line for the diff.
+BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def changes(a: Column, b: Column) -> Column:
-    """changed_lines; two texts of one line each need no diff: none, or both with the header's line."""
-    single = ~F.contains(a, F.lit("\n")) & ~F.contains(b, F.lit("\n")) & (a != "") & (b != "")
-    return F.when(a == b, 0).when(single, 3).otherwise(changed_lines(a, b))
+    """changed_lines; null texts are empty. Two texts of a line or none each need no diff and hand Python no text: equal ones
+    have no changes, others the header's line and a line for each that isn't empty, but that +++ doesn't count."""
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    line = lambda c: (c != "").cast("int")
+    single = ~a.rlike(BREAK) & ~b.rlike(BREAK)
+    settled = F.when(a == b, 0).when(single, 1 + line(a) + line(b) - F.startswith(b, F.lit("++")).cast("int"))
+    return F.coalesce(settled, changed_lines(F.when(settled.isNull(), a), F.when(settled.isNull(), b)))
 
 
 def findings(parse: DataFrame, template: DataFrame, key: str, pairs: int = 50) -> DataFrame:
     """Differences of paragraphs (key, pos, text) at equal places up to ``pairs``: (key, pos, changes, confidence)."""
     both = parse.where(F.col("pos") < pairs).select(key, "pos", F.col("text").alias("a")).join(template.select(key, "pos", F.col("text").alias("b")), [key, "pos"])
-    rows = both.withColumn("changes", changes(F.col("a"), F.col("b"))).where("changes > 0")
+    # Equal texts go first, so they never reach the diff.
+    rows = both.where("not a <=> b").withColumn("changes", changes(F.col("a"), F.col("b"))).where("changes > 0")
     return rows.select(key, "pos", "changes", F.when(F.col("changes") < 5, "high").otherwise("low").alias("confidence"))
 
 
@@ -262,7 +276,7 @@ def comparison(associations: DataFrame, parsed: DataFrame, template: DataFrame,
     action = F.when(F.col("a_table") != F.col("b_table"), "manual_review").otherwise("update")
     flagged = checked.select(key, "chapter", *finding("mechanical", none, none, sure, action, True))
     placed = named.where("template is not null").join(parsed, [key, "chapter"]).where(F.col("pos") < pairs).select(key, "chapter", "template", "pos", F.col("text").alias("a"))
-    placed = placed.join(template.select(key, F.col("chapter").alias("template"), "pos", F.col("text").alias("b")), [key, "template", "pos"]).withColumn("n", changes(F.col("a"), F.col("b"))).where("n > 0")
+    placed = placed.join(template.select(key, F.col("chapter").alias("template"), "pos", F.col("text").alias("b")), [key, "template", "pos"]).where("not a <=> b").withColumn("n", changes(F.col("a"), F.col("b"))).where("n > 0")
     differing = placed.select(key, "chapter", *finding("paragraph", F.col("pos"), F.col("n"), F.when(F.col("n") < 5, "high").otherwise("low"), F.lit("update"), False))
     found = flagged.unionByName(differing)
     replaced = both.where(F.col("chapter").rlike("|".join(WHOLE)) & (F.col("chapter_texts") != F.col("template_texts"))).select(key, "chapter", F.lit(True).alias("whole"))
