@@ -31,8 +31,9 @@ def outermost(hits: DataFrame) -> DataFrame:
     """Hits none of whose ancestors is a hit of the same rule and source."""
     up = hits.select("source", "rule", F.col("node_id"), F.explode("ancestors").alias("up"))
     held = hits.select("source", "rule", F.col("node_id").alias("up")).distinct()
-    below = up.join(held, ["source", "rule", "up"]).select("source", "rule", "node_id").distinct()
-    return hits.join(below, ["source", "rule", "node_id"], "left_anti")
+    # Both follow the input, so neither goes to all executors through the driver while it is still small enough for that.
+    below = up.join(held.hint("merge"), ["source", "rule", "up"]).select("source", "rule", "node_id").distinct()
+    return hits.join(below.hint("merge"), ["source", "rule", "node_id"], "left_anti")
 
 
 def constraint_rows(lines: DataFrame, key: list[str], text: str = "text") -> DataFrame:
