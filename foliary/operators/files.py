@@ -18,6 +18,8 @@ from foliary.functions import text as T
 # Formats by preference.
 FORMATS = {"docx": 0, "doc": 1, "pdf": 2}
 FINGERPRINT_CHARS = 20_000
+# Of window hashes; odd, so that it has an inverse.
+BASE = 0x9E3779B97F4A7C15
 
 
 def preference(ext: Column) -> Column:
@@ -34,7 +36,8 @@ def grouped(files: DataFrame, name: str = "stored_name") -> DataFrame:
 
 def compared(text: Column) -> Column:
     """What of a text is compared: up to 20,000 characters without white space."""
-    return F.substring(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", ""), 1, FINGERPRINT_CHARS)
+    # Blanks, most of the white space, go without the expression.
+    return F.substring(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit("")), r"(?U)\s+", ""), 1, FINGERPRINT_CHARS)
 
 
 def fingerprint(text: Column) -> tuple[Column, Column]:
@@ -43,10 +46,14 @@ def fingerprint(text: Column) -> tuple[Column, Column]:
     return F.length(short), F.sha2(short, 256)
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
 def _subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, with the bits of one whole number for the places of ``b``."""
     places: dict[str, int] = {}
-    points = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), "<u4")
+    points = _points(b)
     for c in set(a):
         places[c] = int.from_bytes(np.packbits(points == ord(c), bitorder="little").tobytes(), "little")
     full = (1 << len(b)) - 1
@@ -57,14 +64,31 @@ def _subsequence(a: str, b: str) -> int:
     return len(b) - open_.bit_count()
 
 
-def _starts_with_head(b: str, head: int) -> bool:
-    """Whether the library's first block is ``head``, all that two texts begin with: where the first of the longest runs of
-    characters that may start a block (of ``b``, the second text) ends in it, or ``b`` has none."""
-    points = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), "<u4")
-    _, kind, counts = np.unique(points, return_inverse=True, return_counts=True)
-    rare = (counts <= len(b) // 100 + 1)[kind] if len(b) >= 200 else np.ones(len(b), bool)
-    edges = np.flatnonzero(np.diff(rare.astype(np.int8), prepend=0, append=0))
-    return not len(edges) or bool(edges[1::2][np.argmax(edges[1::2] - edges[::2])] <= head)
+def _hashes(points: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each window of ``width`` points: equal windows have equal ones."""
+    power, back = (np.cumprod(np.full(len(points), x, np.uint64)) for x in (BASE, pow(BASE, -1, 1 << 64)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(points * power)])
+    return (sums[width:] - sums[:-width]) * back[: len(points) - width + 1]
+
+
+def _starts_with_head(a: str, b: str, head: int) -> bool:
+    """Whether the library's first block is surely ``head``, all that two texts begin with.
+
+    It is the first of the longest equal runs of characters that may start a block (rare ones of ``b``, the second text)
+    with all that is equal around it. A longer one than the head's longest ends behind the head in both texts, so a window
+    of one character more is in what both have from that length before the head's end on. Windows are compared by hashes,
+    which may say no where it is yes.
+    """
+    points = _points(b)
+    rare = np.bincount(points)[points] <= len(b) // 100 + 1 if len(b) >= 200 else np.ones(len(b), bool)
+    edges = np.flatnonzero(np.diff(rare[:head].astype(np.int8), prepend=0, append=0))
+    longest = int(np.max(edges[1::2] - edges[::2], initial=0))
+    at, width = head - longest, longest + 1
+    if min(len(a), len(b)) - at < width:
+        return True
+    sums = np.concatenate([[0], np.cumsum(rare[at:])])
+    whole = sums[width:] - sums[:-width] == width
+    return not whole.any() or not np.isin(_hashes(points[at:], width)[whole], _hashes(_points(a[at:]), width)).any()
 
 
 def alike(a: str, b: str, least: float) -> bool:
@@ -80,7 +104,7 @@ def alike(a: str, b: str, least: float) -> bool:
     for step in (1 << k for k in range(min(len(a), len(b)).bit_length(), -1, -1)):
         if a[head : head + step] == b[head : head + step] and head + step <= min(len(a), len(b)):
             head += step
-    if enough(head) and _starts_with_head(b, head):
+    if enough(head) and _starts_with_head(a, b, head):
         return True
     if not enough(min(len(a), len(b))) or not enough(head + sum((Counter(a[head:]) & Counter(b[head:])).values())) or not enough(head + _subsequence(a[head:], b[head:])):
         return False
@@ -121,10 +145,12 @@ def same_content(pairs: DataFrame, least: float = 0.85, pages: int = 2, shortene
     shifted copy of it.
     """
     # As columns of one row that is unfolded, the shortened texts are made once; as plain ones each mention makes them anew.
-    short = F.struct(compared(F.col("a_text")).alias("a_short"), compared(F.col("b_text")).alias("b_short"))
+    # Texts too many pages apart differ whatever they hold, so of those nothing is shortened.
+    far = F.abs(F.col("a_pages") - F.col("b_pages")) > pages
+    near = lambda text: compared(F.when(far & (F.col("a_pages") != F.col("b_pages")), F.lit("")).otherwise(F.col(text)))
+    short = F.struct(near("a_text").alias("a_short"), near("b_text").alias("b_short"))
     rows = pairs.withColumns({"a_short": F.col("a_text"), "b_short": F.col("b_text")}) if shortened else pairs.select("*", F.inline(F.array(short)))
     a, b = F.length("a_short"), F.length("b_short")
-    far = F.abs(F.col("a_pages") - F.col("b_pages")) > pages
     sure = F.when((a == 0) & (b == 0), F.col("a_pages") == F.col("b_pages")).when((a == 0) | (b == 0), False).when(far, False).when(F.col("a_short") == F.col("b_short"), True)
     # No ratio is above what the shorter text would give if all of it matched, nor above 1.
     sure = F.coalesce(sure, F.when((2 * F.least(a, b) < least * (a + b)) | F.lit(least > 1), False))

@@ -15,7 +15,7 @@ def i4_ratio_content(spark, d):
     no SQL for it, tests hold it against the standard library."""
     x = t(spark, d, "documents")
     cut = F.substring("text", F.lit(1), (F.length("text") * (60 + F.col("doc_id") % 40) / 100).cast("int"))
-    other = F.concat(F.regexp_replace(cut, " ", "  "), F.lit(" "), F.repeat(F.lit("z"), (F.col("doc_id") % 50).cast("int")))
+    other = F.concat(F.replace(cut, F.lit(" "), F.lit("  ")), F.lit(" "), F.repeat(F.lit("z"), (F.col("doc_id") % 50).cast("int")))
     pairs = x.select("doc_id", F.col("text").alias("a_text"), other.alias("b_text"), F.lit(1).alias("a_pages"), (1 + F.col("doc_id") % 4).cast("int").alias("b_pages"))
     return files.same_content(pairs).select("doc_id", "same")
 
