@@ -1,5 +1,6 @@
 """Plain Python versions of the operators' results, for small inputs."""
 
+import collections
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -43,6 +44,13 @@ def jaccard_components(rows, num=75, den=100):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def repeated_words(rows, size=51):
+    """[(id, text)] -> [words in strings of ``size`` words that also start elsewhere], row by row."""
+    texts = [WORD.findall(t or "") for _, t in rows]
+    seen = collections.Counter(tuple(t[p : p + size]) for t in texts for p in range(len(t) - size + 1))
+    return [len({k for p in range(len(t) - size + 1) if seen[tuple(t[p : p + size])] > 1 for k in range(p, p + size)}) for t in texts]
+
+
 def repeated_bytes(rows, length=400):
     """[(id, text)] -> {id: (n_bytes, n_removed, n_spans, kept bytes)} by a dictionary of every window."""
     seen = {}

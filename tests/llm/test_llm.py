@@ -136,6 +136,34 @@ def test_op4(docs, rows, none, members):
     assert suffix_dedup.suffix_array_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("members", [5000, 1])
+def test_op4_passages_of_words(spark, docs, rows, none, members):
+    """Passages of over 50 words that repeat are told though they are under 400 bytes; 50 words aren't, nor is text of one's own."""
+    rng = random.Random(51)
+    long, short = (words(rng, n, 80) for n in (51, 50))
+    own = lambda: words(rng, 60, 10_000)
+    planted = [(10_001, f"{own()} {long} {own()}"), (10_002, f"{own()}\n{long.replace(' ', chr(10), 3)}\n{own()}"), (10_003, f"{own()} {short} {own()}"), (10_004, f"{own()} {short} {own()}"), (10_005, own()), (None, long[:-1]), (10_006, f"{long} {long}"), (10_006, f"{long} {long}")]
+    assert len(long.encode()) < 400
+    every = [*rows, *planted]
+    found = suffix_dedup.suffix_array_dedup(docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string")), members=members, passage=51).collect()
+    got = sorted((r["id"] or 0, r["n_bytes"], r["n_passage_words"]) for r in found)
+    want = brute.repeated_words(every)
+    assert got == sorted((i or 0, len((t or "").encode()), n) for (i, t), n in zip(every, want, strict=True))
+    assert want[len(rows) : len(rows) + 6] == [51, 51, 0, 0, 0, 0] and want[-2:] == [102, 102] and sum(n > 0 for n in want[: len(rows)]) > 3
+    assert {r["id"]: r["n_removed"] for r in found if r["id"] in (10_001, 10_002)} == {10_001: 0, 10_002: 0}
+    assert suffix_dedup.suffix_array_dedup(none, passage=51).count() == 0
+
+
+def test_op4_query_tells_passages(spark):
+    """All documents, and the contract's columns as the operator has them without passages."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    found = suffix_dedup.op4_suffix_array_dedup(spark, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"]: r["n_passage_words"] for r in found} == dict(zip([i for i, _ in rows], brute.repeated_words(rows), strict=True))
+    plain = suffix_dedup.suffix_array_dedup(docs).collect()
+    assert sorted(tuple(r)[:6] for r in found) == sorted(tuple(r) for r in plain)
+
+
 def test_op4_nested_repeats_leave_one_row_each():
     """Copies with an edit each: a suffix's repeats nest as deep as there are copies, and cover one span."""
     rng = random.Random(4)
