@@ -72,5 +72,5 @@ def i1_upserts_then_search(spark, d):
 @query(f"{CHANGED}, {_search('ation', 'm')}")
 def i1_merged_then_search(spark, d):
     held = _changed(spark, d)
-    held.merged(most=1)
+    held.merged(most=1, drop=True)
     return shown(held.search("ation"))

@@ -79,10 +79,11 @@ class Files:
 
 class VersionedTable:
     """key: the column by which rows are replaced. inner: further columns that parts are divided by. form: parquet, or
-    json for files that others read."""
+    json for files that others read. compression: of the parts, the form's own by default."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str, schema: str | StructType, inner: tuple[str, ...] = (), form: str = "parquet"):
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: str | StructType, inner: tuple[str, ...] = (), form: str = "parquet", compression: str | None = None):
         self.spark, self.path, self.key, self.inner, self.form = spark, path.rstrip("/"), key, inner, form
+        self.options = {"compression": compression} if compression else {}
         self.schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
         self.files = Files(spark, path)
 
@@ -161,9 +162,10 @@ class VersionedTable:
             return f"{self.key}=__HIVE_DEFAULT_PARTITION__"
         return f"{self.key}=" + self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(value))
 
-    def _write(self, df: DataFrame) -> tuple[str, list[str]]:
-        write = uuid.uuid4().hex
-        df.withColumn("v", F.lit(write)).write.partitionBy(self.key, "v", *self.inner).mode("append").format(self.form).save(f"{self.path}/data")
+    def _write(self, df: DataFrame, write: str | None = None) -> tuple[str, list[str]]:
+        """write: one that isn't committed yet, which df adds to."""
+        write = write or uuid.uuid4().hex
+        df.withColumn("v", F.lit(write)).write.partitionBy(self.key, "v", *self.inner).mode("append").options(**self.options).format(self.form).save(f"{self.path}/data")
         return write, [n.split("/data/")[-1].split("/v=")[0] for n in self.files.names(f"{self.path}/data/*/v={write}")]
 
     def _commit(self, written: tuple[str, list[str]], base: int, drop: bool, also: set[str] = frozenset(), strict: bool = False, tag: tuple[str, int] | None = None) -> int:
