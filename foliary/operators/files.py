@@ -35,14 +35,14 @@ def grouped(files: DataFrame, name: str = "stored_name") -> DataFrame:
 
 
 def compared(text: Column) -> Column:
-    """What of a text is compared: up to 20,000 characters without white space."""
+    """What of a text is compared: all of it without white space."""
     # Blanks, most of the white space, go without the expression.
-    return F.substring(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit("")), r"(?U)\s+", ""), 1, FINGERPRINT_CHARS)
+    return F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit("")), r"(?U)\s+", "")
 
 
 def fingerprint(text: Column) -> tuple[Column, Column]:
-    """Length and SHA-256 of what is compared; null for a null text."""
-    short = F.when(text.isNotNull(), compared(text))
+    """Length and SHA-256 of the first 20,000 characters of what is compared; null for a null text."""
+    short = F.when(text.isNotNull(), F.substring(compared(text), 1, FINGERPRINT_CHARS))
     return F.length(short), F.sha2(short, 256)
 
 
@@ -138,7 +138,7 @@ def _same(least: float) -> Callable[[Column, Column], Column]:
 def same_content(pairs: DataFrame, least: float = 0.85, pages: int = 2, shortened: bool = False) -> DataFrame:
     """pairs of (a_text, a_pages, b_text, b_pages) with same. Without white space: equal texts agree, both empty ones where
     their pages do; too many pages apart, one empty or lengths that can't reach the ratio differ. The costly ratio is asked
-    only of the rows that are left. A null text is an empty one. shortened: the texts are what ``compared`` gives, and none is null.
+    only of the rows that are left. A null text is an empty one. shortened: the texts are what ``compared`` gives, and none is null; where only equal ones agree (least is above 1) their digests do.
 
     The ratio is by longest common blocks, as the standard library has it by default: from 200 characters on, those that
     make up over a hundredth of the second text start no block, so a text of few kinds of characters may be unlike even a
