@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -125,12 +125,12 @@ def alike(a: str, b: str, least: float) -> bool:
 
 
 def _same(least: float) -> Callable[[Column, Column], Column]:
-    """alike of two texts' columns; null where one is."""
+    """alike of two texts' columns; null where one is. One pair at a time is text."""
 
-    @F.pandas_udf(BooleanType())
-    def same(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf(BooleanType())
+    def same(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in pairs:
-            yield pd.Series([None if x is None or y is None else alike(x, y, least) for x, y in zip(a, b, strict=True)], dtype=object)
+            yield pa.array([alike(x.as_py(), y.as_py(), least) if x.is_valid and y.is_valid else None for x, y in zip(a, b, strict=True)], pa.bool_())
 
     return same
 
